@@ -17,7 +17,8 @@ import numpy as np
 
 from tallyweave.llm.textarrays import ragged, span_hashes
 
-NONE = np.int64(1 << 40)  # the rank of a pair that never merges
+NONE = np.int32((1 << 31) - 1)  # the rank of a pair that never merges
+REPLAY_BYTES = 3 << 20  # of distinct words that one replay takes
 # The Unicode White_Space characters.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
@@ -101,7 +102,7 @@ class Vocabulary:
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where there is none) and merged id of pairs."""
-        keys = left << 32 | right
+        keys = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.pair_keys, keys)
         at[at == len(self.pair_keys)] = 0
         found = self.pair_keys[at] == keys
@@ -228,14 +229,14 @@ def merge_replay(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, l
     n_words = len(starts)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     n = int(offsets[-1])
-    symbol = vocabulary.base[data[ragged(starts, lengths)]] if n else np.zeros(0, np.int64)
-    following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    symbol = vocabulary.base.astype(np.int32)[data[ragged(starts, lengths)]] if n else np.zeros(0, np.int32)
+    following, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     full = lengths > 0
     following[offsets[1:][full] - 1] = -1
     before[offsets[:-1][full]] = -1
     alive = np.ones(n, dtype=bool)
-    rank = np.full(n, NONE, dtype=np.int64)
-    made = np.zeros(n, dtype=np.int64)
+    rank = np.full(n, NONE, dtype=np.int32)
+    made = np.zeros(n, dtype=np.int32)
     final = np.full((n_words, 3), -1, dtype=np.int64)
     owner = np.repeat(np.arange(n_words), lengths) if history else None
     index: dict[int, list[np.ndarray]] = {}
@@ -266,7 +267,7 @@ def merge_replay(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, l
             else:
                 held.append(part)
 
-    post(np.arange(n))
+    post(np.arange(n, dtype=np.int32))
     while heap:
         r = heapq.heappop(heap)
         parts = index.pop(r)
@@ -307,8 +308,25 @@ def merge_replay(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, l
     return (*out, final) if history else out
 
 
+def batched(starts: np.ndarray, ends: np.ndarray, most: int = REPLAY_BYTES):
+    """Slices of words of at most ``most`` bytes together (a longer word stands alone)."""
+    running = np.concatenate([[0], np.cumsum(ends - starts)])
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(running, running[at] + most, side="right")) - 1)
+        yield slice(at, to)
+        at = to
+
+
 def encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and offsets of words; rank files take a word that is itself a token whole."""
+    parts = [_encode_words(vocabulary, data[starts[cut].min() : ends[cut].max()], starts[cut] - starts[cut].min(), ends[cut] - starts[cut].min()) for cut in batched(starts, ends)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
+
+
+def _encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     if not vocabulary.whole:
         return merge_replay(vocabulary, data, starts, lengths)
@@ -327,7 +345,7 @@ def encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, e
 class WordTable:
     """Encodings of distinct words by hash, kept between blocks of a worker and started anew beyond ``most`` words."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 2_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
         self.vocabulary, self.most = vocabulary, most
         self.clear()
 
@@ -366,7 +384,7 @@ class Block:
     n_bytes: np.ndarray
 
 
-def blocks(table: WordTable, pieces, most: int = 24 << 20):
+def blocks(table: WordTable, pieces, most: int = 12 << 20):
     """Turns (keys, data, offsets) pieces into Blocks; the new words of up to ``most`` bytes are encoded in one replay."""
     waiting, size = [], 0
 
@@ -387,9 +405,10 @@ def blocks(table: WordTable, pieces, most: int = 24 << 20):
             hashes.append(fresh)
             shift += int(lengths.sum())
         if hashes and sum(map(len, hashes)):
-            every, index = np.unique(np.concatenate(hashes), return_index=True)
+            every = np.concatenate(hashes)
+            index = np.sort(np.unique(every, return_index=True)[1])  # in the bytes' order, so that parts of them lie together
             spans = np.concatenate(where, axis=1)[:, index]
-            table.learn(every, np.concatenate(parts), spans[0], spans[1])
+            table.learn(every[index], np.concatenate(parts), spans[0], spans[1])
         for keys, first_word, inverse, distinct, _, _, special, n_bytes in waiting:
             slots = table.find(distinct)[inverse]
             slots[special >= 0] = -2 - special[special >= 0]

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tallyweave.llm import bpe
 from tallyweave.llm.prefix_counts import vocabulary_file
@@ -39,6 +39,21 @@ def block_ids(table: bpe.WordTable, block: bpe.Block) -> tuple[np.ndarray, np.nd
     return ids, ends[block.first_word]
 
 
+@functools.cache
+def number_texts(path: str) -> list[bytes]:
+    return [b"%d" % i for i in range(len(vocabulary_file(path).token_bytes))]
+
+
+def decode_ids(vocabulary: bpe.Vocabulary, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that ids stand for, and where those of each run of ids (ends) begin."""
+    if "decode" not in vocabulary._tables:
+        sizes = np.array([len(w) for w in vocabulary.token_bytes], dtype=np.int64)
+        vocabulary._tables["decode"] = sizes, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(vocabulary.token_bytes), dtype=np.uint8)
+    sizes, heads, data = vocabulary._tables["decode"]
+    own = sizes[ids]
+    return data[ragged(heads[ids], own)], np.concatenate([[0], np.cumsum(own)])[ends]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
     """One row (doc_id, ids) for each document, ids being those that the vocabulary's own library gives for the whole text.
 
@@ -62,10 +77,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe
     """Adds ``decoded``, the bytes that the ids stand for; null ids give empty bytes, and an id outside the vocabulary is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = vocabulary_file(tokenizer_path(vocabulary)).token_bytes
-        sizes = np.array([len(w) for w in tokens], dtype=np.int64)
-        heads = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+        words = vocabulary_file(tokenizer_path(vocabulary))
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids_col))
             counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
@@ -75,9 +87,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe
             at = 0
             while at < batch.num_rows:
                 to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-                own = ids[ends[at] : ends[to]]
-                borders = np.concatenate([[0], np.cumsum(sizes[own])])[ends[at : to + 1] - ends[at]]
-                raw = data[ragged(heads[own], sizes[own])]
+                raw, borders = decode_ids(words, ids[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
                 parts.append(pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(borders.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]))
                 at = to
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(parts) if parts else pa.array([], pa.binary())], names=[*batch.schema.names, "decoded"])
@@ -86,8 +96,25 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
 
 
-def codec_digests(docs: DataFrame, vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
-    """doc_id, n_tokens, and SHA-256 of the comma-joined ids and of the decoded bytes."""
-    both = decode(encode(docs, vocabulary=vocabulary), vocabulary=vocabulary)
-    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def codec_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """doc_id, n_tokens, and SHA-256 of the comma-joined ids and of the bytes that they decode to.
+
+    Encodes and decodes as ``encode`` and ``decode`` do, in one pass of one worker, so that the ids never leave it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path = tokenizer_path(vocabulary)
+        table, words, numbers = word_table(path), vocabulary_file(path), number_texts(path)
+        for block in bpe.blocks(table, ((b.column(0), data, offsets) for b, data, offsets in chunks(batches, "text"))):
+            ids, ends = block_ids(table, block)
+            raw, borders = decode_ids(words, ids, ends)
+            raw, ends, borders = memoryview(raw), ends.tolist(), borders.tolist()
+            as_text, decoded = [], []
+            for d in range(len(ends) - 1):
+                own = ids[ends[d] : ends[d + 1]].tolist()
+                as_text.append(hashlib.sha256(b",".join([numbers[i] for i in own])).hexdigest())
+                decoded.append(hashlib.sha256(raw[borders[d] : borders[d + 1]]).hexdigest())
+            yield pa.RecordBatch.from_arrays([block.keys, pa.array(np.diff(ends)), pa.array(as_text, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -68,8 +68,8 @@ def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarra
     lengths = ends - starts
     offsets = np.concatenate([[0], np.cumsum(lengths)])
     text = data[ragged(starts, lengths)]
-    count = np.zeros(int(offsets[-1]), dtype=np.int64)
-    last = np.full(int(offsets[-1]), -1, dtype=np.int64)
+    count = np.zeros(int(offsets[-1]), dtype=np.int32)
+    last = np.full(int(offsets[-1]), -1, dtype=np.int32)
     if not len(text):
         return count, offsets
     real = reachable(vocabulary)
@@ -201,7 +201,8 @@ class CountTable(bpe.WordTable):
     """A word table that keeps each distinct word's prefix counts instead of its ids."""
 
     def learn(self, hashes, data, starts, ends) -> None:
-        count, offsets = prefix_table(self.vocabulary, data, starts, ends)
+        tables = [prefix_table(self.vocabulary, data, starts[cut], ends[cut])[0] for cut in bpe.batched(starts, ends, 1 << 20)]
+        count, offsets = np.concatenate([np.zeros(0, np.int64), *tables]), np.concatenate([[0], np.cumsum(ends - starts)])
         self.slots = np.concatenate([self.slots, np.arange(len(hashes)) + len(self.offsets) - 1])
         self.ids = np.concatenate([self.ids, count.astype(self.ids.dtype)])
         self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])

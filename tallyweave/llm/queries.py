@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe_codec, packing, prefix_counts
-from tallyweave.llm.shared import read
+from tallyweave.llm import bpe_codec, packing, prefix_counts, quality, toxicity
+from tallyweave.llm.shared import fold, read
+
+
+def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "spans")
 
 
 def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,12 +25,18 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(read(spark, sf_dir, "documents"), limit=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_harmonic_packing, op7_bpe_codec, op10_token_counts)}
+    return {f.__name__: f for f in (op3_crf_toxicity, op4_harmonic_packing, op7_bpe_codec, op8_random_indexing_quality, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

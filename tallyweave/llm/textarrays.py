@@ -67,12 +67,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h)
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of non-space bytes, and each document's first word (one more entry at the end).
+def run_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that ``inside`` (a bool for each byte value) holds, and each document's first run (one more entry at the end).
 
     A run never crosses a document's border.
     """
-    solid = ~_SPACE[data]
+    solid = inside[data]
     border = np.zeros(len(data) + 1, dtype=bool)
     border[offsets] = True
     before = np.empty(len(data), dtype=bool)
@@ -87,6 +87,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes that aren't white space, and each document's first word (one more entry at the end)."""
+    return run_spans(data, offsets, ~_SPACE)
+
+
 def flat_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,7 +108,7 @@ def flat_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into runs of rows of at most ``most`` text bytes (a longer text stands alone), whole rows only."""
     for batch in batches:
         data, offsets = flat_strings(batch.column(batch.schema.get_field_index(column)))
