@@ -18,7 +18,7 @@ import numpy as np
 from tallyweave.llm.textarrays import ragged, span_hashes
 
 NONE = np.int32((1 << 31) - 1)  # the rank of a pair that never merges
-REPLAY_BYTES = 3 << 20  # of distinct words that one replay takes
+REPLAY_BYTES = 1 << 20  # of distinct words that one replay takes
 # The Unicode White_Space characters.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None

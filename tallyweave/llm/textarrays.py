@@ -108,7 +108,7 @@ def flat_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into runs of rows of at most ``most`` text bytes (a longer text stands alone), whole rows only."""
     for batch in batches:
         data, offsets = flat_strings(batch.column(batch.schema.get_field_index(column)))
