@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe_codec, packing, prefix_counts, quality, toxicity
+from tallyweave.llm import bpe_codec, fingerprints, jaccard_join, packing, prefix_counts, quality, toxicity, warc
 from tallyweave.llm.shared import fold, read
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op3_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -21,6 +25,10 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digests(read(spark, sf_dir, "documents"))
 
@@ -31,12 +39,26 @@ def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.token_counts(read(spark, sf_dir, "documents"), limit=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_crf_toxicity, op4_harmonic_packing, op7_bpe_codec, op8_random_indexing_quality, op10_token_counts)}
+    own = (
+        op2_ngram_jaccard,
+        op3_crf_toxicity,
+        op4_harmonic_packing,
+        op5_fingerprints,
+        op7_bpe_codec,
+        op8_random_indexing_quality,
+        op9_warc_segments,
+        op10_token_counts,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
