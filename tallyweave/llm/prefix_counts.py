@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from tallyweave.llm import bpe
 from tallyweave.llm.shared import tokenizer_path
-from tallyweave.llm.textarrays import chunks, ragged
+from tallyweave.llm.textarrays import byte_hasher, chunks, ragged
 
 LONG_WORD = 64  # longer words are tabulated one by one
 
@@ -78,14 +78,14 @@ def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarra
     short = np.flatnonzero(lengths <= LONG_WORD)
     short = short[np.argsort(lengths[short], kind="stable")]
     size = lengths[short]
-    power = _Prefixes(text)
+    hasher = byte_hasher(text)
     for p in range(1, int(size[-1]) + 1 if len(size) else 0):
         open_ = heads[short[np.searchsorted(size, p) :]]  # starts of the words that have this prefix
         for length in range(min(p, longest), 0, -1):
             if not len(open_):
                 break
             to = open_ + p
-            token = vocabulary.token_of(power.hashes(to - length, to))
+            token = vocabulary.token_of(hasher.spans(to - length, to))
             some = np.flatnonzero(token >= 0)
             some = some[real[token[some]]]
             if not len(some):
@@ -106,23 +106,6 @@ def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarra
     return count, offsets
 
 
-class _Prefixes:
-    """Hashes of spans of one byte array whose prefix sums are made once."""
-
-    def __init__(self, data: np.ndarray):
-        from tallyweave.llm import textarrays as t
-
-        power, self.inverse = t._power_arrays(len(data) + 1)
-        self.prefix = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(t._BYTE_VALUE[data] * power[: len(data)], out=self.prefix[1:])
-        self.mix, self.by_length = t.mix, t._M1
-
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
-        h += (ends - starts).astype(np.uint64) * self.by_length
-        return self.mix(h)
-
-
 def _long_word(vocabulary: bpe.Vocabulary, word: bytes, longest: int, real: np.ndarray) -> list[int]:
     """The same table for one long word, prefix by prefix."""
     memory = vocabulary._tables.setdefault("long", {})

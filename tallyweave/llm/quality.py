@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tallyweave.llm.shared import kept_rows
 from tallyweave.llm.textarrays import U64, chunks, lowered, mix, span_hashes, word_spans
 from tallyweave.llm.toxicity import training_sample
 
@@ -193,3 +194,9 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows whose text scores ``threshold`` or more, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text_col, CHUNK, lambda data, offsets: held.value.score(document_vectors(held.value, data, offsets)) >= threshold)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe_codec, fingerprints, jaccard_join, packing, prefix_counts, quality, toxicity, warc
+from tallyweave.llm import bpe_codec, fingerprints, jaccard_join, line_dedup, packing, prefix_counts, quality, toxicity, warc
 from tallyweave.llm.shared import fold, read
 
 
@@ -29,6 +29,11 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", F.col("text").alias("deduplicated"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.codec_digests(read(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_crf_toxicity,
         op4_harmonic_packing,
         op5_fingerprints,
+        op6_line_dedup,
         op7_bpe_codec,
         op8_random_indexing_quality,
         op9_warc_segments,

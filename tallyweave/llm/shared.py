@@ -55,3 +55,16 @@ def fold(doc_id: str, folds: int):
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def kept_rows(docs: DataFrame, text_col: str, most: int, keep) -> DataFrame:
+    """The rows, with all their columns, for which keep(bytes, offsets) of their texts says so (one bool for each row)."""
+    import pyarrow as pa
+
+    from tallyweave.llm.textarrays import chunks
+
+    def run(batches):
+        for batch, data, offsets in chunks(batches, text_col, most):
+            yield batch.filter(pa.array(keep(data, offsets), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -57,14 +57,28 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+class Hasher:
+    """Hashes of spans of a sequence of 64-bit values from prefix sums that are made once."""
+
+    def __init__(self, values: np.ndarray):
+        power, self.inverse = _power_arrays(len(values) + 1)
+        self.prefix = np.zeros(len(values) + 1, dtype=U64)
+        np.cumsum(values * power[: len(values)], out=self.prefix[1:])
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """64-bit hashes; equal spans give equal hashes wherever they stand."""
+        h = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
+        h += (ends - starts).astype(U64) * _M1
+        return mix(h)
+
+
+def byte_hasher(data: np.ndarray) -> Hasher:
+    return Hasher(_BYTE_VALUE[data])
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    power, inverse = _power_arrays(len(data) + 1)
-    prefix = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_BYTE_VALUE[data] * power[: len(data)], out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * inverse[starts]
-    h += (ends - starts).astype(U64) * _M1
-    return mix(h)
+    """64-bit hashes of byte spans."""
+    return byte_hasher(data).spans(starts, ends)
 
 
 def run_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import fold
-from tallyweave.llm.textarrays import chunks, lowered, run_spans, span_hashes
+from tallyweave.llm.shared import fold, kept_rows
+from tallyweave.llm.textarrays import byte_hasher, chunks, lowered, run_spans, span_hashes
 
 WIDTH = 1 << 20  # weights; feature hashes are taken modulo this
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes
@@ -42,10 +42,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Weight numbers (feature kinds, words); number 0, whose weight stays 0, where a word is too short for a kind."""
-    rows = [span_hashes(data, starts, ends) % np.uint64(WIDTH - 1) + np.uint64(1)]
+    hasher = byte_hasher(data)
+    rows = [hasher.spans(starts, ends) % np.uint64(WIDTH - 1) + np.uint64(1)]
     for kind, length in [(1, k) for k in PREFIXES] + [(2, k) for k in SUFFIXES]:
         low, high = (starts, np.minimum(starts + length, ends)) if kind == 1 else (np.maximum(ends - length, starts), ends)
-        h = (span_hashes(data, low, high) ^ np.uint64(kind * 64 + length)) % np.uint64(WIDTH - 1) + np.uint64(1)
+        h = (hasher.spans(low, high) ^ np.uint64(kind * 64 + length)) % np.uint64(WIDTH - 1) + np.uint64(1)
         rows.append(np.where(ends - starts > length, h, np.uint64(0)))
     return np.stack(rows).astype(np.int32)
 
@@ -355,3 +356,14 @@ def score(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int, spans array<struct<start:bigint,end:bigint,marginal:double>>")
+
+
+def keep_clean(docs: DataFrame, model: CrfModel, text_col: str = "text") -> DataFrame:
+    """The rows whose text isn't predicted toxic, with all their columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        low, starts, ends, first = words_of(data, offsets)
+        return held.value.score(document_inputs(held.value.token_marginals(low, starts, ends, first), first)) < 0.5
+
+    return kept_rows(docs, text_col, 1 << 20, keep)
