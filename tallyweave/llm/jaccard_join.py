@@ -5,11 +5,13 @@ share at least 0.8 * max(n, m) elements, so a document must occur that often in
 lists of another one's shingles.  The search runs in these steps, none of which emits pairs:
 
 1. Equal sets become one class, by a 128-bit sum over their shingles.
-2. Shingles are dealt to buckets of an inverted index as packed arrays.  A bucket knows how
-   many classes a shingle has; only shingles of two or more go back to their classes.
-3. A class with fewer such shingles than its T is alike to nothing.  The others keep their
-   shingles ordered from rare to frequent; the first n - T + 1 are the short lists, and any
-   partner stands in one of them.
+2. Of each class the n - T + l shingles of the smallest hashes, l = 0.2 n, are dealt to the
+   buckets of an inverted index as packed arrays.  Two linked classes have m = 0.2 * 0.8 n or
+   more of these in common.  A bucket knows how many classes a shingle has; only shingles of
+   two or more go back to their classes.
+3. A class with fewer than m such shingles is linked with nothing.  The others order theirs
+   from rare to frequent; all but the last m - 1 are the short lists, and any partner stands
+   in one of them.  Only these classes' whole sets are gathered, by a second look at the texts.
 4. Connected components over shared short lists are blocks that no link leaves.  In a block
    an inverted index is built by rising set size and each set searches it with DivideSkip:
    the longest lists are only probed by binary search, the short ones are merged on a heap
@@ -34,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.components import components
-from tallyweave.llm.shared import partitions, stored
-from tallyweave.llm.textarrays import U64, chunks, mix, shingle_hashes
+from tallyweave.llm.shared import key_filter, partitions, passes, stored
+from tallyweave.llm.textarrays import U64, chunks, mix, ragged, shingle_hashes
 
 BLOCK = 192  # sets that a task joins with as many others
 LOW = U64((1 << 40) - 1)
@@ -47,6 +49,17 @@ def needed(n: int, percent: int) -> int:
     return max(1, -(-n * percent // 100))
 
 
+def dealt(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's n shingles, those of the smallest hashes, go to the inverted index."""
+    least = -(-n * percent // 100)
+    return np.minimum(n, n - least - (-n * (100 - percent) // 100))
+
+
+def in_common(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of these a set has in common with any linked one's at least."""
+    return np.maximum(1, -(-(-(-n * percent // 100)) * (100 - percent) // 100))
+
+
 def chunk_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each document, their offsets, and two 64-bit sums that tell sets apart."""
     hashes, starts = shingle_hashes(data, offsets, width)
@@ -98,42 +111,29 @@ def _blobs(batches: Iterator[pa.RecordBatch], *kinds: str) -> list[np.ndarray]:
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
-def _classes(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order that brings equal (hi, lo) together, and which of the ordered entries begin a class."""
-    order = np.lexsort((lo, hi))
+def _classes(hi: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that brings equal (hi, n) together, and which of the ordered entries begin a class."""
+    order = np.lexsort((n, hi))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+    new[1:] = (hi[order][1:] != hi[order][:-1]) | (n[order][1:] != n[order][:-1])
     return order, new
 
 
-def _dealt(target: np.ndarray, counts: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each target: its entries, and a mask of the elements (``counts`` of each entry, in order)."""
-    order = np.argsort(target, kind="stable")
-    edges = np.searchsorted(target[order], np.arange(n + 1))
-    starts = np.cumsum(counts) - counts
-    for t in range(n):
-        own = order[edges[t] : edges[t + 1]]
-        if len(own):
-            yield t, own, starts[own]
-
-
-def posting_blobs(docs: DataFrame, buckets: int, width: int, flush: int = 1 << 20) -> DataFrame:
-    """(bucket, blob): a blob has sets (hi, lo, n, count) and their shingles of the bucket (40 bits each)."""
+def posting_blobs(docs: DataFrame, buckets: int, width: int, percent: int, flush: int = 1 << 20) -> DataFrame:
+    """(bucket, blob): a blob has sets (hi, n, count) and their shingles of the bucket (40 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            counts = np.concatenate([h[1] for h in held])
-            hi, lo = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
-            tokens = np.concatenate([h[0] for h in held])
-            order, new = _classes(hi, lo)
+            tokens, counts, hi, n = (np.concatenate([h[k] for h in held]) for k in range(4))
+            order, new = _classes(hi, n)
             keep = np.zeros(len(hi), dtype=bool)
             keep[order[new]] = True
             keep &= counts > 0
             tokens = tokens[np.repeat(keep, counts)]
-            hi, lo, counts = hi[keep], lo[keep], counts[keep]
+            hi, n, counts = hi[keep], n[keep], counts[keep]
             owner = np.repeat(np.arange(len(counts)), counts)
             bucket = ((tokens >> U64(40)) % U64(buckets)).astype(np.int32)
             by = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
@@ -146,13 +146,15 @@ def posting_blobs(docs: DataFrame, buckets: int, width: int, flush: int = 1 << 2
                     heads = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
                     sets = o[heads]
                     numbers.append(b)
-                    blobs.append(_packed(hi[sets], lo[sets], counts[sets].astype("<u4"), np.diff(np.append(heads, len(o))).astype("<u4"), t.astype("<u4"), (t >> U64(32)).astype("<u1")))
+                    blobs.append(_packed(hi[sets], n[sets].astype("<u4"), np.diff(np.append(heads, len(o))).astype("<u4"), t.astype("<u4"), (t >> U64(32)).astype("<u1")))
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for _, data, offsets in chunks(batches, "text"):
-            tokens, ends, hi, lo = chunk_sets(data, offsets, width)
-            held.append((tokens, np.diff(ends), hi, lo))
-            size += len(tokens)
+            tokens, ends, hi, _ = chunk_sets(data, offsets, width)
+            n = np.diff(ends)
+            part = dealt(n, percent)
+            held.append((tokens[ragged(ends[:-1], part)], part, hi, n))
+            size += int(part.sum())
             if size >= flush:
                 yield out()
                 held, size = [], 0
@@ -170,18 +172,18 @@ def shared_blobs(postings: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 number = b
-                parts.append(_unpacked(raw.as_py(), "<u8", "<u8", "<u4", "<u4", "<u4", "<u1"))
+                parts.append(_unpacked(raw.as_py(), "<u8", "<u4", "<u4", "<u4", "<u1"))
         if not parts:
             return
-        hi, lo, n, counts, low, high = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        hi, n, counts, low, high = (np.concatenate([p[k] for p in parts]) for k in range(5))
         del parts
-        order, new = _classes(hi, lo)
+        order, new = _classes(hi, n)
         keep = np.zeros(len(hi), dtype=bool)
         keep[order[new]] = True
         counts = counts.astype(np.int64)
         mine = np.repeat(keep, counts)
         tokens = low[mine].astype(U64) | high[mine].astype(U64) << U64(32)
-        hi, lo, n, counts = hi[keep], lo[keep], n[keep], counts[keep]
+        hi, n, counts = hi[keep], n[keep], counts[keep]
         owner = np.repeat(np.arange(len(n), dtype=np.int32), counts)
         by = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[by], owner[by]
@@ -202,27 +204,27 @@ def shared_blobs(postings: DataFrame, buckets: int) -> DataFrame:
         for t in np.unique(target).tolist():
             own, elements = target == t, place == t
             k = tokens[elements]
-            blob = _packed(hi[sets[own]], lo[sets[own]], n[sets[own]], counts[own].astype("<u4"), np.full(int(own.sum()), number, "<u4"), k.astype("<u4"), (k >> U64(32)).astype("<u1"), lengths[elements].astype("<u4"))
+            blob = _packed(hi[sets[own]], n[sets[own]], counts[own].astype("<u4"), np.full(int(own.sum()), number, "<u4"), k.astype("<u4"), (k >> U64(32)).astype("<u1"), lengths[elements].astype("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([blob], pa.binary())], names=["target", "blob"])
 
     return postings.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "target int, blob binary")
 
 
 def survivors(shared: DataFrame, buckets: int, percent: int) -> DataFrame:
-    """(hi, lo, n, short, shingles): the classes that have enough shared shingles, these from rare to frequent, the short lists also as an array."""
+    """(hi, n, short): the classes that have enough shared shingles, and their short lists' shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hi, lo, n, counts, bucket, low, high, lengths = _blobs(batches, "<u8", "<u8", "<u4", "<u4", "<u4", "<u4", "<u1", "<u4")
+        hi, n, counts, bucket, low, high, lengths = _blobs(batches, "<u8", "<u4", "<u4", "<u4", "<u4", "<u1", "<u4")
         if not len(hi):
             return
         counts = counts.astype(np.int64)
-        order, new = _classes(hi, lo)
+        order, new = _classes(hi, n)
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(new) - 1
         first = order[new]
         total = np.bincount(number, weights=counts).astype(np.int64)
         size = n[first].astype(np.int64)
-        least = np.maximum(1, -(-size * percent // 100))
+        least = in_common(size, percent)
         lives = total >= least
         keep = np.repeat(lives[number], counts)
         owner = np.repeat(number, counts)[keep]
@@ -232,21 +234,30 @@ def survivors(shared: DataFrame, buckets: int, percent: int) -> DataFrame:
         alive = np.flatnonzero(lives)
         ends = np.concatenate([[0], np.cumsum(total[alive])])
         short = total[alive] - least[alive] + 1
-        for at in range(0, len(alive), 500):
-            rows = range(at, min(at + 500, len(alive)))
-            own = alive[at : at + 500]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hi[first[own]].view(np.int64)),
-                    pa.array(lo[first[own]].view(np.int64)),
-                    pa.array(size[own]),
-                    pa.array([tokens[ends[i] : ends[i] + short[i]].view(np.int64) for i in rows], pa.list_(pa.int64())),
-                    pa.array([tokens[ends[i] : ends[i + 1]].tobytes() for i in rows], pa.binary()),
-                ],
-                names=["hi", "lo", "n", "short", "shingles"],
-            )
-
-    return shared.repartitionById(buckets, F.col("target")).mapInArrow(run, "hi long, lo long, n long, short array<long>, shingles binary")
+        for at in range(0, len(alive), 2000):
+            own = slice(at, at + 2000)
+            taken = tokens[ragged(ends[:-1][own], short[own])]
+            borders = np.concatenate([[0], np.cumsum(short[own])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(borders), pa.array(taken.view(np.int64)))
+            rows = first[alive[own]]
+            yield pa.RecordBatch.from_arrays([pa.array(hi[rows].view(np.int64)), pa.array(size[alive[own]]), lists], names=["hi", "n", "short"])
+
+    return shared.repartitionById(buckets, F.col("target")).mapInArrow(run, "hi long, n long, short array<long>")
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, hi, shingles) of the wanted documents (rep, hi); a key filter over their ids keeps the others' texts from being read on."""
+    held = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select("rep")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = (batch.filter(pa.array(passes(held.value, batch.column(0).to_numpy()))) for batch in batches)
+        for batch, data, offsets in chunks(some, "text"):
+            tokens, ends, hi, _ = chunk_sets(data, offsets, width)
+            raw = [tokens[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi.view(np.int64)), pa.array(raw, pa.binary())], names=["rep", "hi", "shingles"])
+
+    found = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").mapInArrow(run, "rep long, hi long, shingles binary")
+    return found.join(wanted, ["rep", "hi"], "left_semi").dropDuplicates(["rep", "hi"])
 
 
 class Sets:
@@ -389,13 +400,14 @@ def _join_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return dealt.select(*keys, "rep", "n", "shingles", "side", "label").mapInArrow(run, "u long, v long")
 
 
-def linked(records: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(node, root) of every record (rep, n, short, shingles) that is linked with another."""
+def linked(records: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """(node, root) of every record (rep, hi, n, short) that is linked with another; docs has their texts."""
     postings = records.select("rep", F.explode("short").alias("shingle"))
     lists = postings.groupBy("shingle").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = postings.join(lists, "shingle").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     blocks = components(near)
-    members = stored(records.join(blocks, F.col("rep") == F.col("node")).select(F.col("root").alias("block"), "rep", "n", "shingles"), "members")
+    found = stored(records.join(blocks, F.col("rep") == F.col("node")).select(F.col("root").alias("block"), "rep", "hi", "n"), "blocks")
+    members = stored(found.join(whole_sets(docs, found.select("rep", "hi"), width), ["rep", "hi"]).select("block", "rep", "n", "shingles"), "members")
     sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / block).cast("int"))
     plain = members.join(sizes.where("parts = 1").select("block"), "block")
     own = F.lit(False).alias("side"), F.col("rep").alias("label")
@@ -432,10 +444,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     buckets = partitions(docs)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     sets = stored(shingle_sets(own, width=width), "sets")
-    shared = shared_blobs(posting_blobs(own.where("doc_id is not null").select("text"), buckets, width), buckets)
+    shared = shared_blobs(posting_blobs(own.where("doc_id is not null").select("text"), buckets, width, percent), buckets)
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    records = stored(survivors(shared, buckets, percent).join(classes, ["hi", "lo"]).select("rep", "n", "short", "shingles"), "records")
-    roots = linked(records, percent, block)
+    sized = sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    records = stored(survivors(shared, buckets, percent).join(sized.select("hi", "n", "rep"), ["hi", "n"]).select("rep", "hi", "n", "short"), "records")
+    roots = linked(records, own, width, percent, block)
     named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
     full = sets.where("n_shingles > 0 and doc_id is not null").join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", "component_id")
     return full.union(sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

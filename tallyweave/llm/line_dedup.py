@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import partitions, stored
+from tallyweave.llm.shared import key_filter, partitions, passes, stored
 from tallyweave.llm.textarrays import U64, Hasher, chunks, mix, ragged
 
 MIN_CHARS, MAX_EDITS = 20, 2
-FILTER_BITS = 1 << 25  # of the fixed-size filter of candidate lines
 LAST = (1 << 63) - 1
 _SECOND = U64(0x5851F42D4C957F2D)
 
@@ -255,11 +254,6 @@ def _candidates(entries: DataFrame, buckets: int, edits: int, block: int = 1 <<
     return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long").distinct()
 
 
-def _filter_bits(h: np.ndarray) -> np.ndarray:
-    mixed = mix(h.astype(U64))
-    return np.stack([(mixed >> U64(s)) % U64(FILTER_BITS) for s in (0, 20, 39)])
-
-
 def _texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     """(ref, h1, h2, text) of the lines whose reference is wanted.
 
@@ -268,24 +262,14 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
     """
     spark = docs.sparkSession
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.unique(_filter_bits(batch.column(0).to_numpy().view(U64)).reshape(-1)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own >> 6), pa.array(np.int64(1) << (own & 63))], names=["word", "bits"])
-
-    words = wanted.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    table = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    held = spark.sparkContext.broadcast(table)
+    held = spark.sparkContext.broadcast(key_filter(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = held.value
         for _, data, offsets in chunks(batches, "text"):
             lines = Lines(data, offsets)
             own = np.flatnonzero(lines.length >= min_chars)
             refs = lines.h1[own] & U64((1 << 48) - 1)
-            places = _filter_bits(refs).astype(np.int64)
-            own = own[(bitmap[places >> 6] >> (places & 63) & 1).all(axis=0)]
+            own = own[passes(held.value, refs)]
             own = own[np.unique(lines.h1[own], return_index=True)[1]]
             low, high = lines.at[lines.starts[own]], lines.at[lines.ends[own]]
             raw = data.tobytes()

@@ -5,10 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.llm.textarrays import U64, chunks, mix
+
+FILTER_BITS = 1 << 25  # of a key filter, whatever the number of keys
+
 
 def tokenizer_path(name: str) -> str:
     """Where a public vocabulary file lies; the package that brings the files is asked, on each machine."""
@@ -59,12 +66,38 @@ def partitions(df: DataFrame) -> int:
 
 def kept_rows(docs: DataFrame, text_col: str, most: int, keep) -> DataFrame:
     """The rows, with all their columns, for which keep(bytes, offsets) of their texts says so (one bool for each row)."""
-    import pyarrow as pa
 
-    from tallyweave.llm.textarrays import chunks
-
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches, text_col, most):
             yield batch.filter(pa.array(keep(data, offsets), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def _filter_places(keys: np.ndarray) -> np.ndarray:
+    mixed = mix(keys.astype(np.int64).view(U64))
+    return np.stack([(mixed >> U64(s)) % U64(FILTER_BITS) for s in (0, 20, 39)]).astype(np.int64)
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over one column of longs, fit to be broadcast.
+
+    It only spares rows a shuffle: what passes is joined with the keys.  The more keys there
+    are, the more rows pass; none that is wanted is lost.
+    """
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.unique(_filter_places(batch.column(0).to_numpy()).reshape(-1))
+            yield pa.RecordBatch.from_arrays([pa.array(own >> 6), pa.array(np.int64(1) << (own & 63))], names=["word", "bits"])
+
+    found = keys.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    words[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return words
+
+
+def passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether keys may be in a key filter."""
+    places = _filter_places(keys)
+    return (words[places >> 6] >> (places & 63) & 1).astype(bool).all(axis=0)
