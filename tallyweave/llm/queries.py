@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe_codec, fingerprints, jaccard_join, line_dedup, packing, prefix_counts, quality, toxicity, warc
+from tallyweave.llm import bpe_codec, fingerprints, jaccard_join, line_dedup, media, packing, prefix_counts, quality, toxicity, warc
 from tallyweave.llm.shared import fold, read
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.drawn_copies(read(spark, sf_dir, "embeddings"), every=50)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(read(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -54,6 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
+        op1_media_copies,
         op2_ngram_jaccard,
         op3_crf_toxicity,
         op4_harmonic_packing,
