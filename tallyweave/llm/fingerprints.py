@@ -162,7 +162,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pd.Series([[h, before[i]] if len(keys) and keys[i] == v else [h] for h, i, v in zip(home, at, values, strict=True)])
 
     dealt = own.select("doc_id", "text", "_key", F.posexplode(places("_key")).alias("extra", "place"))
-    return dealt.repartitionById(n, F.col("place")).sortWithinPartitions("place", "extra", "_key", "text").select("doc_id", "text", "place", "extra")
+    return dealt.repartitionById(n, F.col("place").cast("int")).sortWithinPartitions("place", "extra", "_key", "text").select("doc_id", "text", "place", "extra")
 
 
 def edit_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
