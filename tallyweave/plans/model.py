@@ -35,7 +35,7 @@ def fit(labelled: DataFrame, features: list[str] = FS43, trees: int = 20, depth:
     rows = labelled.withColumn("_weight", F.when(F.col("label") == 1, positive_weight).otherwise(1.0)).withColumn("_aside", in_split(share=0.1))
     boost = GBTClassifier(featuresCol="_vector", labelCol="label", weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=step, seed=seed, predictionCol="_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw")
     if early_stop:
-        boost = boost.setValidationIndicatorCol("_aside").setValidationTol(0.001)
+        boost.setValidationIndicatorCol("_aside").set(boost.validationTol, 0.001)
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_vector"), boost]).fit(rows)
 
 

@@ -27,8 +27,10 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def true_pairs(spark: SparkSession, sf_dir: str, words: int = 200, width: int = 5) -> DataFrame:
     """(s1_id, cand_id) whose first words' shingle sets overlap by half or more."""
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    own = F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, words)
-    sets = docs.select("doc_id", F.array_distinct(F.when(F.size(own) >= width, F.transform(F.sequence(F.lit(1), F.size(own) - width + 1), lambda i: F.xxhash64(F.array_join(F.slice(own, i, F.lit(width)), " ")))).otherwise(F.array().cast("array<bigint>"))).alias("s"))
+    # The words stand in a column of their own: inside the lambda they would be split anew for every shingle.
+    own = docs.select("doc_id", F.slice(F.filter(F.split(F.lower("text"), r"\s+", words + 3), lambda w: w != ""), 1, words).alias("w"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(width)), " ")))
+    sets = own.select("doc_id", F.array_distinct(F.when(F.size("w") >= width, hashes).otherwise(F.array().cast("array<bigint>"))).alias("s"))
     rows = sets.select("doc_id", (F.col("doc_id") % 3 + 1).alias("src"), F.size("s").alias("n"), F.explode("s").alias("h"))
     a, b = rows.where("src = 1").alias("a"), rows.where("src <> 1").alias("b")
     met = a.join(b, F.col("a.h") == F.col("b.h")).groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
