@@ -99,19 +99,19 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, first: in
     return out
 
 
-def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4_096, least: int = 0, records_per_file: int = 20_000) -> None:
+def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4_096, least: int = 0, archive_bytes: int = 32 << 20) -> None:
     """Writes a record (or several segments) for each row of page_id, url, html to archives under ``path``.
 
     Of rows with equal payloads of ``least`` bytes or more the largest page_id is the response, the
     others refer to it (rows that repeat the response's page_id are responses too, and a null
     page_id is below all others).  A null html counts as empty.  Other columns are ignored.
-    The largest page_id of each payload is found over 20-byte digests with partial aggregation;
+    Archives have about ``archive_bytes`` of payload each.  The largest page_id of each payload is found over 20-byte digests with partial aggregation;
     a payload that many pages share is a skewed join key that adaptive execution can split.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
     firsts = own.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1").alias("shared"), "first")
-    joined = own.join(firsts, F.col("sha1") == F.col("shared"), "left").select("page_id", "url", "payload", "first", (F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    joined = own.join(firsts.hint("shuffle_hash"), F.col("sha1") == F.col("shared"), "left").select("page_id", "url", "payload", "first", (F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,8 +121,10 @@ def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: in
                     out += page_records(*row, segment, chunk)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    records = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    # As many archives as their size asks for; the join's partitions may be many and small.
+    size = own.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    records = joined.coalesce(max(1, -(-size // archive_bytes))).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records.write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,21 +152,36 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-FIELDS = "origin string, segment long, total long, kind string, uri string, digest string, refers string, block binary"
+FIELDS = "origin string, segment long, total long, kind string, uri string, digest string, refers string, payload_bytes long, payload_digest string, complete boolean, block binary"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record of the archives under ``path``: origin is the record's own id or, for a continuation, that of its first segment."""
+def judged(kind: str, digest: str, block: bytes) -> tuple[int | None, str, bool, bytes | None]:
+    """Bytes and digest of a whole message's payload, whether it fits the record's digest, and the payload (a revisit states its size only)."""
+    payload, stated = http_payload(block)
+    digest = (digest or "").removeprefix("sha1:")
+    if kind == "revisit":
+        return stated, digest, stated is not None, None
+    own = digest_text(payload) if payload is not None else digest
+    return (len(payload) if payload is not None else None), own, payload is not None and own == digest, payload
+
+
+def read_records(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """One row for each record of the archives under ``path``: origin is the record's own id or, for a continuation, that of its first segment.
+
+    Records that aren't segments are judged at once; without ``blocks`` only segments keep their block, which they need to be put together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in FIELDS.split(", ")]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary()]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
         for batch in batches:
             for content in batch.column(0):
                 rows = []
                 for h, block in parse(content.as_py()):
                     number, total = h.get("warc-segment-number"), h.get("warc-segment-total-length")
-                    rows.append((h.get("warc-segment-origin-id", h.get("warc-record-id")), number and int(number), total and int(total), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), block))
+                    whole = number is None
+                    size, digest, fine = judged(h.get("warc-type"), h.get("warc-payload-digest"), block)[:3] if whole else (None, None, None)
+                    rows.append((h.get("warc-segment-origin-id", h.get("warc-record-id")), number and int(number), total and int(total), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-payload-digest"), h.get("warc-refers-to"), size, digest, fine, block if blocks or not whole else None))
                     if len(rows) == 512:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                         rows = []
@@ -210,13 +227,11 @@ def assemble(records: DataFrame) -> DataFrame:
                             fine = all(n in later for n in numbers)
                             block = b"".join([block, *(later[n]["block"] for n in sorted(later))])
                             fine = fine and bool(later) and later[max(later)]["total"] == len(block)
-                        payload, stated = http_payload(block)
-                        digest = (head["digest"] or "").removeprefix("sha1:")
-                        if head["kind"] == "revisit":
-                            rows.append((origin, head["uri"], head["kind"], None, stated, digest, head["refers"], fine and stated is not None))
-                        else:
-                            fine = fine and payload is not None and digest_text(payload) == digest
-                            rows.append((origin, head["uri"], head["kind"], payload, len(payload) if payload is not None else None, digest_text(payload) if payload is not None else digest, None, fine))
+                        if block is None:  # judged when it was read
+                            rows.append((origin, head["uri"], head["kind"], None, head["payload_bytes"], head["payload_digest"], head["refers"], head["complete"]))
+                            continue
+                        size, digest, fits, payload = judged(head["kind"], head["digest"], block)
+                        rows.append((origin, head["uri"], head["kind"], payload, size, digest, head["refers"], fine and fits))
                     if not heads:
                         rows.append((origin, None, "continuation", None, None, None, None, False))
                 if rows:
@@ -234,5 +249,5 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Writes the pages to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to, complete."""
     path = scratch(pages.sparkSession, "warc")
     write_archives(pages, path, **options)
-    read = assemble(read_records(pages.sparkSession, path))
+    read = assemble(read_records(pages.sparkSession, path, blocks=False))
     return read.select(page_of(F.col("origin")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of(F.col("refers")).alias("refers_to"), "complete")
