@@ -110,7 +110,8 @@ def key_table(records: DataFrame, tiers: tuple[str, ...] = PRODUCTION, probe: bo
         return F.transform(tier.keys(probe), lambda k: F.struct(F.lit(tier.name).alias("tier"), F.lit(tier.score).alias("score"), k.alias("key")))
 
     lists = [entries(TIERS[name]) for name in tiers]
-    return records.select("entity_id", "src", F.explode(F.concat(*lists)).alias("k")).select("entity_id", "src", "k.*")
+    # Outer, as a plain explode would be given a filter on the list's size, for which all keys would be made twice.
+    return records.select("entity_id", "src", F.explode_outer(F.concat(*lists)).alias("k")).where("k.key is not null").select("entity_id", "src", "k.*")
 
 
 def pruned(keys: DataFrame, limit: int | dict[str, int] | None = None) -> DataFrame:
@@ -159,8 +160,8 @@ def per_key_take(hits: DataFrame, per_tier: int, total: int) -> DataFrame:
 
 def address_overlap(records: DataFrame, least: int = 2, min_length: int = 3) -> DataFrame:
     """(s1_id, cand_id, shared) of pairs with ``least`` or more common address words of ``min_length`` letters, within a country."""
-    words = F.explode(F.array_distinct(F.filter("addr_words", lambda w: F.length(w) >= min_length))).alias("w")
-    rows = records.select("entity_id", "src", "country", words)
+    words = F.explode_outer(F.array_distinct(F.filter("addr_words", lambda w: F.length(w) >= min_length))).alias("w")
+    rows = records.select("entity_id", "src", "country", words).where("w is not null")
     a, b = rows.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "w"), rows.where("src <> 1").select(F.col("entity_id").alias("cand_id"), "country", "w")
     return a.join(b, ["country", "w"]).groupBy("s1_id", "cand_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
@@ -173,7 +174,7 @@ def tfidf_pairs(records: DataFrame, low: int = 2, high: int = 4, min_df: int = 1
     is formed.  A term in more than ``max_df`` of a country's documents is dropped.
     """
     grams = F.flatten(F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(w) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(w) + 2 - n + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, n))).otherwise(F.array(F.concat(F.lit(" "), w, F.lit(" "))))))))
-    own = records.select("entity_id", "src", "country", F.explode(grams).alias("g")).groupBy("entity_id", "src", "country", "g").agg(F.count(F.lit(1)).alias("tf"))
+    own = records.select("entity_id", "src", "country", F.explode_outer(grams).alias("g")).where("g is not null").groupBy("entity_id", "src", "country", "g").agg(F.count(F.lit(1)).alias("tf"))
     fitted = records if fit_on_anchors else records.where("src <> 1")
     fit_rows = own if fit_on_anchors else own.where("src <> 1")
     n = fitted.groupBy("country").agg(F.count(F.lit(1)).alias("n"))

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 def counts(anchors: DataFrame, truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """(s1_id, n_true, n_pred, tp) of every anchor."""
-    one = anchors.sparkSession.range(1).select(F.lit(0).alias("_one"))
-    return _with_all(anchors, truth, predicted.select(F.lit(0).alias("_one"), "s1_id", "cand_id"), one, "_one").drop("_one")
+    return _with_all(anchors, truth, predicted.select(F.lit(0).alias("_one"), "s1_id", "cand_id"), [0], "_one").drop("_one")
 
 
 def f05() -> Column:
@@ -87,30 +86,27 @@ def score_spread(per_entity: DataFrame) -> DataFrame:
 def threshold_sweep(anchors: DataFrame, truth: DataFrame, scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """The summary at each threshold, in one job: the thresholds are exploded over the scored pairs."""
     rows = scored.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col("prob") >= F.col("threshold"))
-    settings = rows.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
-    c = _with_all(anchors, truth, rows, settings, "threshold")
+    c = _with_all(anchors, truth, rows, thresholds, "threshold")
     return summary(c, ("threshold",))
 
 
-def _with_all(anchors: DataFrame, truth: DataFrame, rows: DataFrame, settings: DataFrame, name: str) -> DataFrame:
+def _with_all(anchors: DataFrame, truth: DataFrame, rows: DataFrame, settings: list, name: str) -> DataFrame:
     """Counts for every anchor and every setting, also those that select nothing."""
     keys = ["s1_id", "cand_id"]
     marked = rows.select(name, *keys).distinct().join(truth.select(*keys).distinct().withColumn("hit", F.lit(1)), keys, "left")
     by_pred = marked.groupBy(name, "s1_id").agg(F.count(F.lit(1)).alias("n_pred"), F.coalesce(F.sum("hit"), F.lit(0)).alias("tp"))
     by_true = truth.select(*keys).distinct().groupBy("s1_id").agg(F.count(F.lit(1)).alias("n_true"))
-    base = anchors.select("s1_id").distinct().join(by_true, "s1_id", "left").crossJoin(F.broadcast(settings))
+    base = anchors.select("s1_id").distinct().join(by_true, "s1_id", "left").withColumn(name, F.explode(F.array(*map(F.lit, settings))))
     return base.join(by_pred, [name, "s1_id"], "left").select(name, "s1_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_true", "n_pred", "tp")))
 
 
 def strategy_grid(anchors: DataFrame, truth: DataFrame, strategies: dict[str, DataFrame]) -> DataFrame:
     """The summary of each named set of predicted pairs, in one job."""
-    spark = anchors.sparkSession
     rows = None
     for name, pairs in strategies.items():
         part = pairs.select(F.lit(name).alias("strategy"), "s1_id", "cand_id")
         rows = part if rows is None else rows.unionByName(part)
-    settings = spark.createDataFrame([(n,) for n in strategies], "strategy string")
-    return summary(_with_all(anchors, truth, rows, settings, "strategy"), ("strategy",))
+    return summary(_with_all(anchors, truth, rows, list(strategies), "strategy"), ("strategy",))
 
 
 def probability_spread(scored: DataFrame, truth: DataFrame, cutoffs: list[float]) -> DataFrame:

@@ -69,8 +69,7 @@ def two_tier_grid(anchors: DataFrame, truth: DataFrame, pairs: DataFrame, primar
     grid = F.explode(F.array(*(F.struct(F.lit(p).alias("primary"), F.lit(s).alias("secondary")) for p, s in settings))).alias("t")
     rows = ranked.select("s1_id", "cand_id", "prob", "rank", grid).where(F.col("prob") >= F.when(F.col("rank") == 1, F.col("t.primary")).otherwise(F.col("t.secondary")))
     named = rows.select(F.concat_ws("/", F.col("t.primary"), F.col("t.secondary")).alias("setting"), "s1_id", "cand_id")
-    every = pairs.sparkSession.createDataFrame([(f"{p}/{s}",) for p, s in settings], "setting string")
-    return summary(_with_all(anchors, truth, named, every, "setting"), ("setting",))
+    return summary(_with_all(anchors, truth, named, [f"{p}/{s}" for p, s in settings], "setting"), ("setting",))
 
 
 def cross_validated(labelled: DataFrame, anchors: DataFrame, truth: DataFrame, folds: int = 5, threshold: float = 0.5, **options) -> list[float]:

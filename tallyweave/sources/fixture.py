@@ -31,7 +31,8 @@ def true_pairs(spark: SparkSession, sf_dir: str, words: int = 200, width: int =
     own = docs.select("doc_id", F.slice(F.filter(F.split(F.lower("text"), r"\s+", words + 3), lambda w: w != ""), 1, words).alias("w"))
     hashes = F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(width)), " ")))
     sets = own.select("doc_id", F.array_distinct(F.when(F.size("w") >= width, hashes).otherwise(F.array().cast("array<bigint>"))).alias("s"))
-    rows = sets.select("doc_id", (F.col("doc_id") % 3 + 1).alias("src"), F.size("s").alias("n"), F.explode("s").alias("h"))
+    # Outer, and a size that is never null: else filters on the list would be inferred, for which it would be made again.
+    rows = sets.select("doc_id", (F.col("doc_id") % 3 + 1).alias("src"), F.coalesce(F.size("s"), F.lit(0)).alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
     a, b = rows.where("src = 1").alias("a"), rows.where("src <> 1").alias("b")
     met = a.join(b, F.col("a.h") == F.col("b.h")).groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
     name = lambda c: F.concat(F.lit("S"), (F.col(c) % 3 + 1).cast("string"), F.lit("-"), F.col(c).cast("string"))
