@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import fold, kept_rows
-from tallyweave.llm.textarrays import byte_hasher, chunks, lowered, run_spans, span_hashes
+from tallyweave.llm.textarrays import byte_hasher, chunks, lowered, mix, run_spans
 
 WIDTH = 1 << 20  # weights; feature hashes are taken modulo this
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes
@@ -40,15 +40,23 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (data, *run_spans(data, offsets, _WORD))
 
 
+KINDS = [(0, 0), *((1, k) for k in PREFIXES), *((2, k) for k in SUFFIXES)]  # the word, its beginnings, its ends
+
+
+def feature(hasher, starts: np.ndarray, ends: np.ndarray, kind: tuple[int, int]) -> np.ndarray:
+    """Weight numbers of one kind for each word; number 0, whose weight stays 0, where a word is too short for the kind."""
+    where, length = kind
+    if not where:
+        return (hasher.spans(starts, ends) % np.uint64(WIDTH - 1) + np.uint64(1)).astype(np.int32)
+    low, high = (starts, np.minimum(starts + length, ends)) if where == 1 else (np.maximum(ends - length, starts), ends)
+    h = (hasher.spans(low, high) ^ np.uint64(where * 64 + length)) % np.uint64(WIDTH - 1) + np.uint64(1)
+    return np.where(ends - starts > length, h, np.uint64(0)).astype(np.int32)
+
+
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Weight numbers (feature kinds, words); number 0, whose weight stays 0, where a word is too short for a kind."""
+    """Weight numbers (kinds, words)."""
     hasher = byte_hasher(data)
-    rows = [hasher.spans(starts, ends) % np.uint64(WIDTH - 1) + np.uint64(1)]
-    for kind, length in [(1, k) for k in PREFIXES] + [(2, k) for k in SUFFIXES]:
-        low, high = (starts, np.minimum(starts + length, ends)) if kind == 1 else (np.maximum(ends - length, starts), ends)
-        h = (hasher.spans(low, high) ^ np.uint64(kind * 64 + length)) % np.uint64(WIDTH - 1) + np.uint64(1)
-        rows.append(np.where(ends - starts > length, h, np.uint64(0)))
-    return np.stack(rows).astype(np.int32)
+    return np.stack([feature(hasher, starts, ends, kind) for kind in KINDS])
 
 
 @dataclass
@@ -146,34 +154,36 @@ def document_inputs(p: np.ndarray, first: np.ndarray) -> np.ndarray:
 def token_labels(texts: pa.Array, labels: np.ndarray, least: float = 25.0, ratio: float = 8.0) -> np.ndarray:
     """Features that mark toxic tokens (a bool for each number), from labelled documents.
 
-    Counts lines, each distinct line once, so that copied passages don't speak many times.
-    A feature is taken whose log-likelihood ratio is ``least`` or more and whose rate in toxic documents is ``ratio`` times that in clean ones or more.
+    A feature is counted once for each pair of neighbouring words that it stands between, so that copied and nearly
+    copied passages don't speak many times.  It is taken if the log-likelihood ratio of its counts
+    in toxic and clean documents is ``least`` or more and its rate among toxic ones ``ratio`` times the other or more.
     """
-    counts = np.zeros((2, WIDTH), dtype=np.int64)
-    seen: set[int] = set()
+    counts, n = np.zeros((2, WIDTH), dtype=np.int64), np.ones(2)
     batch = pa.RecordBatch.from_arrays([texts, pa.array(labels)], names=["text", "label"])
-    for part, data, offsets in chunks(iter([batch]), "text"):
-        label = part.column(1).to_numpy()
-        low = lowered(data)
-        line_table = np.ones(256, dtype=bool)
-        line_table[10] = False
-        line_starts, line_ends, _ = run_spans(low, offsets, line_table)
-        hashes = span_hashes(low, line_starts, line_ends)
-        new = np.zeros(len(hashes), dtype=bool)
-        for i, h in enumerate(hashes.tolist()):
-            if h not in seen:
-                seen.add(h)
-                new[i] = True
-        _, starts, ends, first = words_of(data, offsets)
-        line = np.searchsorted(line_starts, starts, side="right") - 1
-        use = new[line] if len(line) else np.zeros(0, bool)
-        doc = np.repeat(np.arange(len(first) - 1), np.diff(first))[use]
-        for row in features(low, starts[use], ends[use]):
-            pairs = np.unique(doc.astype(np.int64) * WIDTH + row)
-            number, own = pairs % WIDTH, label[pairs // WIDTH]
-            for y in (0, 1):
-                counts[y] += np.bincount(number[own == y], minlength=WIDTH)
-    n = np.maximum(np.bincount(labels, minlength=2), 1).astype(float)
+    for kind in KINDS:
+        seen: tuple[list, list] = ([], [])
+        for part, data, offsets in chunks(iter([batch]), "text"):
+            low, starts, ends, first = words_of(data, offsets)
+            hasher = byte_hasher(low)
+            words = hasher.spans(starts, ends)
+            around = np.zeros((2, len(words)), dtype=np.uint64)
+            around[0, 1:], around[1, :-1] = words[:-1], words[1:]
+            own = first[:-1][np.diff(first) > 0]
+            around[0, own] = 0
+            around[1, np.append(own[1:], len(words))[: len(own)] - 1] = 0
+            numbers = feature(hasher, starts, ends, kind).astype(np.uint64)
+            # The number in the low bits, a hash of the place above them.
+            place = mix(mix(around[0]) + around[1] * np.uint64(3) + numbers)
+            keys = place << np.uint64(20) | numbers
+            toxic = np.repeat(part.column(1).to_numpy(), np.diff(first)).astype(bool)
+            seen[0].append(np.unique(keys[~toxic]))
+            seen[1].append(np.unique(keys[toxic]))
+        for y in (0, 1):
+            number = (np.unique(np.concatenate(seen[y])) & np.uint64(WIDTH - 1)).astype(np.int64)
+            counts[y] += np.bincount(number, minlength=WIDTH)
+            if kind == KINDS[0]:
+                n[y] = max(len(number), 1)
+    counts[:, 0] = 0
     k = counts.astype(float)
     rate = (k + 0.5) / (n[:, None] + 1)
     share = (k[0] + k[1]) / n.sum()
