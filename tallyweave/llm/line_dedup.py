@@ -326,10 +326,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only lines that occur more than once or have an earlier near one can lose occurrences.
     marked = firsts.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or near")
     gone = lines.join(marked.drop("c"), ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line") != F.col("first")))
-    drops = gone.groupBy("doc").agg(F.collect_list(F.struct("line", "h1")).alias("_drops"))
+    drops = gone.groupBy(F.col("doc").alias("_dedup_doc")).agg(F.collect_list(F.struct("line", "h1")).alias("_dedup_drops"))
     place = F.coalesce(docs[id_col].cast("long"), F.lit(LAST))
     names = docs.columns
-    joined = docs.withColumn("_place", place).join(drops, F.col("_place") == F.col("doc"), "left").select(*(docs[f"`{c}`"] for c in names), "_drops")
+    joined = docs.withColumn("_dedup_place", place).join(drops, F.col("_dedup_place") == F.col("_dedup_doc"), "left").select(*(F.col(f"`{c}`") for c in names), "_dedup_drops")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,10 +71,10 @@ def test_dedup_by_brute_force(spark):
     rows = [(i, "\n".join(random.choices(pool, k=random.randrange(0, 6)))) for i in range(120)]
     rows += [(None, base[0]), (None, None), (500, None), (501, ""), (502, "\n\n"), (503, "x" * 900), (504, "x" * 899 + "y"), (3, rows[3][1])]
     random.shuffle(rows)
-    df = spark.createDataFrame([(i, 9, t, 1.5, "c") for i, t in rows], "doc_id long, n_removed int, text string, line double, h1 string").repartition(4)
+    df = spark.createDataFrame([(i, 9, t, 1.5, "c") for i, t in rows], "doc_id long, n_removed int, text string, line double, doc string").repartition(4)
     for edits, min_chars in ((2, 12), (1, 8), (0, 20), (3, 16)):
         out = ld.dedup_lines(df, min_chars=min_chars, max_edits=edits)
-        assert out.columns == ["doc_id", "text", "line", "h1", "n_lines", "n_removed"]
+        assert out.columns == ["doc_id", "text", "line", "doc", "n_lines", "n_removed"]
         assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()), key=str) == brute(rows, min_chars, edits)
 
 
