@@ -179,12 +179,16 @@ def token_labels(texts: pa.Array, labels: np.ndarray, least: float = 25.0, ratio
             seen[0].append(np.unique(keys[~toxic]))
             seen[1].append(np.unique(keys[toxic]))
         for y in (0, 1):
-            number = (np.unique(np.concatenate(seen[y])) & np.uint64(WIDTH - 1)).astype(np.int64)
-            counts[y] += np.bincount(number, minlength=WIDTH)
+            total = 0
+            for top in range(8):  # by the highest bits, so that only an eighth is sorted at a time
+                own = np.unique(np.concatenate([k[k >> np.uint64(61) == top] for k in seen[y]]))
+                counts[y] += np.bincount((own & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
+                total += len(own)
             if kind == KINDS[0]:
-                n[y] = max(len(number), 1)
+                n[y] = max(total, 1)
     counts[:, 0] = 0
-    k = counts.astype(float)
+    some = np.flatnonzero(counts[1])
+    k = counts[:, some].astype(float)
     rate = (k + 0.5) / (n[:, None] + 1)
     share = (k[0] + k[1]) / n.sum()
 
@@ -192,8 +196,8 @@ def token_labels(texts: pa.Array, labels: np.ndarray, least: float = 25.0, ratio
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
     llr = 2 * sum(part(k[y], n[y] * share) + part(n[y] - k[y], n[y] * (1 - share)) for y in (0, 1))
-    marks = (llr >= least) & (rate[1] >= ratio * rate[0])
-    marks[0] = False
+    marks = np.zeros(WIDTH, dtype=bool)
+    marks[some[(llr >= least) & (rate[1] >= ratio * rate[0])]] = True
     return marks
 
 
