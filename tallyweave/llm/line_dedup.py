@@ -25,6 +25,7 @@ from tallyweave.llm.textarrays import U64, Hasher, chunks, mix, ragged
 MIN_CHARS, MAX_EDITS = 20, 2
 LAST = (1 << 63) - 1
 _SECOND = U64(0x5851F42D4C957F2D)
+_BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 
 
 class Lines:
@@ -61,6 +62,11 @@ class Lines:
     def length(self) -> np.ndarray:
         return self.ends - self.starts
 
+    def blank(self) -> np.ndarray:
+        """Whether a line has no code point but white space."""
+        inked = np.concatenate([[0], np.cumsum(~np.isin(self.points, _BLANKS))])
+        return inked[self.ends] == inked[self.starts]
+
     def h2(self, which: np.ndarray) -> np.ndarray:
         other = Hasher(mix(self.points.astype(U64) + _SECOND))
         return other.spans(self.starts[which], self.ends[which])
@@ -148,13 +154,16 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(rows[edits] >> (size - len(a) + edits) & 1)
 
 
-def _lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc, line, h1, h2) of every line of ``min_chars`` code points or more."""
+def _lines_of(docs: DataFrame, min_chars: int, short_repeats: bool = False) -> DataFrame:
+    """(doc, line, h1, h2) of every line of ``min_chars`` code points or more; with ``short_repeats`` also of shorter ones that aren't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches, "text"):
             lines = Lines(data, offsets)
-            own = np.flatnonzero(lines.length >= min_chars)
+            wanted = lines.length >= min_chars
+            if short_repeats:
+                wanted |= ~lines.blank()
+            own = np.flatnonzero(wanted)
             ids = batch.column(0).fill_null(LAST).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(ids[lines.doc[own]]), pa.array(lines.number[own]), pa.array(lines.h1[own].view(np.int64)), pa.array(lines.h2(own).view(np.int64))], names=["doc", "line", "h1", "h2"])
 
@@ -307,20 +316,21 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int) -
     return decided.mapInArrow(run, "h1 long, h2 long").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_repeats: bool = False) -> DataFrame:
     """The documents with their text less repeated lines, and n_lines and n_removed.
 
     Lines are what stands between line feeds.  A line of ``min_chars`` code points or more is
     removed if an earlier line, by smaller (doc_id, line number) and of that length too, is within
     ``max_edits`` edits (equal lines included), whether that line itself stays or not; shorter
-    lines stay.  A null text stays null, an empty one empty (one empty line).  Rows that share a
+    lines stay, but with ``short_repeats`` those that aren't blank go where an earlier line
+    equals them.  A null text stays null, an empty one empty (one empty line).  Rows that share a
     doc_id share their line numbers, so repeated rows keep the same lines.  Null ids come after
     all others, as one document.  Other columns stay as they are, but columns named n_lines and
     n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     own = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
-    lines = stored(_lines_of(own, min_chars), "lines")
+    lines = stored(_lines_of(own, min_chars, short_repeats), "lines")
     firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("c")), "firsts")
     later = near_pairs(own, firsts.select("h1", "h2", "first"), min_chars, max_edits)
     # Only lines that occur more than once or have an earlier near one can lose occurrences.

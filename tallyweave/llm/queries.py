@@ -34,7 +34,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
+    done = line_dedup.dedup_lines(read(spark, sf_dir, "documents"), short_repeats=True)
     return done.select("doc_id", "n_lines", "n_removed", F.col("text").alias("deduplicated"))
 
 

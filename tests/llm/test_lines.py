@@ -80,3 +80,19 @@ def test_dedup_by_brute_force(spark):
 
 def test_empty(spark):
     assert ld.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_repeats_go_and_blanks_stay(spark):
+    rows = [(1, "Les.\n\n \t\nLes."), (2, "Les.\n\n\u3000\nLet."), (3, "\n \t\nonly here"), (4, "Let.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.text, r.n_removed) for r in ld.dedup_lines(df, short_repeats=True).collect()}
+    # Equal short lines go, near ones ("Let.") don't.
+    assert got == {1: ("Les.\n\n \t", 1), 2: ("\n\u3000\nLet.", 1), 3: ("\n \t\nonly here", 0), 4: ("", 1)}
+
+
+def test_query_removes_every_repeat(spark):
+    from tallyweave.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    lines = [s for r in queries.op6_line_dedup(spark, sf).collect() for s in r.deduplicated.split("\n") if s.strip()]
+    assert len(lines) == len(set(lines))
