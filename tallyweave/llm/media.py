@@ -134,23 +134,35 @@ def consensus(matches: np.ndarray) -> int:
 
     matches: rows (query corner, image corner, query y, x, scale, direction, image y, x, scale, direction).
     Each match proposes a turn, a scaling and a shift; another agrees if it lands within a few
-    pixels with about the same turn and scaling.  Every corner counts once.
+    pixels with about the same turn and scaling.  Directions and scales are numbers of coarse
+    steps, so a match also proposes, with each match that has about the same ones, the turn and
+    scaling that take the one's corners to the other's.  Every corner counts once.
     """
     best = 0
     q, t = matches[:, 2:6], matches[:, 6:10]
     turn = (t[:, 3] - q[:, 3]) % TURNS
     level = t[:, 2] - q[:, 2]
+    here, there = q[:, 1] + 1j * q[:, 0], t[:, 1] + 1j * t[:, 0]  # x + iy
     for k in range(len(matches)):
-        a = 2 * np.pi * turn[k] / TURNS
-        if turn[k] in (1, TURNS - 1):
-            a = 0.0  # next to upright: copies are seldom turned by so little, direction numbers often are
-        size = SCALES[1] ** -level[k]
-        d = (q[:, :2] - q[k, :2]) * size
-        y = t[k, 0] + d[:, 0] * np.cos(a) + d[:, 1] * np.sin(a)
-        x = t[k, 1] - d[:, 0] * np.sin(a) + d[:, 1] * np.cos(a)
         gap = np.abs((turn - turn[k] + TURNS // 2) % TURNS - TURNS // 2)
-        fits = (np.hypot(y - t[:, 0], x - t[:, 1]) < 3.0) & (gap <= 2) & (level == level[k])
-        best = max(best, min(len(set(matches[fits, 0].tolist())), len(set(matches[fits, 1].tolist()))))
+        alike = np.flatnonzero((gap <= 2) & (level == level[k]))
+        own = matches[alike]
+        if min(len(set(own[:, 0].tolist())), len(set(own[:, 1].tolist()))) <= best:
+            continue  # no proposal of this match can do better
+        size = SCALES[1] ** -level[k]
+        step = np.exp(2j * np.pi * turn[k] / TURNS) * size
+        proposed = [np.array([step])]
+        if turn[k] in (1, TURNS - 1):
+            proposed.append(np.array([size + 0j]))  # direction numbers are often one off
+        away, moved = here[alike] - here[k], there[alike] - there[k]
+        far = np.abs(away) >= 8.0
+        pairs = moved[far] / away[far]
+        change = pairs / step
+        proposed.append(pairs[(np.abs(np.abs(change) - 1) < 0.2) & (np.abs(np.angle(change)) < 3 * np.pi / TURNS)])
+        for z in np.concatenate(proposed):
+            fits = np.abs(there[k] + away * z - there[alike]) < 3.0
+            if fits.sum() > best:
+                best = max(best, min(len(set(own[fits, 0].tolist())), len(set(own[fits, 1].tolist()))))
     return best
 
 

@@ -55,3 +55,33 @@ def test_query_and_odd_rows(spark):
     assert m.drawn_copies(empty).collect() == []
     small = spark.createDataFrame([(1, bytearray(b"junk")), (2, bytearray(m.pgm(np.zeros((5, 5))))), (3, None), (4, bytearray(m.pgm(np.zeros((60, 60)))))], "image_id long, image binary")
     assert m.find_copies(small, small).collect() == []
+
+
+def turned(pixels, degrees):
+    """The picture turned about its middle, edges repeated."""
+    a, angle = pixels.astype(float), np.deg2rad(degrees)
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]] - (np.array(a.shape) - 1).reshape(2, 1, 1) / 2
+    v = np.clip(y * np.cos(angle) - x * np.sin(angle) + (a.shape[0] - 1) / 2, 0, a.shape[0] - 1.001)
+    u = np.clip(y * np.sin(angle) + x * np.cos(angle) + (a.shape[1] - 1) / 2, 0, a.shape[1] - 1.001)
+    i, k = v.astype(int), u.astype(int)
+    fy, fx = v - i, u - k
+    return (a[i, k] * (1 - fx) + a[i, k + 1] * fx) * (1 - fy) + (a[i + 1, k] * (1 - fx) + a[i + 1, k + 1] * fx) * fy
+
+
+def test_corners_of_small_turns_agree():
+    for degrees in (5, 8, 11, 14, 20, -11):
+        places = RNG.uniform(0, 100, (20, 2))  # y, x
+        a = np.deg2rad(degrees)
+        seen = places @ np.array([[np.cos(a), -np.sin(a)], [np.sin(a), np.cos(a)]])
+        step = round(degrees / 360 * m.TURNS) % m.TURNS
+        rows = np.column_stack([np.arange(20), np.arange(20), places, np.zeros((20, 2)), seen, np.zeros(20), np.full(20, step)])
+        assert m.consensus(rows) == 20, degrees
+
+
+def test_slightly_turned_crops_are_found():
+    hits = 0
+    for v in VECTORS[:10]:
+        image = m.render(v)
+        for degrees in (5, 8, 11, 14, 17, 20):
+            hits += brute(image, m.edited(m.pgm(turned(m.pixels_of(image), degrees)))) >= m.INLIERS
+    assert hits >= 54
