@@ -4,7 +4,9 @@ For a text c[0..n) the array S[i] = sum of c[j] * B**j for j < i, modulo two pri
 the hash of any span in constant time, so two spans are compared without reading them and
 longest common extensions are found by binary search.  A fingerprint holds the length, the
 whole text's hash, and the smallest mixed hashes of its spans of WINDOW code points, whose
-overlap estimates the share of common spans of two texts wherever these lie.
+overlap estimates the share of common spans of two texts wherever these lie.  In a short text
+an edit touches every such span, so a text whose spans of NARROW code points are KEPT at most
+has all of these as well, and two such texts are compared by them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from tallyweave.llm.textarrays import U64, mix
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 911_382_323)
 WINDOW = 24  # code points
-KEPT = 64  # span hashes in a fingerprint
+NARROW = 3  # code points, of short texts' spans
+KEPT = 64  # span hashes of one width in a fingerprint
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -89,11 +92,11 @@ class PrefixHashes:
             low, high = (middle, high) if self.equal(start, other, other_start, middle) else (low, middle - 1)
         return low
 
-    def window_hashes(self) -> np.ndarray:
-        """Mixed hashes of all spans of WINDOW code points (of the whole text if it is shorter)."""
+    def window_hashes(self, width: int = WINDOW) -> np.ndarray:
+        """Mixed hashes of all spans of ``width`` code points (of the whole text if it is shorter)."""
         if not self.n:
             return np.zeros(0, U64)
-        width = min(WINDOW, self.n)
+        width = min(width, self.n)
         parts = []
         for k in range(2):
             p, s = U64(PRIMES[k]), self.sums[k]
@@ -101,7 +104,7 @@ class PrefixHashes:
         return mix(parts[0] << U64(32) | parts[1])
 
     def fingerprint(self) -> str:
-        """'length-hash-spans' in hexadecimal; the spans are KEPT values of 32 bits at most, ascending."""
+        """'length-hash-spans' or, of short texts, 'length-hash-spans-narrow' in hexadecimal; the spans of a width are KEPT values of 32 bits at most, ascending."""
         hashes = self.window_hashes() >> U64(32)
         kept = hashes
         if len(hashes) > KEPT:
@@ -113,16 +116,23 @@ class PrefixHashes:
                 size = min(4 * size, len(hashes))
         kept = np.unique(kept)[:KEPT].astype(">u4")
         whole = self.span(0, self.n)
-        return f"{self.n:x}-{whole[0]:08x}{whole[1]:08x}-{kept.tobytes().hex()}"
+        out = f"{self.n:x}-{whole[0]:08x}{whole[1]:08x}-{kept.tobytes().hex()}"
+        if self.n - NARROW + 1 > KEPT:
+            return out
+        return f"{out}-{np.unique(self.window_hashes(NARROW) >> U64(32)).astype('>u4').tobytes().hex()}"
 
 
 def likeness(one: str, other: str) -> float:
-    """0 to 1 from two fingerprints: twice the common spans over all spans of both, as their samples estimate it; 1 for equal fingerprints only."""
+    """0 to 1 from two fingerprints: twice the common spans over all spans of both, as their samples estimate it (exactly, of two short texts); 1 for equal fingerprints only."""
     if one == other:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(x.rpartition("-")[2]), dtype=">u4") for x in (one, other))
+    parts = one.split("-"), other.split("-")
+    short = min(map(len, parts)) == 4
+    a, b = (np.frombuffer(bytes.fromhex(p[3 if short else 2]), dtype=">u4") for p in parts)
     if not len(a) or not len(b):
         return 0.0
+    if short:
+        return float(min(2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b)), 0.9999))
     # Of the union's smallest values all are known: those up to the smaller of the two samples' ends, where a sample is not its whole set.
     union = np.union1d(a, b)[:KEPT]
     common = np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum()

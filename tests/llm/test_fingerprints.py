@@ -60,3 +60,17 @@ def test_query_shape(spark):
     check(spark, [(1, "alone here")])
     check(spark, [(1, "abcdefgh"), (2, "x")])
     assert edit_fingerprints(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_texts_by_exact_measure(spark):
+    def spans(text):
+        return {text[i : i + 3] for i in range(max(len(text) - 2, 1))}
+
+    rows = [(n, "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=n))) for n in range(4, 100)]
+    got = {r.doc_id: r for r in edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for (n, text), (_, after) in zip(rows, rows[1:]):
+        one, two = spans(text), spans(text[: n - n // 4] + after[: n // 4])
+        exact = 2 * len(one & two) / (len(one) + len(two))
+        if n <= 66:
+            assert abs(got[n].near_edited - exact) < 1e-9
+        assert got[n].near_edited > got[n].near_next + 0.25 and got[n].near_edited >= 0.4
