@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.shared import key_filter, passes, stored
 
 SCALES = (1.0, 0.75, 0.5625)
-CORNERS = 32  # the strongest of each scale
+CORNERS = 32  # the strongest of each scale and cell
+CELL = 56  # pixels; a side has one cell less than these fit, one at least
 RADIUS, REACH = 13, 15  # of a descriptor's patch, and how far it is from the image's border at least
 TABLES = 8
 TURNS = 32  # directions
@@ -86,6 +87,15 @@ def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
+def _strongest(strength: np.ndarray, y: np.ndarray, x: np.ndarray, shape: tuple[int, int], cells: tuple[int, int]) -> np.ndarray:
+    """The places of the CORNERS strongest corners of each cell, the strongest first."""
+    order = np.argsort(-strength, kind="stable")
+    cell = (y * cells[0] // shape[0] * cells[1] + x * cells[1] // shape[1])[order]
+    by_cell = np.argsort(cell, kind="stable")
+    firsts = np.searchsorted(cell[by_cell], cell[by_cell])
+    return order[np.sort(by_cell[np.arange(len(cell)) - firsts < CORNERS])]
+
+
 def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Descriptors (corners, 32 bytes) and geometry (corners: y, x, scale number, direction number)."""
     bits, places = [], []
@@ -105,7 +115,8 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                     other = strength[REACH + dy : h - REACH + dy, REACH + dx : w - REACH + dx]
                     peak &= (inner > other) if (dy, dx) < (0, 0) else (inner >= other)
         y, x = np.nonzero(peak)
-        best = np.argsort(-inner[y, x], kind="stable")[:CORNERS]
+        cells = max(1, pixels.shape[0] // CELL - 1), max(1, pixels.shape[1] // CELL - 1)
+        best = _strongest(inner[y, x], y + REACH, x + REACH, a.shape, cells)
         y, x = y[best] + REACH, x[best] + REACH
         if not len(y):
             continue

@@ -85,3 +85,38 @@ def test_slightly_turned_crops_are_found():
         for degrees in (5, 8, 11, 14, 17, 20):
             hits += brute(image, m.edited(m.pgm(turned(m.pixels_of(image), degrees)))) >= m.INLIERS
     assert hits >= 54
+
+
+def large(seed, side):
+    """A textured picture of any size, as fine as the drawings."""
+    rng, a = np.random.default_rng(seed), np.zeros((side, side))
+    for cells, height in ((8, 50), (20, 90), (40, 115)):
+        n = cells * side // m.SIZE
+        a += m._resized(rng.uniform(0, height, (n, n)), side / n)[:side, :side]
+    return np.clip(m._box(a, 1), 0, 255)
+
+
+def crops(pictures, side):
+    """(picture, relit and noisy crop) of each picture, three for each."""
+    rng = np.random.default_rng(side)
+    for k, a in enumerate(pictures):
+        for _ in range(3):
+            y, x = rng.integers(0, len(a) - side + 1, 2)
+            yield k, m.pgm(np.clip(a[y : y + side, x : x + side] * 0.9 + 8 + rng.normal(0, 2, (side, side)), 0, 255))
+
+
+def test_crops_of_large_pictures(monkeypatch):
+    pictures = [large(k, 448) for k in range(4)]
+    whole = [m.pgm(a) for a in pictures]
+    for side in (112, 84):
+        asked = list(crops(pictures, side))
+        got = [brute(whole[k], q) >= m.INLIERS for k, q in asked]
+        with monkeypatch.context() as all_corners:
+            all_corners.setattr(m, "CORNERS", 1 << 30)
+            want = [brute(whole[k], q) >= m.INLIERS for k, q in asked]
+        assert sum(want) >= 11 and sum(got) >= 0.9 * sum(want)
+
+
+def test_corners_grow_with_the_pixels():
+    few, many = (len(m.describe(large(1, side))[0]) for side in (224, 448))
+    assert many > 3 * few > 3 * 3 * m.CORNERS
