@@ -58,6 +58,12 @@ def _paired(spark: SparkSession, sf: str) -> DataFrame:
     return features.with_records(linkage.candidates(records, linkage.Settings(limit=LIMIT, per_source=K)), records)
 
 
+def _paired_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``_paired``, by the tiers' own limits: for queries whose results no SQL with LIMIT defines."""
+    records = _records(spark, sf)
+    return features.with_records(linkage.candidates(records), records)
+
+
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return features.rule_score(_paired(spark, sf))
 
@@ -225,7 +231,8 @@ def _true_pairs(spark, sf):
 def _measure(name: str, column: Callable[[], Column], sql: str | None) -> None:
     @query(None if sql is None else o.with_(*PAIRS, o.PAIRED) + f"SELECT s1_id, cand_id, round({sql}, 6) AS value FROM paired", f"sim_{name}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return _paired(spark, sf).select("s1_id", "cand_id", F.round(column(), 6).alias("value"))
+        paired = _paired_whole if sql is None else _paired
+        return paired(spark, sf).select("s1_id", "cand_id", F.round(column(), 6).alias("value"))
 
 
 _measure("levenshtein", lambda: sim.levenshtein_similarity(F.col("a_name"), F.col("b_name")), "CASE WHEN greatest(length(a_name), length(b_name)) = 0 THEN 1.0 ELSE 1 - levenshtein(a_name, b_name) / greatest(length(a_name), length(b_name)) END")
@@ -250,13 +257,13 @@ def features_native(spark, sf):
 
 @query()
 def features43(spark, sf):
-    return _rounded(features.features43(_paired(spark, sf)).select("s1_id", "cand_id", *features.FS43))
+    return _rounded(features.features43(_paired_whole(spark, sf)).select("s1_id", "cand_id", *features.FS43))
 
 
 @query()
 def features11(spark, sf):
     names = "jw_name tsort_name tset_name partial_name exact_name exact_slug num_match jw_addr tset_addr country_match prio".split()
-    return _rounded(features.features11(_paired(spark, sf)).select("s1_id", "cand_id", *names))
+    return _rounded(features.features11(_paired_whole(spark, sf)).select("s1_id", "cand_id", *names))
 
 
 def _library_sql() -> str:
@@ -287,13 +294,13 @@ def features_library(spark, sf):
 
 @query()
 def features18_blocks(spark, sf):
-    done = features.features18(_paired(spark, sf))
+    done = features.features18(_paired_whole(spark, sf))
     return _rounded(done.select("s1_id", "cand_id", "name_edit_sim", "name_token_sort", "name_token_set", "name_jaccard_bigram", "addr_edit_sim", "both_exact", "max_name_sim"))
 
 
 @query()
 def features18_jaro(spark, sf):
-    done = features.features18(_paired(spark, sf), sim.ratio, jaro=True)
+    done = features.features18(_paired_whole(spark, sf), sim.ratio, jaro=True)
     return _rounded(done.select("s1_id", "cand_id", "name_jaro_winkler", "name_edit_sim", "name_token_sort", "addr_edit_sim", "addr_common_tokens", "max_name_sim"))
 
 
@@ -361,7 +368,7 @@ def claim_conflicts(spark, sf):
 
 @query()
 def link_production(spark, sf):
-    return linkage.link(entities(spark, sf), linkage.Settings(limit=LIMIT, primary=PRIMARY, secondary=SECONDARY))[1]
+    return linkage.link(entities(spark, sf))[1]
 
 
 # Evaluation
@@ -437,7 +444,7 @@ def class_balance(spark, sf):
 
 @query()
 def gbt_scores(spark, sf):
-    labelled = evaluate.labelled(features.features43(_paired(spark, sf)), true_pairs(spark, sf)).persist()
+    labelled = evaluate.labelled(features.features43(_paired_whole(spark, sf)), true_pairs(spark, sf)).persist()
     fitted = model.fit(labelled, trees=10)
     return model.scored(fitted, labelled).select("s1_id", "cand_id", "label", F.round("prob", 6).alias("prob"))
 

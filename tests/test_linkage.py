@@ -145,3 +145,13 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.watch(source, own, "watched", str(tmp_path / "cp"), k=3, limit=10).awaitTermination()
     want = linkage.candidates(normalised(own), linkage.Settings(limit=10, per_source=3))
     assert sorted(map(tuple, stream.current(spark, "watched").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_queries_without_sql_use_the_plans_own_settings(spark, monkeypatch):
+    from tallyweave import queries
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r.s1_id, r.cand_id) for r in linkage.link(entities(spark, sf))[1].collect()}
+    monkeypatch.setattr(queries, "LIMIT", 0)  # would prune every key
+    assert {(r.s1_id, r.cand_id) for r in queries.link_production(spark, sf).collect()} == want != set()
+    assert queries.QUERIES["features18_jaro"](spark, sf).count() == linkage.candidates(queries._records(spark, sf)).count() > 0
