@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from tallyweave.llm.textarrays import ragged, span_hashes
+from tallyweave.llm.textarrays import ragged, same_spans, span_hashes
 
 NONE = np.int32((1 << 31) - 1)  # the rank of a pair that never merges
 REPLAY_BYTES = 1 << 20  # of distinct words that one replay takes
@@ -108,26 +108,35 @@ class Vocabulary:
         found = self.pair_keys[at] == keys
         return np.where(found, self.pair_ranks[at], NONE), self.pair_ids[at]
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted hashes of all tokens' bytes, their ids, and each id's length."""
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted hashes of all tokens' bytes, their ids, each id's length, all tokens' bytes and where each id's begin."""
         if "hashes" not in self._tables:
             ids = np.array([i for i, w in enumerate(self.token_bytes) if w and w not in self.special], dtype=np.int64)
             words = [self.token_bytes[i] for i in ids]
             lengths = np.array([len(w) for w in words], dtype=np.int64)
             ends = np.cumsum(lengths)
-            hashes = span_hashes(np.frombuffer(b"".join(words), dtype=np.uint8), ends - lengths, ends)
+            data = np.frombuffer(b"".join(words), dtype=np.uint8)
+            hashes = span_hashes(data, ends - lengths, ends)
             order = np.argsort(hashes)
-            size = np.zeros(len(self.token_bytes), dtype=np.int64)
-            size[ids] = lengths
-            self._tables["hashes"] = hashes[order], ids[order], size
+            if len(np.unique(hashes)) < len(hashes):
+                raise ValueError("two tokens of the vocabulary have the same hash")
+            size, heads = np.zeros((2, len(self.token_bytes)), dtype=np.int64)
+            size[ids], heads[ids] = lengths, ends - lengths
+            self._tables["hashes"] = hashes[order], ids[order], size, data, heads
         return self._tables["hashes"]
 
-    def token_of(self, hashes: np.ndarray) -> np.ndarray:
-        """The id of the token with these bytes' hash, or -1."""
-        known, ids, _ = self.table()
+    def token_of(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The id of the token that a span's bytes are, found by hash and compared byte by byte, or -1."""
+        known, ids, size, bytes_, heads = self.table()
         at = np.searchsorted(known, hashes)
         at[at == len(known)] = 0
-        return np.where(known[at] == hashes, ids[at], -1)
+        out = np.where(known[at] == hashes, ids[at], -1)
+        hit = np.flatnonzero(out >= 0)
+        token, lengths = out[hit], (ends - starts)[hit]
+        fits = size[token] == lengths
+        fits[fits] = same_spans(data, starts[hit[fits]], bytes_, heads[token[fits]], lengths[fits])
+        out[hit[~fits]] = -1
+        return out
 
     def halves(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The two tokens that each token is finally merged from (itself where it is a byte) and the rank of that merge (-1 for a byte)."""
@@ -330,7 +339,7 @@ def _encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray,
     lengths = ends - starts
     if not vocabulary.whole:
         return merge_replay(vocabulary, data, starts, lengths)
-    token = vocabulary.token_of(span_hashes(data, starts, ends))
+    token = vocabulary.token_of(span_hashes(data, starts, ends), data, starts, ends)
     rest = token < 0
     ids, offsets = merge_replay(vocabulary, data, starts[rest], lengths[rest])
     counts = np.ones(len(starts), dtype=np.int64)
@@ -343,35 +352,81 @@ def _encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray,
 
 
 class WordTable:
-    """Encodings of distinct words by hash, kept between blocks of a worker and started anew beyond ``most`` words."""
+    """Encodings of distinct words, kept between blocks of a worker and started anew beyond ``most`` words or ``most_bytes``.
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
-        self.vocabulary, self.most = vocabulary, most
+    Words are found by hash and then compared byte by byte.  A word whose hash another one has
+    taken is kept by its bytes, in ``odd``.
+    """
+
+    kind = None  # of what is kept: ids, as narrow as the vocabulary allows
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000, most_bytes: int = 64 << 20):
+        self.vocabulary, self.most, self.most_bytes = vocabulary, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, dtype=np.uint64)
         self.slots = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(0, dtype=np.uint16 if len(self.vocabulary.token_bytes) <= 1 << 16 else np.uint32)
+        self.ids = np.zeros(0, dtype=self.kind or (np.uint16 if len(self.vocabulary.token_bytes) <= 1 << 16 else np.uint32))
         self.offsets = np.zeros(1, dtype=np.int64)
-
-    def learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        """Adds words that are not known yet (hashes must be distinct)."""
-        ids, offsets = encode_words(self.vocabulary, data, starts, ends)
-        self.slots = np.concatenate([self.slots, np.arange(len(hashes)) + len(self.offsets) - 1])
+        self.data = np.zeros(0, dtype=np.uint8)
+        self.borders = np.zeros(1, dtype=np.int64)  # of the slots' bytes
+        self.odd: dict[bytes, int] = {}
+
+    def made(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is kept of words, and its offsets."""
+        return encode_words(self.vocabulary, data, starts, ends)
+
+    def _append(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Gives slots to words."""
+        slots = np.arange(len(starts)) + len(self.offsets) - 1
+        ids, offsets = self.made(data, starts, ends)
         self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
         self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
+        self.data = np.concatenate([self.data, data[ragged(starts, ends - starts)]])
+        self.borders = np.concatenate([self.borders, np.cumsum(ends - starts) + self.borders[-1]])
+        return slots
+
+    def learn(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Adds words whose hashes aren't known yet (hashes must be distinct)."""
+        self.slots = np.concatenate([self.slots, self._append(data, starts, ends)])
         self.hashes = np.concatenate([self.hashes, hashes])
         order = np.argsort(self.hashes)
         self.hashes, self.slots = self.hashes[order], self.slots[order]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Slots of words, -1 for unknown ones."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1, dtype=np.int64)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, self.slots[at], -1)
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether some word has that hash."""
+        return np.isin(hashes, self.hashes)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of words whose hashes are known; a word that isn't the one with its hash gets a slot of its own."""
+        slots = self.slots[np.searchsorted(self.hashes, hashes)] if len(hashes) else np.zeros(0, np.int64)
+        lengths = ends - starts
+        fits = np.diff(self.borders)[slots] == lengths
+        fits[fits] = same_spans(data, starts[fits], self.data, self.borders[slots[fits]], lengths[fits])
+        for k in np.flatnonzero(~fits).tolist():
+            word = data[starts[k] : ends[k]].tobytes()
+            if word not in self.odd:
+                self.odd[word] = int(self._append(data, starts[k : k + 1], ends[k : k + 1])[0])
+            slots[k] = self.odd[word]
+        return slots
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the distinct words, and for each word which one it is; words are told apart by their bytes, so a hash may occur twice."""
+    hashes = span_hashes(data, starts, ends)
+    distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths, first = ends - starts, index[inverse]
+    same = lengths == lengths[first]
+    same[same] = same_spans(data, starts[same], data, starts[first[same]], lengths[same])
+    odd = np.flatnonzero(~same)
+    if len(odd):
+        words: dict[bytes, int] = {}
+        for k in odd.tolist():
+            inverse[k] = words.setdefault(data[starts[k] : ends[k]].tobytes(), len(distinct) + len(words))
+        extra = odd[np.unique(inverse[odd], return_index=True)[1]]
+        distinct, index = np.concatenate([distinct, hashes[extra]]), np.concatenate([index, extra])
+    return distinct, index, inverse
 
 
 @dataclass
@@ -390,40 +445,35 @@ def blocks(table: WordTable, pieces, most: int = 12 << 20):
 
     def flush():
         nonlocal waiting, size
-        if len(table.hashes) > table.most:
+        if len(table.hashes) > table.most or len(table.data) > table.most_bytes:
             table.clear()
-        unknown = [(u[table.find(u) < 0], s, data) for u, s, data in ((w[3], w[4], w[5]) for w in waiting)]
-        # The first piece that has a word lends its bytes.
-        hashes, where, parts, shift = [], [], [], 0
-        for (fresh, spans, data), w in zip(unknown, waiting, strict=True):
-            keep = np.isin(w[3], fresh)
-            starts, ends = spans[0][keep], spans[1][keep]
-            lengths = ends - starts
+        # The first piece that has a word of a new hash lends its bytes.
+        hashes, spans, parts, shift = [], [], [], 0
+        for _, _, _, distinct, heads, data, _, _ in waiting:
+            fresh = np.flatnonzero(~table.known(distinct))
+            starts, lengths = heads[fresh], heads[fresh + 1] - heads[fresh]
             parts.append(data[ragged(starts, lengths)])
-            heads = np.cumsum(lengths) - lengths + shift
-            where.append(np.stack([heads, heads + lengths]))
-            hashes.append(fresh)
+            ends = np.cumsum(lengths) + shift
+            spans.append(np.stack([ends - lengths, ends]))
+            hashes.append(distinct[fresh])
             shift += int(lengths.sum())
-        if hashes and sum(map(len, hashes)):
+        if sum(map(len, hashes)):
             every = np.concatenate(hashes)
             index = np.sort(np.unique(every, return_index=True)[1])  # in the bytes' order, so that parts of them lie together
-            spans = np.concatenate(where, axis=1)[:, index]
-            table.learn(every[index], np.concatenate(parts), spans[0], spans[1])
-        for keys, first_word, inverse, distinct, _, _, special, n_bytes in waiting:
-            slots = table.find(distinct)[inverse]
+            both = np.concatenate(spans, axis=1)[:, index]
+            table.learn(every[index], np.concatenate(parts), both[0], both[1])
+        for keys, first_word, inverse, distinct, heads, data, special, n_bytes in waiting:
+            slots = table.find(distinct, data, heads[:-1], heads[1:])[inverse]
             slots[special >= 0] = -2 - special[special >= 0]
             yield Block(keys, first_word, slots, n_bytes)
         waiting, size = [], 0
 
     for keys, data, offsets in pieces:
         starts, ends, first_word, special = split_words(data, offsets, table.vocabulary.special)
-        hashes = span_hashes(data, starts, ends)
-        distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        spans = np.stack([starts[index], ends[index]])
-        lengths = spans[1] - spans[0]
-        own = data[ragged(spans[0], lengths)]
-        heads = np.cumsum(lengths) - lengths
-        waiting.append((keys, first_word, inverse, distinct, np.stack([heads, heads + lengths]), own, special, np.diff(offsets)))
+        distinct, index, inverse = distinct_words(data, starts, ends)
+        lengths = (ends - starts)[index]
+        own = data[ragged(starts[index], lengths)]
+        waiting.append((keys, first_word, inverse, distinct, np.concatenate([[0], np.cumsum(lengths)]), own, special, np.diff(offsets)))
         size += len(data)
         if size >= most:
             yield from flush()

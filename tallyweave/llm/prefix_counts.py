@@ -3,8 +3,9 @@
 For each prefix of a word the table holds the last token of its encoding: the one token
 that ends there and is compatible with the last token of the prefix before it.  The count
 of a prefix is one more than that shorter prefix's.  Counts of a document's prefixes are
-running sums over its words, so a truncation or a budget is answered by a search in the
-table and at most two words' tables, never by encoding again.
+running sums over its words and these tables, and the few prefixes whose end is split otherwise
+than the whole text are tabulated with them.  So a truncation or a budget is answered by a
+search in the tables, never by encoding again.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from tallyweave.llm import bpe
 from tallyweave.llm.shared import tokenizer_path
-from tallyweave.llm.textarrays import byte_hasher, chunks, ragged
+from tallyweave.llm.textarrays import Hasher, chunks, ragged
 
 LONG_WORD = 64  # longer words are tabulated one by one
 
@@ -78,14 +79,14 @@ def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarra
     short = np.flatnonzero(lengths <= LONG_WORD)
     short = short[np.argsort(lengths[short], kind="stable")]
     size = lengths[short]
-    hasher = byte_hasher(text)
+    hasher = Hasher(text)
     for p in range(1, int(size[-1]) + 1 if len(size) else 0):
         open_ = heads[short[np.searchsorted(size, p) :]]  # starts of the words that have this prefix
         for length in range(min(p, longest), 0, -1):
             if not len(open_):
                 break
             to = open_ + p
-            token = vocabulary.token_of(hasher.spans(to - length, to))
+            token = vocabulary.token_of(hasher.spans(to - length, to), text, to - length, to)
             some = np.flatnonzero(token >= 0)
             some = some[real[token[some]]]
             if not len(some):
@@ -102,96 +103,153 @@ def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarra
             rest[some] = False
             open_ = open_[rest]
     for w in np.flatnonzero(lengths > LONG_WORD):
-        count[heads[w] : heads[w] + lengths[w]] = _long_word(vocabulary, text[heads[w] : heads[w] + lengths[w]].tobytes(), longest, real)
+        count[heads[w] : heads[w] + lengths[w]] = _long_word(vocabulary, text[heads[w] : heads[w] + lengths[w]].tobytes(), real)
     return count, offsets
 
 
-def _long_word(vocabulary: bpe.Vocabulary, word: bytes, longest: int, real: np.ndarray) -> list[int]:
+def _long_word(vocabulary: bpe.Vocabulary, word: bytes, real: np.ndarray) -> list[int]:
     """The same table for one long word, prefix by prefix."""
     memory = vocabulary._tables.setdefault("long", {})
     if "ids" not in memory:
         memory["ids"] = {w: i for i, w in enumerate(vocabulary.token_bytes) if w and real[i]}
+        memory["ends"] = {w[k:] for w in memory["ids"] for k in range(len(w))}
         memory["fine"] = {}
-    ids, fine = memory["ids"], memory["fine"]
+    ids, ends, fine = memory["ids"], memory["ends"], memory["fine"]
     count, last = [0], [-1]
     for p in range(1, len(word) + 1):
-        for length in range(min(p, longest), 0, -1):
-            token = ids.get(word[p - length : p])
-            if token is None:
-                continue
-            before = last[p - length]
-            if p > length:
-                pair = (before, token)
+        found = []  # tokens that end here, from the shortest
+        low = p - 1
+        while low >= 0 and (part := word[low:p]) in ends:
+            if (token := ids.get(part)) is not None:
+                found.append((low, token))
+            low -= 1
+        for low, token in reversed(found):
+            if low:
+                pair = (last[low], token)
                 if pair not in fine:
                     if len(fine) > 1_000_000:
                         fine.clear()
-                    fine[pair] = bool(compatible(vocabulary, np.array([before]), np.array([token]))[0])
+                    fine[pair] = bool(compatible(vocabulary, np.array([last[low]]), np.array([token]))[0])
                 if not fine[pair]:
                     continue
-            count.append(count[p - length] + 1)
+            count.append(count[low] + 1)
             last.append(token)
             break
     return count[1:]
 
 
 class DocumentPrefixes:
-    """The prefix table of one text: counts at every word border, and inside words from their own tables."""
+    """Token counts of every prefix of one text, all of them tabulated when it is made.
+
+    A prefix that ends in a word costs what the words before cost and what the word's table
+    says.  Otherwise split, and tabulated apart (``odd_at``, ``odd_count``), are prefixes that end
+    with a run of white space which something follows, within a contraction, or within a special string.
+    """
 
     def __init__(self, vocabulary: bpe.Vocabulary, text: bytes):
-        self.vocabulary, self.text = vocabulary, text
-        self.data = np.frombuffer(text, dtype=np.uint8)
-        self.starts, self.ends, _, self.special = bpe.split_words(self.data, np.array([0, len(text)]), vocabulary.special)
-        totals = _word_totals(vocabulary, self.data, self.starts, self.ends, self.special)
+        self.text, self.data = text, np.frombuffer(text, dtype=np.uint8)
+        self.starts, self.ends, _, special = bpe.split_words(self.data, np.array([0, len(text)]), vocabulary.special)
+        distinct, index, inverse = bpe.distinct_words(self.data, self.starts, self.ends)
+        self.table, offsets = prefix_table(vocabulary, self.data, self.starts[index], self.ends[index])
+        self.heads = offsets[:-1][inverse]
+        totals = self.table[offsets[1:] - 1][inverse].astype(np.int64) if len(inverse) else np.zeros(0, np.int64)
+        totals[special >= 0] = 1
         self.before = np.concatenate([[0], np.cumsum(totals)])
+        odd = self._after_space(vocabulary, special) + self._contractions(vocabulary) + self._in_special(vocabulary, special)
+        odd = dict(odd)
+        self.odd_at = np.array(sorted(odd), dtype=np.int64)
+        self.odd_count = np.array([odd[p] for p in self.odd_at.tolist()], dtype=np.int64)
+        self.odd_least = np.minimum.accumulate(self.odd_count[::-1])[::-1]
+
+    def _word(self, w: int) -> bytes:
+        return self.text[self.starts[w] : self.ends[w]]
+
+    def _after_space(self, vocabulary: bpe.Vocabulary, special: np.ndarray) -> list[tuple[int, int]]:
+        """Ends of runs of two or more white-space characters that something follows: such a prefix ends with the run as one word."""
+        at = np.flatnonzero((self.data & 0xC0) != 0x80)
+        if not len(at):
+            return []
+        points = np.frombuffer(self.text.decode().encode("utf-32-le"), dtype=np.uint32)
+        space = np.concatenate([[False], bpe.code_point_classes()[points] == 3, [False]])
+        heads, tails = np.flatnonzero(space[1:] & ~space[:-1]), np.flatnonzero(~space[1:] & space[:-1])
+        some = (tails - heads >= 2) & (tails < len(at))
+        low, high = at[heads[some]], at[tails[some]]
+        first = np.searchsorted(self.starts, low)
+        within = special[np.searchsorted(self.starts, high, side="right") - 1] < 0  # a run before a special string is one word anyway
+        low, high, first = low[within], high[within], first[within]
+        distinct, index, inverse = bpe.distinct_words(self.data, low, high)
+        return list(zip(high.tolist(), (self.before[first] + _totals(vocabulary, self.data, low[index], high[index])[inverse]).tolist(), strict=True))
+
+    def _contractions(self, vocabulary: bpe.Vocabulary) -> list[tuple[int, int]]:
+        """'r, 'v and 'l, the beginnings of longer contractions, are two words."""
+        words = np.frombuffer(b"'rvl", dtype=np.uint8)
+        costs = _totals(vocabulary, words, np.arange(4), np.arange(1, 5))
+        three = np.flatnonzero((self.ends - self.starts == 3) & (self.data[self.starts] == ord("'"))) if len(self.starts) else []
+        cost = dict(zip((b"'re", b"'ve", b"'ll"), costs[0] + costs[1:], strict=True))
+        return [(int(self.starts[w]) + 2, int(self.before[w] + cost[self._word(w)])) for w in three if self._word(w) in cost]
+
+    def _in_special(self, vocabulary: bpe.Vocabulary, special: np.ndarray) -> list[tuple[int, int]]:
+        """A cut special string is ordinary text and may join the word before it."""
+        out, known = [], {}
+        for w in np.flatnonzero(special >= 0).tolist():
+            low = w
+            while low and special[low - 1] < 0:
+                low -= 1
+                if not self._word(low).decode().isspace():
+                    break
+            tail = self.text[self.starts[low] : self.ends[w] - 1]
+            if tail not in known:
+                size = len(self._word(w)) - 1
+                own = DocumentPrefixes(vocabulary, tail)
+                known[tail] = [own.count(len(tail) - size + k + 1) for k in range(size)]
+            out += [(int(self.starts[w]) + 1 + k, int(self.before[low]) + n) for k, n in enumerate(known[tail])]
+        return out
 
     def count(self, n_bytes: int) -> int:
         """Tokens of the text's first ``n_bytes`` bytes (a code point's border)."""
         if n_bytes >= len(self.text):
             return int(self.before[-1])
-        w = int(np.searchsorted(self.ends, n_bytes, side="left"))
-        if w >= len(self.starts) or n_bytes <= 0:
+        if n_bytes <= 0:
             return 0
-        # White space at a prefix's end is split otherwise than inside a text: its whole run is looked at again, and so is a cut special string.
-        low = w
-        while low and self.data[self.starts[low - 1] : self.ends[low - 1]].tobytes().decode().isspace():
-            low -= 1
-        rest = self.data[self.starts[low] : n_bytes]
-        starts, ends, _, special = bpe.split_words(rest, np.array([0, len(rest)]), self.vocabulary.special)
-        return int(self.before[low] + _word_totals(self.vocabulary, rest, starts, ends, special).sum())
+        k = int(np.searchsorted(self.odd_at, n_bytes))
+        if k < len(self.odd_at) and self.odd_at[k] == n_bytes:
+            return int(self.odd_count[k])
+        w = int(np.searchsorted(self.ends, n_bytes))
+        return int(self.before[w + 1]) if n_bytes == self.ends[w] else int(self.before[w] + self.table[self.heads[w] + n_bytes - self.starts[w] - 1])
 
     def truncate(self, budget: int) -> int:
-        """The most bytes, at a code point's border, of a prefix of at most ``budget`` tokens whose longer prefixes within the same word all cost more."""
+        """The most bytes, at a code point's border, of a prefix of at most ``budget`` tokens."""
         if self.before[-1] <= budget:
             return len(self.text)
-        w = int(np.searchsorted(self.before, budget, side="right")) - 1
-        best = int(self.starts[w]) if w < len(self.starts) else 0
-        for p in range(best + 1, int(self.ends[w]) + 1):
-            if (p == len(self.text) or (self.data[p] & 0xC0) != 0x80) and self.count(p) <= budget:
-                best = p
+        k = int(np.searchsorted(self.odd_least, budget, side="right")) - 1
+        best = int(self.odd_at[k]) if k >= 0 else 0
+        # A word's prefixes cost one token at least beside the words before.
+        w = int(np.searchsorted(self.before[:-1], budget)) - 1
+        while w >= 0 and self.ends[w] > best:
+            places = np.arange(self.starts[w] + 1, self.ends[w] + 1)
+            costs = self.before[w] + self.table[self.heads[w] : self.heads[w] + len(places)].astype(np.int64)
+            costs[-1] = self.before[w + 1]
+            fits = (costs <= budget) & ((self.data[places % len(self.data)] & 0xC0) != 0x80) & ~np.isin(places, self.odd_at)
+            if fits.any():
+                return max(best, int(places[fits][-1]))
+            w -= 1
         return best
 
 
-def _word_totals(vocabulary, data, starts, ends, special) -> np.ndarray:
+def _totals(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Token counts of whole words, none of them empty."""
     count, offsets = prefix_table(vocabulary, data, starts, ends)
-    totals = np.zeros(len(starts), dtype=np.int64)
-    full = np.diff(offsets) > 0
-    totals[full] = count[offsets[1:][full] - 1]
-    totals[special >= 0] = 1
-    return totals
+    return count[offsets[1:] - 1].astype(np.int64)
 
 
 class CountTable(bpe.WordTable):
     """A word table that keeps each distinct word's prefix counts instead of its ids."""
 
-    def learn(self, hashes, data, starts, ends) -> None:
+    kind = np.uint32
+
+    def made(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tables = [prefix_table(self.vocabulary, data, starts[cut], ends[cut])[0] for cut in bpe.batched(starts, ends, 1 << 20)]
-        count, offsets = np.concatenate([np.zeros(0, np.int64), *tables]), np.concatenate([[0], np.cumsum(ends - starts)])
-        self.slots = np.concatenate([self.slots, np.arange(len(hashes)) + len(self.offsets) - 1])
-        self.ids = np.concatenate([self.ids, count.astype(self.ids.dtype)])
-        self.offsets = np.concatenate([self.offsets, offsets[1:] + self.offsets[-1]])
-        self.hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(self.hashes)
-        self.hashes, self.slots = self.hashes[order], self.slots[order]
+        return np.concatenate([np.zeros(0, np.int32), *tables]), np.concatenate([[0], np.cumsum(ends - starts)])
 
     def totals(self) -> np.ndarray:
         return self.ids[self.offsets[1:] - 1].astype(np.int64)
@@ -208,6 +266,30 @@ def count_table(path: str) -> CountTable:
     return CountTable(vocabulary_file(path))
 
 
+def truncated(docs: DataFrame, budget: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """One row for each document: doc_id, text cut to the longest beginning of at most ``budget`` tokens, n_tokens of that and n_tokens_whole.
+
+    The cut is read off the prefix tables.  A null text counts as empty; a budget of 0 or less leaves nothing.
+    Repeated rows and null ids keep their rows; other columns are ignored.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary_file(tokenizer_path(vocabulary))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, rows = batch.slice(at, 64), []
+                for text in part.column(1).to_pylist():
+                    raw = (text or "").encode()
+                    prefixes = DocumentPrefixes(words, raw)
+                    end = prefixes.truncate(budget)
+                    rows.append((raw[:end].decode(), prefixes.count(end), prefixes.count(len(raw))))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "text", "n_tokens", "n_tokens_whole"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, text string, n_tokens long, n_tokens_whole long")
+
+
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """One row for each document: id, n_bytes, n_tokens, over_limit (n_tokens > limit) and words_within.
 

@@ -1,9 +1,10 @@
 """Vectorised text primitives shared by the corpus operators.
 
 A batch of texts is one uint8 array of UTF-8 bytes plus document offsets, taken from
-Arrow's own buffers.  Words are byte spans; a span's 64-bit hash comes from prefix sums
-of a polynomial (mod 2**64) over a byte table, so hashing all words of a batch is a few
-array operations whatever their lengths.
+Arrow's own buffers.  Words are byte spans; a span's hash comes from prefix sums of a
+polynomial modulo the prime 2**61 - 1, so hashing all words of a batch is a few array
+operations whatever their lengths.  (Modulo a power of two, strings of the Thue-Morse kind
+collide under every base.)  Who must not confuse two spans compares their bytes as well.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse mod 2**64
-_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+PRIME = (1 << 61) - 1
+_P = U64(PRIME)
+BASES = (0x0C7A9D5E3B1F4862, 0x13E6B0F7A24C98D1)  # drawn at random below PRIME
+_LOW31, _LOW30 = U64((1 << 31) - 1), U64((1 << 30) - 1)
+RUN = 1 << 23  # bytes over which prefix sums need no reduction
 _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 
 
@@ -29,27 +33,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=U64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U64), np.ones(1, U64))
+_powers: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def _power_arrays(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n (kept and grown by doubling)."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME (in a new array)."""
+    x = (x & _P) + (x >> U64(61))
+    np.subtract(x, _P, out=x, where=x >= _P)
+    return x
+
 
-        def grown(base: np.uint64) -> np.ndarray:
-            steps = np.full(size, base, dtype=U64)
-            steps[0] = 1
-            return np.multiply.accumulate(steps)
+def mod_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME for a, b < PRIME, from products of 31-bit halves."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    total = (a1 * b1 << U64(1)) + (middle >> U64(30)) + ((middle & _LOW30) << U64(31))
+    total += a0 * b0
+    return _reduced(total)
 
-        _powers = (grown(_BASE), grown(_INVERSE))
-    return _powers[0][:n], _powers[1][:n]
+
+def _power_arrays(k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The upper and lower halves of BASES[k]**i, and BASES[k]**-i, for i < n (kept and doubled as needed)."""
+    if k not in _powers or len(_powers[k][2]) < n:
+        size = max(1 << 16, 1 << (n - 1).bit_length())
+        power, inverse = np.ones(1, U64), np.ones(1, U64)
+        while len(power) < size:
+            step, back = (U64(pow(BASES[k], e, PRIME)) for e in (len(power), -len(power)))
+            power, inverse = np.concatenate([power, mod_product(power, step)]), np.concatenate([inverse, mod_product(inverse, back)])
+        _powers[k] = power >> U64(31), power & _LOW31, inverse
+    return _powers[k]
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
@@ -58,27 +74,48 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 class Hasher:
-    """Hashes of spans of a sequence of 64-bit values from prefix sums that are made once."""
-
-    def __init__(self, values: np.ndarray):
-        power, self.inverse = _power_arrays(len(values) + 1)
-        self.prefix = np.zeros(len(values) + 1, dtype=U64)
-        np.cumsum(values * power[: len(values)], out=self.prefix[1:])
+    """Hashes of spans of bytes from prefix sums that are made once; ``which`` names the base."""
+
+    def __init__(self, data: np.ndarray, which: int = 0):
+        high, low, self.inverse = _power_arrays(which, len(data) + 1)
+        values = data.astype(U64) + U64(1)
+        self.high, self.low = np.zeros(len(data) + 1, dtype=U64), np.zeros(len(data) + 1, dtype=U64)
+        for sums, power in ((self.high, high), (self.low, low)):
+            for at in range(0, len(data), RUN):
+                run = values[at : at + RUN]
+                part = np.cumsum(run * power[at : at + len(run)], out=sums[at + 1 : at + 1 + len(run)])
+                if at:
+                    part += sums[at] % _P
+        self.long = len(data) > RUN
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes; equal spans give equal hashes wherever they stand."""
-        h = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
+        if self.long:
+            high, low = (_reduced(_reduced(s[ends]) + _P - _reduced(s[starts])) for s in (self.high, self.low))
+        else:
+            high, low = _reduced(self.high[ends] - self.high[starts]), self.low[ends] - self.low[starts]
+        # The upper halves stand for 2**31 times themselves, which is a rotation by 31 of 61 bits.
+        total = _reduced(((high & _LOW30) << U64(31)) + (high >> U64(30)) + _reduced(low))
+        h = mod_product(total, self.inverse[starts])
         h += (ends - starts).astype(U64) * _M1
         return mix(h)
 
 
-def byte_hasher(data: np.ndarray) -> Hasher:
-    return Hasher(_BYTE_VALUE[data])
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans."""
-    return byte_hasher(data).spans(starts, ends)
+    return Hasher(data).spans(starts, ends)
+
+
+def same_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans a[a_starts:][:lengths] and b[b_starts:][:lengths] hold the same bytes (one bool for each)."""
+    out = np.ones(len(lengths), dtype=bool)
+    full = lengths > 0
+    if full.any():
+        size = lengths[full]
+        differs = a[ragged(a_starts[full], size)] != b[ragged(b_starts[full], size)]
+        if differs.any():
+            out[full] = ~np.logical_or.reduceat(differs, np.cumsum(size) - size)
+    return out
 
 
 def run_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import fold, kept_rows
-from tallyweave.llm.textarrays import byte_hasher, chunks, lowered, mix, run_spans
+from tallyweave.llm.textarrays import Hasher, chunks, lowered, mix, run_spans
 
 WIDTH = 1 << 20  # weights; feature hashes are taken modulo this
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes
@@ -55,7 +55,7 @@ def feature(hasher, starts: np.ndarray, ends: np.ndarray, kind: tuple[int, int])
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Weight numbers (kinds, words)."""
-    hasher = byte_hasher(data)
+    hasher = Hasher(data)
     return np.stack([feature(hasher, starts, ends, kind) for kind in KINDS])
 
 
@@ -164,7 +164,7 @@ def token_labels(texts: pa.Array, labels: np.ndarray, least: float = 25.0, ratio
         seen: tuple[list, list] = ([], [])
         for part, data, offsets in chunks(iter([batch]), "text"):
             low, starts, ends, first = words_of(data, offsets)
-            hasher = byte_hasher(low)
+            hasher = Hasher(low)
             words = hasher.spans(starts, ends)
             around = np.zeros((2, len(words)), dtype=np.uint64)
             around[0, 1:], around[1, :-1] = words[:-1], words[1:]

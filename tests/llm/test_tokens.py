@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 P = pytest.importorskip("public_tokenizers")
 
 from tallyweave.llm import bpe, bpe_codec, packing, prefix_counts  # noqa: E402
+from tallyweave.llm.textarrays import span_hashes  # noqa: E402
 
 SPECIAL = "<|endoftext|>"
 random.seed(3)
@@ -99,3 +101,66 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     for f in (prefix_counts.token_counts, bpe_codec.codec_digests, packing.pack):
         assert f(empty).collect() == []
+
+
+def thue_morse(n, a, b):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+@pytest.mark.parametrize("letters", ["ab", "es", "th"])
+def test_strings_that_collide_modulo_powers_of_two(spark, libraries, letters):
+    texts = [t for n in (512, 1024, 2048, 4096, 8192) for t in thue_morse(n, *letters)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    assert {r.doc_id: r.n_tokens for r in prefix_counts.token_counts(docs).collect()} == {i: len(libraries[0](t)) for i, t in enumerate(texts)}
+    assert {r.doc_id: r.ids for r in bpe_codec.encode(docs).collect()} == {i: libraries[1](t) for i, t in enumerate(texts)}
+    ids = {}
+    for r in packing.pack(docs).collect():
+        ids.setdefault(r.doc_id, []).append((r.start, r.ids))
+    assert {i: [x for _, part in sorted(parts) for x in part] for i, parts in ids.items()} == {i: [*libraries[0](t), 1] for i, t in enumerate(texts)}
+
+
+def test_colliding_hashes_change_nothing(libraries, monkeypatch):
+    """Words that share a hash are told apart by their bytes."""
+    vocabulary = bpe.Vocabulary.from_json(P.path("byte_bpe_50k.json"))
+    vocabulary.table()
+    few = lambda data, starts, ends: span_hashes(data, starts, ends) % np.uint64(7)
+    monkeypatch.setattr(bpe, "span_hashes", few)
+    table = bpe.WordTable(vocabulary)
+    raw = [t.encode() for t in TEXTS]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    pieces = [(list(range(a, b)), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in ((0, 100), (100, len(raw)))]
+    for block in bpe.blocks(table, pieces, most=1 << 10):
+        ids, ends = bpe_codec.block_ids(table, block)
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [libraries[0](TEXTS[k]) for k in block.keys]
+    assert table.odd
+
+
+def test_budgets_are_answered_without_encoding(libraries, monkeypatch):
+    vocabulary = bpe.Vocabulary.from_json(P.path("byte_bpe_50k.json"))
+    texts = [t[:60] for t in TEXTS] + [f"!!{SPECIAL}", f"a  {SPECIAL}b  {SPECIAL}", f"'{SPECIAL}'re{SPECIAL}", "they're we've I'll 're", f"  {SPECIAL}  x", "　　x  é"]
+    made = [prefix_counts.DocumentPrefixes(vocabulary, t.encode()) for t in texts]
+    long = prefix_counts.DocumentPrefixes(vocabulary, b"x" * 100_000)
+    for name in ("merge_replay", "split_words", "encode_words"):
+        monkeypatch.setattr(bpe, name, None)
+    monkeypatch.setattr(prefix_counts, "prefix_table", None)
+    for text, prefixes in zip(texts, made, strict=True):
+        counts = [len(libraries[0](text[:k])) for k in range(len(text) + 1)]
+        assert [prefixes.count(len(text[:k].encode())) for k in range(len(text) + 1)] == counts
+        for budget in (0, 1, 2, 3, 5, 8, 13, 100):
+            assert prefixes.truncate(budget) == len(text[: max(k for k, c in enumerate(counts) if c <= budget)].encode())
+    begun = time.time()
+    for budget in (0, 1, 200, 3000):
+        end = long.truncate(budget)
+        assert long.count(end) <= budget < long.count(end + 1)
+        assert long.count(end) == len(libraries[0]("x" * end))
+    assert time.time() - begun < 1
+
+
+def test_truncated(table, libraries):
+    got = sorted((r.doc_id or -1, r.text, r.n_tokens, r.n_tokens_whole) for r in prefix_counts.truncated(table, 5).collect())
+    assert sorted((i, n) for i, _, _, n in got) == sorted((i or -1, len(libraries[0](t))) for i, t in ROWS)
+    assert all(n == len(libraries[0](text)) <= 5 for _, text, n, _ in got)
