@@ -13,25 +13,35 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every round points all larger neighbours of a node to its smallest neighbour, then the
     smaller ones; the number of rounds grows with the logarithm of a component's size, and
-    the rows never exceed those of the edges.  A round is written to the shared folder, so
-    lineage stays short.  Nulls and loops are left out.
+    the rows never exceed those of the edges.  It ends when a round changes no row.  A round
+    is written to the shared folder, so lineage stays short.  Nulls and loops are left out.
     """
     spark = edges.sparkSession
     now = stored(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    state = None
-    while True:
+    size = now.count()
+    while size:
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = _pointed(both.where("v > u"), least, size).where("u <> v").distinct()
         # Each node now has only smaller neighbours; all of them and the node itself go to the smallest.
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small, "u")
-        following = stored(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), "components")
-        found = following.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        following = stored(_pointed(large, small, size).where("u <> v").union(small.select("u", F.col("m").alias("v"))).distinct(), "components")
+        now_size = following.count()
+        done = now_size == size and following.join(now, ["u", "v"], "left_anti").isEmpty()
         discard(spark, now)
-        now = following
-        if state == (found["n"], found["h"]) or not found["n"]:
+        now, size = following, now_size
+        if done:
             break
-        state = (found["n"], found["h"])
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def _pointed(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
+    """(v, m) for every edge (u, v), m being what ``least`` (u, m, c) has for u, c how many edges u has.
+
+    A node that has more than a thousandth of all ``size`` edges is no shuffle key: there are two thousand at most, which are broadcast.
+    """
+    often = max(1000, size // 1000)
+    hubs = F.broadcast(least.where(F.col("c") > often).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("c") <= often).select("u", "m"), "u")
+    return rest.unionByName(edges.join(hubs, "u")).select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -16,7 +16,7 @@ lists of another one's shingles.  The search runs in these steps, none of which
    an inverted index is built by rising set size and each set searches it with DivideSkip:
    the longest lists are only probed by binary search, the short ones are merged on a heap
    that skips ahead to what can still reach T.
-5. A block above BLOCK sets is cut into parts.  Each part is joined with itself and with the
+5. A block above BLOCK sets is cut into parts (of that size, or more in very large blocks).  Each part is joined with itself and with the
    block's first part; nearly all of a dense group then hangs together.  What isn't in the
    block's largest component is joined, part against part, with the whole block.
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.components import components
-from tallyweave.llm.shared import key_filter, partitions, passes, stored
+from tallyweave.llm.shared import key_filter, partitions, passes, stored, tidy
 from tallyweave.llm.textarrays import U64, chunks, mix, ragged, shingle_hashes
 
 BLOCK = 192  # sets that a task joins with as many others
@@ -400,6 +400,11 @@ def _join_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
     return dealt.select(*keys, "rep", "n", "shingles", "side", "label").mapInArrow(run, "u long, v long")
 
 
+def _parts(size, block: int):
+    """In how many parts a block of that many sets is cut.  Parts grow with the root of the size, so that what is replicated, sets times parts, does too."""
+    return F.ceil(size / F.greatest(F.lit(float(block)), 4 * F.sqrt(size))).cast("int")
+
+
 def linked(records: DataFrame, docs: DataFrame, width: int, percent: int, block: int = BLOCK) -> DataFrame:
     """(node, root) of every record (rep, hi, n, short) that is linked with another; docs has their texts."""
     postings = records.select("rep", F.explode("short").alias("shingle"))
@@ -408,7 +413,7 @@ def linked(records: DataFrame, docs: DataFrame, width: int, percent: int, block:
     blocks = components(near)
     found = stored(records.join(blocks, F.col("rep") == F.col("node")).select(F.col("root").alias("block"), "rep", "hi", "n"), "blocks")
     members = stored(found.join(whole_sets(docs, found.select("rep", "hi"), width), ["rep", "hi"]).select("block", "rep", "n", "shingles"), "members")
-    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / block).cast("int"))
+    sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", _parts(F.col("c"), block))
     plain = members.join(sizes.where("parts = 1").select("block"), "block")
     own = F.lit(False).alias("side"), F.col("rep").alias("label")
     edges = _join_groups(plain.select("block", "rep", "n", "shingles", *own), ["block"], percent)
@@ -423,7 +428,7 @@ def linked(records: DataFrame, docs: DataFrame, width: int, percent: int, block:
     labelled = stored(labelled, "labelled")
     biggest = labelled.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     rest = labelled.join(biggest, "block").where("label <> main").drop("main")
-    rest_parts = rest.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("rest_parts"))
+    rest_parts = rest.groupBy("block").agg(_parts(F.count(F.lit(1)), block).alias("rest_parts"))
     rest = rest.join(rest_parts, "block").withColumn("rest_part", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rest_parts")).cast("int"))
     one = rest.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("block", "at", "rest_part", "rep", "n", "shingles", F.lit(False).alias("side"), "label")
     two = labelled.join(rest_parts, "block").withColumn("rest_part", F.explode(F.sequence(F.lit(0), F.col("rest_parts") - 1))).select("block", F.col("part").alias("at"), "rest_part", "rep", "n", "shingles", F.lit(True).alias("side"), "label")
@@ -439,16 +444,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     space); a document of fewer words has its whole sequence as one shingle.  Null, empty and
     blank texts have no shingle and no link; their component is their own id.  Rows that share
     a doc_id count as one document.  A row with a null id takes no part: its component is null.
-    Other columns are ignored.
+    Ids are integers, or text that is one.  Other columns are ignored.
     """
     buckets = partitions(docs)
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sets = stored(shingle_sets(own, width=width), "sets")
-    shared = shared_blobs(posting_blobs(own.where("doc_id is not null").select("text"), buckets, width, percent), buckets)
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-    sized = sets.where("n_shingles > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    records = stored(survivors(shared, buckets, percent).join(sized.select("hi", "n", "rep"), ["hi", "n"]).select("rep", "hi", "n", "short"), "records")
-    roots = linked(records, own, width, percent, block)
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"))
-    full = sets.where("n_shingles > 0 and doc_id is not null").join(named, ["hi", "lo"], "left").select("doc_id", "n_shingles", "component_id")
-    return full.union(sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    with tidy(docs.sparkSession):
+        sets = stored(shingle_sets(own, width=width), "sets", outlive=True)
+        full = sets.where("n_shingles > 0 and doc_id is not null")
+        shared = shared_blobs(posting_blobs(own.where("doc_id is not null").select("text"), buckets, width, percent), buckets)
+        classes = stored(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("c")), "classes")
+        records = stored(survivors(shared, buckets, percent).join(classes.select("hi", "n", "rep"), ["hi", "n"]).select("rep", "hi", "n", "short"), "records")
+        roots = linked(records, own, width, percent, block)
+        named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"), "c")
+        named = stored(named, "named", outlive=True)
+    # Texts that more than a thousandth of all documents have are no shuffle key: there are a thousand at most, which are broadcast.
+    often = max(1000, (named.agg(F.sum("c")).first()[0] or 0) // 1000)
+    copied = F.broadcast(named.where(F.col("c") > often).drop("c"))
+    rare = full.join(copied.select("hi", "lo"), ["hi", "lo"], "left_anti").join(named.where(F.col("c") <= often).drop("c"), ["hi", "lo"])
+    found = rare.unionByName(full.join(copied, ["hi", "lo"])).select("doc_id", "n_shingles", "component_id")
+    return found.union(sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

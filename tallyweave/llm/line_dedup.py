@@ -1,13 +1,17 @@
 """Removal of repeated and nearly repeated lines by a segment-partition edit join.
 
-A line goes if an earlier one, by document id and line number, is within ``max_edits`` edits
-of it.  Equal lines meet by 128-bit hashes.  For the others every distinct line is split into
+A line goes if an earlier one, by document id and line number, equals it or is within
+``max_edits`` edits of it.  Equal lines meet by two hashes modulo 2**61 - 1.  For the others every distinct line is split into
 max_edits + 1 segments: two lines within that many edits agree in one segment of the shorter
 one, at a place of the longer one that is bound by their lengths.  Segments are entered in an
 index under (length, number, hash); each line probes it, for every length that can fit, with
 the substrings at the possible places.  A 32-bit sketch of each line's character parities,
 of which an edit changes two bits at most, is compared before a pair is passed on, and the
 pair is verified by a banded bit-parallel edit distance over the lines themselves.
+
+A key that more than CROWD lines share gives no pairs.  Its lines are compared with the
+crowd's PIVOTS earliest ones, part by part; only those that none of these settles are then
+compared with the rest of the crowd, part against part.
 """
 
 from __future__ import annotations
@@ -16,14 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import key_filter, partitions, passes, stored
+from tallyweave.llm.shared import key_filter, partitions, passes, stored, tidy
 from tallyweave.llm.textarrays import U64, Hasher, chunks, mix, ragged
 
-MIN_CHARS, MAX_EDITS = 20, 2
+MIN_CHARS, EDIT_CHARS, MAX_EDITS = 1, 20, 2
+CROWD, PIVOTS = 256, 64  # lines of one key that are paired, and a crowd's lines that all others are compared with first
 LAST = (1 << 63) - 1
+REFERENCE = U64((1 << 48) - 1)  # the bits of h1 that name a line in the index
 _SECOND = U64(0x5851F42D4C957F2D)
 _BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 
@@ -55,8 +62,9 @@ class Lines:
         self.ends = ends
         self.number = np.arange(len(self.starts)) - self.first[self.doc]
         self.points = points
-        self.hasher = Hasher(mix(points.astype(U64) + U64(1)))
-        self.h1 = self.hasher.spans(self.starts, self.ends)
+        self.data = data
+        self.hasher = Hasher(data)
+        self.h1 = self.hash(self.starts, self.ends)
 
     @property
     def length(self) -> np.ndarray:
@@ -67,9 +75,13 @@ class Lines:
         inked = np.concatenate([[0], np.cumsum(~np.isin(self.points, _BLANKS))])
         return inked[self.ends] == inked[self.starts]
 
+    def hash(self, starts: np.ndarray, ends: np.ndarray, hasher: Hasher | None = None) -> np.ndarray:
+        """Hashes of spans of code points, of their bytes."""
+        return (hasher or self.hasher).spans(self.at[starts], self.at[ends])
+
     def h2(self, which: np.ndarray) -> np.ndarray:
-        other = Hasher(mix(self.points.astype(U64) + _SECOND))
-        return other.spans(self.starts[which], self.ends[which])
+        """Hashes of whole lines under another base."""
+        return self.hash(self.starts[which], self.ends[which], Hasher(self.data, 1))
 
     def sketches(self) -> np.ndarray:
         """32 bits, each the parity of how often the characters of one class occur."""
@@ -128,17 +140,24 @@ def within(a: str, b: str, edits: int) -> bool:
         return True
     width = 2 * edits + 1
     full = (1 << width) - 1
-    where: dict[str, int] = {}
-    for j, c in enumerate(b):
-        where[c] = where.get(c, 0) | 1 << (j + edits)
+    # Of each character of b the places in the band, bit d for i + d - edits, as they were when i was the second number.
+    where: dict[str, tuple[int, int]] = {}
     # Bit d of row e: a[:i] and b[:i + d - edits] are aligned with at most e errors.
     rows = [0] * (edits + 1)
     rows[0] = 1 << edits
     for e in range(1, edits + 1):
         rows[e] = (rows[e - 1] | rows[e - 1] << 1) & full
     size = len(b)
+    for j, c in enumerate(b[:edits]):
+        bits, _ = where.get(c, (0, 0))
+        where[c] = bits | 1 << (j + edits), 0
     for i, c in enumerate(a):
-        match = where.get(c, 0) >> i & full
+        if i + edits < size:
+            enters = b[i + edits]
+            bits, then = where.get(enters, (0, i))
+            where[enters] = bits >> (i - then) | 1 << (width - 1), i
+        bits, then = where.get(c, (0, i))
+        match = bits >> (i - then)
         # Diagonals that lie within b after this character.
         last = size - i - 1 + edits
         valid = full if last >= width - 1 else (1 << (last + 1)) - 1 if last >= 0 else 0
@@ -154,20 +173,17 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(rows[edits] >> (size - len(a) + edits) & 1)
 
 
-def _lines_of(docs: DataFrame, min_chars: int, short_repeats: bool = False) -> DataFrame:
-    """(doc, line, h1, h2) of every line of ``min_chars`` code points or more; with ``short_repeats`` also of shorter ones that aren't blank."""
+def _lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+    """(doc, row, line, h1, h2) of every line of ``min_chars`` code points or more that isn't blank; docs has doc, text and row, a hash of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in chunks(batches, "text"):
             lines = Lines(data, offsets)
-            wanted = lines.length >= min_chars
-            if short_repeats:
-                wanted |= ~lines.blank()
-            own = np.flatnonzero(wanted)
-            ids = batch.column(0).fill_null(LAST).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(ids[lines.doc[own]]), pa.array(lines.number[own]), pa.array(lines.h1[own].view(np.int64)), pa.array(lines.h2(own).view(np.int64))], names=["doc", "line", "h1", "h2"])
+            own = np.flatnonzero((lines.length >= min_chars) & ~lines.blank())
+            doc, row = (batch.column(k).to_numpy()[lines.doc[own]] for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(row), pa.array(lines.number[own].astype(np.int32)), pa.array(lines.h1[own].view(np.int64)), pa.array(lines.h2(own).view(np.int64))], names=["doc", "row", "line", "h1", "h2"])
 
-    return docs.mapInArrow(run, "doc long, line long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc long, row long, line int, h1 long, h2 long")
 
 
 def _entries(docs: DataFrame, buckets: int, min_chars: int, edits: int, flush: int = 60_000) -> DataFrame:
@@ -200,10 +216,10 @@ def _entries(docs: DataFrame, buckets: int, min_chars: int, edits: int, flush: i
             length, starts = lines.length[own], lines.starts[own]
             refs, sketches = lines.h1[own], lines.sketches()[own]
             for i, at, part in segments(length, edits + 1):
-                held.append((key_of(lines.hasher.spans(starts + at, starts + at + part), length, i), np.zeros(len(own), np.uint8), refs, sketches))
+                held.append((key_of(lines.hash(starts + at, starts + at + part), length, i), np.zeros(len(own), np.uint8), refs, sketches))
             for gap, i, at, part, use in probes(length, edits):
                 s = starts[use] + at[use]
-                held.append((key_of(lines.hasher.spans(s, s + part[use]), length[use] - gap, i), np.ones(int(use.sum()), np.uint8), refs[use], sketches[use]))
+                held.append((key_of(lines.hash(s, s + part[use]), length[use] - gap, i), np.ones(int(use.sum()), np.uint8), refs[use], sketches[use]))
             size += len(own)
             if size >= flush:
                 yield out()
@@ -214,8 +230,12 @@ def _entries(docs: DataFrame, buckets: int, min_chars: int, edits: int, flush: i
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-def _candidates(entries: DataFrame, buckets: int, edits: int, block: int = 1 << 20) -> DataFrame:
-    """(a, b) references of lines whose probe meets the other's index entry and whose sketches allow it; a < b."""
+def _candidates(entries: DataFrame, buckets: int, edits: int, crowd: int) -> DataFrame:
+    """(a, b, key): pairs a < b of references whose probe meets the other's index entry and whose sketches allow it, without a key; and with it, b null, the lines of each key that more than ``crowd`` lines share."""
+
+    def rows(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), none if b is None else pa.array(b.view(np.int64)), none if key is None else pa.array(key.view(np.int64))], names=["a", "b", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
@@ -228,79 +248,151 @@ def _candidates(entries: DataFrame, buckets: int, edits: int, block: int = 1 <<
                 for kind in ("<u4", "<u4", "<u4", "<u2", "<u1"):
                     arrays.append(np.frombuffer(raw, kind, n, at))
                     at += n * np.dtype(kind).itemsize
-                probe = np.zeros(n, dtype=bool)
-                probe[n_index:] = True
-                parts.append((arrays[0].astype(U64) | arrays[4].astype(U64) << U64(32), probe, arrays[1].astype(U64) | arrays[3].astype(U64) << U64(32), arrays[2]))
+                keys = (arrays[0].astype(U64) | arrays[4].astype(U64) << U64(32)) << U64(1)
+                keys[n_index:] |= U64(1)
+                parts.append((keys, arrays[1].astype(U64) | arrays[3].astype(U64) << U64(32), arrays[2]))
         if not parts:
             return
-        keys, probe, refs, sketches = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        keys, refs, sketches = (np.concatenate([p[k] for p in parts]) for k in range(3))
         del parts
-        order = np.lexsort((probe, keys))
-        keys, probe, refs, sketches = keys[order], probe[order], refs[order], sketches[order]
+        # Only keys that are both entered and probed matter; the same line from several tasks is one.
+        order = np.argsort(keys)
+        heads = np.flatnonzero(np.concatenate([[True], keys[order][1:] >> U64(1) != keys[order][:-1] >> U64(1)]))
+        ends = np.append(heads[1:], len(keys))
+        both = (keys[order[heads]] & U64(1) == 0) & (keys[order[ends - 1]] & U64(1) == 1)
+        order = order[ragged(heads[both], (ends - heads)[both])]
+        order = order[np.lexsort((refs[order], keys[order]))]
+        keys, refs, sketches = keys[order], refs[order], sketches[order]
+        if not len(keys):
+            return
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (refs[1:] != refs[:-1])])
+        probe, keys, refs, sketches = (keys[new] & U64(1)).astype(bool), keys[new] >> U64(1), refs[new], sketches[new]
         heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(heads, len(keys)))
         probed = np.add.reduceat(probe, heads, dtype=np.int64)
         indexed = sizes - probed
-        some = (probed > 0) & (indexed > 0)
-        heads, probed, indexed = heads[some], probed[some], indexed[some]
-        # Every probe of a key against every index entry of it, a bounded number of comparisons at a time.
+        many = np.maximum(probed, indexed) > crowd
+        for head, size in zip(heads[many].tolist(), sizes[many].tolist(), strict=True):
+            own = np.unique(refs[head : head + size])
+            yield rows(own, None, np.full(len(own), keys[head]))
+        heads, probed, indexed = heads[~many], probed[~many], indexed[~many]
         first = np.repeat(heads, probed)
         count = np.repeat(indexed, probed)
         which = ragged(heads + indexed, probed)
         ends = np.cumsum(count)
         low = 0
-        while low < len(which):
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + block, side="right")))
+        while low < len(which):  # a bounded number of comparisons at a time
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + (1 << 20), side="right")))
             left = np.repeat(which[low:high], count[low:high])
             right = ragged(first[low:high], count[low:high])
             close = (refs[left] != refs[right]) & (np.bitwise_count(sketches[left] ^ sketches[right]) <= 2 * edits)
             a, b = refs[left[close]], refs[right[close]]
             if len(a):
-                pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0].view(np.int64)), pa.array(pairs[1].view(np.int64))], names=["a", "b"])
+                yield rows(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1), None)
             low = high
 
-    return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long").distinct()
+    return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long, key long").distinct()
 
 
-def _texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int) -> DataFrame:
-    """(ref, h1, h2, text) of the lines whose reference is wanted.
+def _texts_of(docs: DataFrame, places: DataFrame, min_chars: int) -> DataFrame:
+    """(h1, h2, ref, first, text) of the lines (h1, h2, ref, first) in places, first being where the line stands first.
 
-    A filter of fixed size, built from the wanted references, keeps most other lines from being
-    shuffled; where it is full it lets more pass, and the join with the references decides.
+    Two filters of fixed size, of those documents and of the references, keep most texts from being
+    cut and most lines from being shuffled; where they are full more pass, and the join decides.
     """
     spark = docs.sparkSession
-
-    held = spark.sparkContext.broadcast(key_filter(wanted))
+    in_docs = spark.sparkContext.broadcast(key_filter(places.select(F.col("first.doc").alias("doc"))))
+    in_refs = spark.sparkContext.broadcast(key_filter(places.select("ref")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in chunks(batches, "text"):
+        some = (batch.filter(pa.array(passes(in_docs.value, batch.column(0).to_numpy()))) for batch in batches)
+        for _, data, offsets in chunks(some, "text"):
             lines = Lines(data, offsets)
             own = np.flatnonzero(lines.length >= min_chars)
-            refs = lines.h1[own] & U64((1 << 48) - 1)
-            own = own[passes(held.value, refs)]
+            own = own[passes(in_refs.value, lines.h1[own] & REFERENCE)]
             own = own[np.unique(lines.h1[own], return_index=True)[1]]
             low, high = lines.at[lines.starts[own]], lines.at[lines.ends[own]]
             raw = data.tobytes()
             texts = pa.array([raw[a:b].decode() for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.string())
-            refs = lines.h1[own] & U64((1 << 48) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(refs.view(np.int64)), pa.array(lines.h1[own].view(np.int64)), pa.array(lines.h2(own).view(np.int64)), texts], names=["ref", "h1", "h2", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines.h1[own].view(np.int64)), pa.array(lines.h2(own).view(np.int64)), texts], names=["h1", "h2", "text"])
+
+    found = docs.mapInArrow(run, "h1 long, h2 long, text string")
+    return found.join(places, ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+
+
+def _settled(rows: DataFrame, keys: list[str], edits: int) -> DataFrame:
+    """(h1, h2) of the asked lines of each group (keys, asked, doc, line, h1, h2, text) that have an earlier line there within ``edits`` edits."""
+    n = len(keys)
+
+    def decide(held: list[tuple]) -> pa.RecordBatch:
+        raw = [r[5].encode() for r in held]
+        lines = Lines(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+        sketches = lines.sketches()
+        length = np.array([len(r[5]) for r in held])
+        order = sorted(range(len(held)), key=lambda k: held[k][1:3])
+        place = np.empty(len(held), dtype=np.int64)
+        place[order] = np.arange(len(held))
+        near = []
+        for k, r in enumerate(held):
+            if r[0]:
+                fits = (place < place[k]) & (np.abs(length - length[k]) <= edits) & (np.bitwise_count(sketches ^ sketches[k]) <= 2 * edits)
+                if any(held[o][1:3] < r[1:3] and within(held[o][5], r[5], edits) for o in np.flatnonzero(fits).tolist()):
+                    near.append(r[3:5])
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in near], pa.int64()) for k in (0, 1)], names=["h1", "h2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:n] != now:
+                    if len(held) > 1:
+                        yield decide(held)
+                    held, now = [], row[:n]
+                held.append(row[n:])
+        if len(held) > 1:
+            yield decide(held)
+
+    dealt = rows.select(*keys, "asked", "doc", "line", "h1", "h2", "text").repartition(partitions(rows), *keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "h1 long, h2 long").distinct()
+
+
+def _in_crowds(members: DataFrame, edits: int, crowd: int) -> DataFrame:
+    """(h1, h2) of the lines of crowds (key, doc, line, h1, h2, text) that have an earlier line there within ``edits`` edits.
+
+    No part holds more than about ``crowd`` asked lines and as many others; the second step's work is the
+    unsettled lines times the crowd.
+    """
+
+    def parts_of(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias(name))
+
+    def every(name: str):
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
 
-    found = docs.mapInArrow(run, "ref long, h1 long, h2 long, text string")
-    return found.join(wanted, "ref", "left_semi").dropDuplicates(["h1", "h2"])
+    sized = members.join(parts_of(members, "parts"), "key").withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int"))
+    earliest = sized.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("doc", "line"))).where(F.col("n") <= PIVOTS).drop("n")
+    asked = sized.withColumn("asked", F.lit(True))
+    by_pivots = stored(_settled(asked.unionByName(earliest.withColumn("part", every("parts")).withColumn("asked", F.lit(False))), ["key", "part"], edits), "settled")
+    left = asked.join(by_pivots, ["h1", "h2"], "left_anti")
+    left = left.join(parts_of(left, "left_parts"), "key").withColumn("left_part", F.pmod(F.xxhash64("h2", "h1"), F.col("left_parts")).cast("int"))
+    groups = parts_of(left, "n").select("key", F.col("n").alias("left_parts"))
+    ask = left.withColumn("part", every("parts")).drop("parts", "left_parts")
+    hold = sized.join(groups, "key").withColumn("left_part", every("left_parts")).withColumn("asked", F.lit(False)).drop("parts", "left_parts")
+    return by_pivots.union(_settled(ask.unionByName(hold), ["key", "part", "left_part"], edits)).distinct()
 
 
-def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int) -> DataFrame:
+def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int, crowd: int = CROWD) -> DataFrame:
     """(h1, h2) of the lines that have an earlier line within ``edits`` edits, not counting equal ones."""
     buckets = partitions(docs)
-    pairs = stored(_candidates(_entries(docs, buckets, min_chars, edits), buckets, edits), "pairs")
-    wanted = pairs.select(F.col("a").alias("ref")).union(pairs.select("b")).distinct()
-    texts = stored(_texts_of(docs, wanted, min_chars).join(firsts, ["h1", "h2"]), "texts")
+    found = stored(_candidates(_entries(docs, buckets, min_chars, edits), buckets, edits, crowd), "pairs")
+    wanted = found.select(F.col("a").alias("ref")).union(found.where("b is not null").select("b")).distinct()
+    places = stored(firsts.withColumn("ref", F.col("h1").bitwiseAND(F.lit(int(REFERENCE)))).join(wanted, "ref"), "places")
+    texts = stored(_texts_of(docs, places, min_chars), "texts")
 
     def side(name: str) -> DataFrame:
         return texts.select(F.col("ref").alias(name), F.struct("h1", "h2").alias(f"{name}_line"), F.col("first").alias(f"{name}_first"), F.col("text").alias(f"{name}_text"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = found.where("key is null").select("a", "b").join(side("a"), "a").join(side("b"), "b")
     ordered = F.when(F.col("a_first") < F.col("b_first"), F.col("b_line")).otherwise(F.col("a_line"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,61 +404,63 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int) -
                 yield pa.RecordBatch.from_arrays([kept.field("h1"), kept.field("h2")], names=["h1", "h2"])
 
     # Two different lines never have the same first place unless rows share a doc_id; then neither is earlier.
-    decided = both.where("a_first <> b_first").select("a_text", "b_text", ordered.alias("later"))
-    return decided.mapInArrow(run, "h1 long, h2 long").distinct()
+    decided = both.where("a_first <> b_first").select("a_text", "b_text", ordered.alias("later")).mapInArrow(run, "h1 long, h2 long")
+    crowded = found.where("key is not null").select("key", F.col("a").alias("ref"))
+    if not crowded.isEmpty():
+        members = stored(crowded.join(texts, "ref").select("key", "first.doc", "first.line", "h1", "h2", "text"), "crowds")
+        decided = decided.union(_in_crowds(members, edits, crowd))
+    return decided.distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, short_repeats: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_edits: int = MAX_EDITS, edit_chars: int = EDIT_CHARS, crowd: int = CROWD) -> DataFrame:
     """The documents with their text less repeated lines, and n_lines and n_removed.
 
-    Lines are what stands between line feeds.  A line of ``min_chars`` code points or more is
-    removed if an earlier line, by smaller (doc_id, line number) and of that length too, is within
-    ``max_edits`` edits (equal lines included), whether that line itself stays or not; shorter
-    lines stay, but with ``short_repeats`` those that aren't blank go where an earlier line
-    equals them.  A null text stays null, an empty one empty (one empty line).  Rows that share a
+    Lines are what stands between line feeds; those of white space only always stay.  Any other
+    line is removed if an earlier one, by smaller (doc_id, line number), equals it or, both being of
+    ``edit_chars`` code points or more, is within ``max_edits`` edits of it, whether that
+    line itself stays or not.  ``min_chars`` above 1 leaves shorter lines out.
+    A null text stays null, an empty one empty (one empty line).  Rows that share a
     doc_id share their line numbers, so repeated rows keep the same lines.  Null ids come after
-    all others, as one document.  Other columns stay as they are, but columns named n_lines and
+    all others, as one document.  Ids are integers, or text that is one.  Other columns stay as they are, but columns named n_lines and
     n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    own = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
-    lines = stored(_lines_of(own, min_chars, short_repeats), "lines")
-    firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("c")), "firsts")
-    later = near_pairs(own, firsts.select("h1", "h2", "first"), min_chars, max_edits)
-    # Only lines that occur more than once or have an earlier near one can lose occurrences.
-    marked = firsts.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or near")
-    gone = lines.join(marked.drop("c"), ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line") != F.col("first")))
-    drops = gone.groupBy(F.col("doc").alias("_dedup_doc")).agg(F.collect_list(F.struct("line", "h1")).alias("_dedup_drops"))
-    place = F.coalesce(docs[id_col].cast("long"), F.lit(LAST))
     names = docs.columns
-    joined = docs.withColumn("_dedup_place", place).join(drops, F.col("_dedup_place") == F.col("_dedup_doc"), "left").select(*(F.col(f"`{c}`") for c in names), "_dedup_drops")
+    place, row = F.coalesce(docs[id_col].cast("long"), F.lit(LAST)), F.xxhash64(docs[text_col])
+    own = docs.select(place.alias("doc"), docs[text_col].alias("text"), row.alias("row"))
+    with tidy(docs.sparkSession):
+        lines = stored(_lines_of(own, min_chars), "lines", outlive=True)
+        firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("c")), "firsts")
+        later = near_pairs(own.select("doc", "text"), firsts.select("h1", "h2", "first"), max(min_chars, edit_chars), max_edits, crowd)
+        # Only lines that occur more than once or have an earlier near one can lose occurrences.
+        marked = stored(firsts.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or near"), "marked", outlive=True)
+        # A line that more than a thousandth of all occurrences share is no shuffle key: there are a thousand such lines at most, which are broadcast.
+        often = max(1000, (firsts.agg(F.sum("c")).first()[0] or 0) // 1000)
+    frequent = F.broadcast(marked.where(F.col("c") > often))
+    rest = lines.join(frequent.select("h1", "h2"), ["h1", "h2"], "left_anti").join(marked.where(F.col("c") <= often), ["h1", "h2"])
+    gone = rest.unionByName(lines.join(frequent, ["h1", "h2"])).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line") != F.col("first")))
+    # Rows of one id and text lose the same lines.
+    drops = gone.groupBy(F.col("doc").alias("_dedup_doc"), F.col("row").alias("_dedup_row")).agg(F.collect_set("line").alias("_dedup_drops"))
+    whole = docs.withColumn("_dedup_place", place).withColumn("_dedup_text", row)
+    joined = whole.join(drops, (F.col("_dedup_place") == F.col("_dedup_doc")) & (F.col("_dedup_text") == F.col("_dedup_row")), "left").select(*(F.col(f"`{c}`") for c in names), "_dedup_drops")
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offsets in chunks(iter([batch]), text_col):
-                lines_of = Lines(data, offsets)
-                drop = part.column(len(names))
-                counts = np.nan_to_num(drop.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-                flat = drop.flatten()
-                doc = np.repeat(np.arange(len(counts)), counts)
-                number, h1 = flat.field("line").to_numpy(zero_copy_only=False), flat.field("h1").to_numpy(zero_copy_only=False)
-                where = lines_of.first[doc] + number
-                fits = (where < lines_of.first[doc + 1]) if len(doc) else np.zeros(0, bool)
-                where, h1 = where[fits].astype(np.int64), h1[fits].astype(np.int64)
-                kept = np.ones(len(lines_of.starts), dtype=bool)
-                kept[where[lines_of.h1[where].view(np.int64) == h1]] = False
-                n_kept = np.add.reduceat(kept, lines_of.first[:-1], dtype=np.int64) if len(counts) else np.zeros(0, np.int64)
-                raw = data.tobytes()
-                low, high = lines_of.at[lines_of.starts].tolist(), lines_of.at[lines_of.ends].tolist()
-                first = lines_of.first.tolist()
-                old = part.column(at)
-                total = np.diff(lines_of.first)
-                changed = (n_kept < total).tolist()
-                texts = [b"\n".join([raw[low[k] : high[k]] for k in range(first[d], first[d + 1]) if kept[k]]).decode() if changed[d] else old[d].as_py() for d in range(len(counts))]
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                drop, texts = part.column(len(names)), part.column(at)
+                counts = pc.add(pc.fill_null(pc.count_substring(texts, "\n"), 0).cast(pa.int64()), 1)
+                removed = pc.fill_null(pc.list_value_length(drop), 0).cast(pa.int64())
                 columns = list(part.columns[: len(names)])
-                columns[at] = pa.array(texts, old.type)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(total), pa.array(total - n_kept)], names=[*names, "n_lines", "n_removed"])
+                touched = np.flatnonzero(removed.to_numpy())
+                if len(touched):
+                    new = []
+                    for k in touched.tolist():
+                        gone = set(drop[k].as_py())
+                        new.append("\n".join([s for n, s in enumerate(texts[k].as_py().split("\n")) if n not in gone]))
+                    columns[at] = pc.replace_with_mask(texts, pa.array(removed.to_numpy() > 0), pa.array(new, texts.type))
+                yield pa.RecordBatch.from_arrays([*columns, counts, removed], names=[*names, "n_lines", "n_removed"])
 
     schema = docs.schema.add("n_lines", "long").add("n_removed", "long")
     return joined.mapInArrow(run, schema)

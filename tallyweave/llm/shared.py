@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,19 +32,42 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under the folder that all machines share (``spark.checkpoint.dir``).
 
-    Where the session names none, as in tests, a temporary folder is set for it.
+    Where a local session names none, as in tests, a temporary folder is set for it; a cluster must name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), "tallyweave-checkpoints")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []  # paths of the tables that are to go, by open scope
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were stored within it, except those stored to ``outlive`` it; these go with the scope around it, if there is one."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
+def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """The rows written to the shared folder and read again: they outlive executors, and later uses don't compute them anew."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if scopes := _scopes[:-1] if outlive else _scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,8 +75,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table that ``stored`` returned."""
     for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, file.rpartition("/")[0])
 
 
 def fold(doc_id: str, folds: int):

@@ -99,3 +99,21 @@ def test_components(spark):
 
 def test_empty(spark):
     assert j.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_strings_that_collide_modulo_powers_of_two(spark):
+    bits = [0]
+    while len(bits) < 4096:
+        bits += [1 - x for x in bits]
+    texts = [w for n in (1024, 2048, 4096) for w in ("".join("ab"[x] for x in bits[:n]), "".join("ba"[x] for x in bits[:n]))]
+    got = j.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, 1, i) for i in range(len(texts))}
+
+
+def test_hubs_are_broadcast(spark):
+    """A star of more leaves than a shuffle key may have, and text that more rows share than that."""
+    got = {(r.node, r.root) for r in components(spark.createDataFrame([(7, 100 + k) for k in range(2500)] + [(3, 100)], "u long, v long")).collect()}
+    assert got == {(x, 3) for x in (3, 7, *range(100, 2600))}
+    rows = [(i, "one two three four five six" if i % 2 else f"a{i} b{i} c{i} d{i} e{i}") for i in range(2600)]
+    got = {(r.doc_id, r.component_id) for r in j.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 1 if i % 2 else i) for i, _ in rows}

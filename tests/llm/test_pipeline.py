@@ -21,7 +21,7 @@ def test_stages(spark):
     assert set(rows[1]) == set(rows[0]) - toxic
     good = {r.doc_id for r in quality.score(steps[1], quality.train(steps[1], labels)).where("predicted = 1").collect()}
     assert set(rows[2]) == good < set(rows[1])
-    lines = {r[0]: r for r in brute_lines([(i, r.text) for i, r in rows[2].items()], 20, 2)}
+    lines = {r[0]: r for r in brute_lines([(i, r.text) for i, r in rows[2].items()], 1, 2, 20)}
     for i, r in rows[2].items():
         _, text, _, removed = lines[i]
         if removed and not text.strip():
