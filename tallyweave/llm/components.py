@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import discard, stored
+from tallyweave.llm.shared import discard, hub_join, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,11 +37,5 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _pointed(edges: DataFrame, least: DataFrame, size: int) -> DataFrame:
-    """(v, m) for every edge (u, v), m being what ``least`` (u, m, c) has for u, c how many edges u has.
-
-    A node that has more than a thousandth of all ``size`` edges is no shuffle key: there are two thousand at most, which are broadcast.
-    """
-    often = max(1000, size // 1000)
-    hubs = F.broadcast(least.where(F.col("c") > often).select("u", "m"))
-    rest = edges.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("c") <= often).select("u", "m"), "u")
-    return rest.unionByName(edges.join(hubs, "u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """(v, m) for every edge (u, v), m being what ``least`` (u, m, c) has for u, c how many edges u has; these are twice ``size`` at most."""
+    return hub_join(edges, least, ["u"], 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v"))

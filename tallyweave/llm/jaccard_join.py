@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.components import components
-from tallyweave.llm.shared import key_filter, partitions, passes, stored, tidy
+from tallyweave.llm.shared import hub_join, key_filter, partitions, passes, stored, tidy
 from tallyweave.llm.textarrays import U64, chunks, mix, ragged, shingle_hashes
 
 BLOCK = 192  # sets that a task joins with as many others
@@ -457,9 +457,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         roots = linked(records, own, width, percent, block)
         named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"), "c")
         named = stored(named, "named", outlive=True)
-    # Texts that more than a thousandth of all documents have are no shuffle key: there are a thousand at most, which are broadcast.
-    often = max(1000, (named.agg(F.sum("c")).first()[0] or 0) // 1000)
-    copied = F.broadcast(named.where(F.col("c") > often).drop("c"))
-    rare = full.join(copied.select("hi", "lo"), ["hi", "lo"], "left_anti").join(named.where(F.col("c") <= often).drop("c"), ["hi", "lo"])
-    found = rare.unionByName(full.join(copied, ["hi", "lo"])).select("doc_id", "n_shingles", "component_id")
+    found = hub_join(full, named, ["hi", "lo"], named.agg(F.sum("c")).first()[0] or 0).select("doc_id", "n_shingles", "component_id")
     return found.union(sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

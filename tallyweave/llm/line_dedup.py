@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import key_filter, partitions, passes, stored, tidy
+from tallyweave.llm.shared import hub_join, key_filter, partitions, passes, stored, tidy
 from tallyweave.llm.textarrays import U64, Hasher, chunks, mix, ragged
 
 MIN_CHARS, EDIT_CHARS, MAX_EDITS = 1, 20, 2
@@ -434,11 +434,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         later = near_pairs(own.select("doc", "text"), firsts.select("h1", "h2", "first"), max(min_chars, edit_chars), max_edits, crowd)
         # Only lines that occur more than once or have an earlier near one can lose occurrences.
         marked = stored(firsts.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or near"), "marked", outlive=True)
-        # A line that more than a thousandth of all occurrences share is no shuffle key: there are a thousand such lines at most, which are broadcast.
-        often = max(1000, (firsts.agg(F.sum("c")).first()[0] or 0) // 1000)
-    frequent = F.broadcast(marked.where(F.col("c") > often))
-    rest = lines.join(frequent.select("h1", "h2"), ["h1", "h2"], "left_anti").join(marked.where(F.col("c") <= often), ["h1", "h2"])
-    gone = rest.unionByName(lines.join(frequent, ["h1", "h2"])).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line") != F.col("first")))
+        total = firsts.agg(F.sum("c")).first()[0] or 0
+    gone = hub_join(lines, marked, ["h1", "h2"], total).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line") != F.col("first")))
     # Rows of one id and text lose the same lines.
     drops = gone.groupBy(F.col("doc").alias("_dedup_doc"), F.col("row").alias("_dedup_row")).agg(F.collect_set("line").alias("_dedup_drops"))
     whole = docs.withColumn("_dedup_place", place).withColumn("_dedup_text", row)

@@ -62,14 +62,19 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
-    """The rows written to the shared folder and read again: they outlive executors, and later uses don't compute them anew."""
-    spark = df.sparkSession
+def place(spark: SparkSession, name: str, outlive: bool = False) -> str:
+    """A new path in the shared folder, which the open scope (or, to outlive it, the one around it) deletes."""
     path = scratch(spark, name)
     if scopes := _scopes[:-1] if outlive else _scopes:
         scopes[-1].append(path)
+    return path
+
+
+def stored(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """The rows written to the shared folder and read again: they outlive executors, and later uses don't compute them anew."""
+    path = place(df.sparkSession, name, outlive)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
@@ -78,6 +83,18 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         _delete(spark, file.rpartition("/")[0])
 
 
+def hub_join(rows: DataFrame, marks: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with marks, which has one row for each key and in c how many of the rows have it, without c.
+
+    A key that more than a thousandth of the ``total`` of all c has is no shuffle key: there
+    are a thousand at most, which are broadcast.
+    """
+    often = max(1000, total // 1000)
+    hubs = F.broadcast(marks.where(F.col("c") > often).drop("c"))
+    rest = rows.join(hubs.select(*keys), keys, "left_anti").join(marks.where(F.col("c") <= often).drop("c"), keys)
+    return rest.unionByName(rows.join(hubs, keys))
+
+
 def fold(doc_id: str, folds: int):
     """crc32 of an id's decimal text modulo ``folds``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import scratch
+from tallyweave.llm.shared import hub_join, place, stored, tidy
 
 CLOSE = "\r\n\r\n"
 DATE = "2000-01-01T00:00:00Z"  # pages have no capture time
@@ -99,19 +99,25 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, first: in
     return out
 
 
-def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4_096, least: int = 0, archive_bytes: int = 32 << 20) -> None:
+def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4_096, least: int = 0, archive_bytes: int = 16 << 20) -> None:
     """Writes a record (or several segments) for each row of page_id, url, html to archives under ``path``.
 
     Of rows with equal payloads of ``least`` bytes or more the largest page_id is the response, the
     others refer to it (rows that repeat the response's page_id are responses too, and a null
     page_id is below all others).  A null html counts as empty.  Other columns are ignored.
-    Archives have about ``archive_bytes`` of payload each.  The largest page_id of each payload is found over 20-byte digests with partial aggregation;
-    a payload that many pages share is a skewed join key that adaptive execution can split.
+    Archives have about ``archive_bytes`` of payload each, however many pages there are: a
+    task writes that much on average and begins a new file after as many records as make it up,
+    none of which is above ``segment`` bytes.  Which pages refer to which is decided over ids and
+    20-byte digests; payloads are dealt out by page, so that one which many pages share is no shuffle key.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload")))
-    firsts = own.where(F.octet_length("payload") >= least).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1").alias("shared"), "first")
-    joined = own.join(firsts.hint("shuffle_hash"), F.col("sha1") == F.col("shared"), "left").select("page_id", "url", "payload", "first", (F.col("shared").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    size = own.agg(F.sum(F.octet_length("payload")), F.count(F.lit(1)), F.sum(F.ceil((F.octet_length("payload") + 1) / segment))).first()
+    keys = own.where(F.octet_length("payload") >= least).select("page", "page_id", "sha1")
+    firsts = keys.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    decided = hub_join(keys, firsts, ["sha1"], size[1]).select("page", "sha1", "first", (~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit")).distinct()
+    n = max(1, -(-(size[0] or 0) // archive_bytes))
+    joined = own.repartition(n, "page", "sha1").join(decided.hint("shuffle_hash"), ["page", "sha1"], "left").select("page_id", "url", "payload", "first", F.coalesce("revisit", F.lit(False)).alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,35 +127,59 @@ def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: in
                     out += page_records(*row, segment, chunk)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    # As many archives as their size asks for; the join's partitions may be many and small.
-    size = own.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    records = joined.coalesce(max(1, -(-size // archive_bytes))).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
+    records = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    average = max(1, (size[0] or 0) // max(1, size[2] or 1))
+    records.write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", max(1, 2 * archive_bytes // average)).text(path)
+
+
+def plain(archive: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of an archive, plain or gzip (one stream or a member for each record), some at a time."""
+    if archive[:2] != b"\x1f\x8b":
+        yield from (archive[at : at + step] for at in range(0, len(archive), step))
+        return
+    rest = archive
+    while rest:
+        stream = zlib.decompressobj(31)
+        while not stream.eof:
+            out = stream.decompress(rest, step)
+            rest = stream.unconsumed_tail
+            if not out and not rest and not stream.eof:
+                raise ValueError("the archive's last gzip member isn't whole")
+            yield out
+        rest = stream.unused_data
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive, plain or gzip, in one stream or a member for each record."""
-    if archive[:2] == b"\x1f\x8b":
-        out, rest = [], archive
-        while rest:
-            stream = zlib.decompressobj(31)
-            out.append(stream.decompress(rest))
-            rest = stream.unused_data
-        archive = b"".join(out)
-    at = 0
-    while at < len(archive):
-        end = archive.find(b"\r\n\r\n", at)
-        if end < 0 or not archive.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = archive[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    """Headers (lower-case names) and block of each record of an archive, which is inflated as far as the record goes."""
+    pieces, held, at = plain(archive), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        del held[:at]
+        at = 0
+        while at == len(held):
+            if not more():
+                return
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not more():
+                break
+        if end < 0 or not held.startswith(b"WARC/"):
+            raise ValueError("no WARC record where one should begin")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(headers["content-length"])
-        block = archive[end + 4 : end + 4 + size]
-        at = end + 4 + size
-        if len(block) != size or archive[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record before byte {at} isn't closed")
+        at = end + 4 + int(headers["content-length"])
+        while len(held) < at + 4 and more():
+            pass
+        if held[at : at + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record {headers.get('warc-record-id')} isn't closed")
+        yield headers, bytes(held[end + 4 : at])
         at += 4
-        yield headers, block
 
 
 FIELDS = "origin string, segment long, total long, kind string, uri string, digest string, refers string, payload_bytes long, payload_digest string, complete boolean, block binary"
@@ -204,12 +234,17 @@ def http_payload(block: bytes) -> tuple[bytes | None, int | None]:
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each captured page: origin, uri, kind, payload (null for revisits), payload_bytes, payload_digest, refers, complete.
 
-    Records are grouped by origin; a group holds one page's segments.  complete says that the
+    Segments are grouped by origin; a group holds one page's segments, each once.  Records that
+    aren't segments are their own group and not shuffled.  complete says that the
     segments are numbered without a gap, have the total length that the last one states, are well
     framed and fit the payload digest.  A page that was written more than once comes as often.
     Continuations without a first segment give one row with complete false.
     """
-    grouped = records.groupBy("origin").agg(F.collect_list(F.struct(*(c for c in records.columns if c != "origin"))).alias("records"))
+    rest = [c for c in records.columns if c not in ("origin", "segment")]
+    whole = records.where("segment is null").select("origin", F.array(F.struct("segment", *rest, F.lit(1).cast("long").alias("copies"))).alias("records"))
+    # A page that was written often has its segments in one row each, with their number.
+    segments = records.where("segment is not null").groupBy("origin", "segment").agg(F.min(F.struct(*rest)).alias("r"), F.count(F.lit(1)).alias("copies"))
+    grouped = whole.union(segments.groupBy("origin").agg(F.collect_list(F.struct("segment", *(F.col(f"r.{c}") for c in rest), "copies")).alias("records")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
@@ -231,7 +266,7 @@ def assemble(records: DataFrame) -> DataFrame:
                             rows.append((origin, head["uri"], head["kind"], None, head["payload_bytes"], head["payload_digest"], head["refers"], head["complete"]))
                             continue
                         size, digest, fits, payload = judged(head["kind"], head["digest"], block)
-                        rows.append((origin, head["uri"], head["kind"], payload, size, digest, head["refers"], fine and fits))
+                        rows += [(origin, head["uri"], head["kind"], payload, size, digest, head["refers"], fine and fits)] * head["copies"]
                     if not heads:
                         rows.append((origin, None, "continuation", None, None, None, None, False))
                 if rows:
@@ -246,8 +281,10 @@ def page_of(name: Column) -> Column:
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads them back: page_id, payload_bytes, payload_digest, record_type, refers_to, complete."""
-    path = scratch(pages.sparkSession, "warc")
-    write_archives(pages, path, **options)
-    read = assemble(read_records(pages.sparkSession, path, blocks=False))
-    return read.select(page_of(F.col("origin")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of(F.col("refers")).alias("refers_to"), "complete")
+    """Writes the pages to archives in the shared folder, reads them back and deletes them: page_id, payload_bytes, payload_digest, record_type, refers_to, complete."""
+    spark = pages.sparkSession
+    with tidy(spark):
+        path = place(spark, "warc")
+        write_archives(pages, path, **options)
+        read = assemble(read_records(spark, path, blocks=False))
+        return stored(read.select(page_of(F.col("origin")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of(F.col("refers")).alias("refers_to"), "complete"), "pages", outlive=True)

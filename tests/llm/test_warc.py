@@ -53,3 +53,36 @@ def test_chunk_framing():
     assert warc.unchunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
     for bad in (b"", b"zz\r\n", b"3\r\nab\r\n0\r\n\r\n", b"3\r\nabc\r\n0\r\n", b"3\r\nabc\r\n0\r\n\r\nmore"):
         assert warc.unchunked(bad) is None
+
+
+def test_archives_are_bounded_and_read_piece_by_piece(spark, tmp_path):
+    import gzip
+
+    pages = spark.createDataFrame(ROWS, "page_id long, url string, html string").repartition(1)
+    warc.write_archives(pages, str(tmp_path / "b"), segment=1000, chunk=300, archive_bytes=20_000)
+    files = list((tmp_path / "b").glob("part-*"))
+    assert len(files) > 10 and max(len(gzip.decompress(f.read_bytes())) for f in files) < 200_000
+    # As one stream, as a member for each record, and as it is.
+    records = [r + warc.CLOSE.encode() for i, u, h in ROWS for r in warc.page_records(i, u, (h or "").encode(), None, False, 700, 300)]
+    for archive in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records)), b"".join(records)):
+        assert [h["warc-record-id"] for h, _ in warc.parse(archive)] == [r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0].decode() for r in records]
+        pieces = list(warc.plain(archive, 100))
+        assert b"".join(pieces) == b"".join(records) and max(map(len, pieces)) <= 100
+    for bad in (b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab", b"none\r\n\r\n", gzip.compress(records[0])[:-20]):
+        try:
+            assert not list(warc.parse(bad))
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_pages_that_repeat(spark):
+    """A segmented page that was written often, a payload that most pages share, null ids."""
+    rows = [(1, "u", "x" * 40_000)] * 7 + [(None, None, "same")] * 3 + [(k, "v", "same") for k in range(10, 1300)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert all(r.complete for r in got)
+    found = sorted(((-1 if r.page_id is None else r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str)
+    same = expected([(9999, "v", "same"), (1, "u", "x" * 40_000)])
+    digests = {size: digest for _, size, digest, _, _ in same}
+    want = [(1, 40_000, digests[40_000], "response", None)] * 7 + [(-1, 4, digests[4], "revisit", 1299)] * 3 + [(k, 4, digests[4], "response" if k == 1299 else "revisit", None if k == 1299 else 1299) for k in range(10, 1300)]
+    assert found == sorted(want, key=str)
