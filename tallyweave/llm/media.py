@@ -68,11 +68,22 @@ _DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if y * y +
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Means over squares of 2r + 1 pixels, edges repeated."""
-    p = np.pad(a, r + 1, mode="edge")
-    s = p.cumsum(0).cumsum(1)
-    n = 2 * r + 1
-    return (s[n:-1, n:-1] - s[n:-1, : -n - 1] - s[: -n - 1, n:-1] + s[: -n - 1, : -n - 1]) / (n * n)
+    """Means over squares of 2r + 1 pixels, edges repeated: rows are added up, then columns."""
+    h, w = a.shape
+    tall = np.empty((h + 2 * r, w))
+    tall[r : r + h] = a
+    tall[:r], tall[r + h :] = a[0], a[-1]
+    wide = np.empty((h, w + 2 * r))
+    middle = wide[:, r : r + w]
+    np.add(tall[:h], tall[1 : h + 1], out=middle)
+    for k in range(2, 2 * r + 1):
+        middle += tall[k : k + h]
+    wide[:, :r], wide[:, r + w :] = middle[:, :1], middle[:, -1:]
+    out = wide[:, :w] + wide[:, 1 : w + 1]
+    for k in range(2, 2 * r + 1):
+        out += wide[:, k : k + w]
+    out *= 1 / (2 * r + 1) ** 2
+    return out
 
 
 def _resized(a: np.ndarray, scale: float) -> np.ndarray:
@@ -121,7 +132,7 @@ def describe(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(y):
             continue
         disc = a[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
-        angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
+        angle = np.arctan2(*np.einsum("nk,kc->cn", disc, _DISC, optimize=False))
         turn = np.rint(angle / (2 * np.pi) * TURNS).astype(np.int64) % TURNS
         smooth = _box(a, 1)
         ends = _TESTS[turn]
@@ -310,5 +321,8 @@ def drawn_copies(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     queries = rendered(own.join(asked.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"]), copies=True)
     matches = find_copies(images, queries).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("inliers")).alias("by"), F.col("image_id").alias("class_id"), "inliers"))).alias("best"))
     found = matches.select("query_id", F.transform("best", lambda x: F.struct(x["class_id"].alias("class_id"), x["inliers"].alias("inliers"))).alias("found"))
-    with_query = classes.join(asked, "class_id", "left").withColumn("query_id", F.when(F.col("image_id") % every == 0, F.col("query_id")))
-    return with_query.join(found, "query_id", "left").select(F.col("image_id").alias("vec_id"), "class_id", "query_id", "found")
+    # Only rows that are queries meet the answers.
+    is_query = F.coalesce(F.col("image_id") % every == 0, F.lit(False))
+    answered = classes.where(is_query).join(asked, "class_id", "left").join(found, "query_id", "left").select("image_id", "class_id", "query_id", "found")
+    others = classes.where(~is_query).select("image_id", "class_id", F.lit(None).cast("long").alias("query_id"), F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    return answered.union(others).withColumnRenamed("image_id", "vec_id")
