@@ -2,7 +2,7 @@
 
 Every word type has a sparse ternary index vector drawn from its hash, so vectors need no
 dictionary.  A type's context vector is the sum of the index vectors that stand beside it in
-the training documents.  A document is the mean of its words' vectors, for two kinds of
+all documents, labelled or not: each task adds up its own, and the sums are added by type.  A document is the mean of its words' vectors, for two kinds of
 types: the words themselves and their shapes (what characters they are made of), beside the
 shares of repeated words and word pairs.  A two-layer network gives the logit, and a
 temperature fitted on training documents that the network hasn't seen makes it a
@@ -11,16 +11,18 @@ probability.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import kept_rows
+from tallyweave.llm.shared import kept_rows, partitions
 from tallyweave.llm.textarrays import U64, chunks, lowered, mix, span_hashes, word_spans
-from tallyweave.llm.toxicity import training_sample
+from tallyweave.llm.toxicity import MOST_BYTES, MOST_ROWS, training_sample
 
 TYPES, SHAPES = 1 << 16, 1 << 12  # hashed word types and shapes
 DIM, SHAPE_DIM = 48, 32
@@ -33,13 +35,16 @@ _KIND[128:] = 1
 _KIND[48:58] = 2
 
 
+def index_entries(n: int, dim: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs (NONZERO, n) of n sparse ternary vectors, each made from the hash of its number."""
+    h = mix(np.arange(n, dtype=U64) * U64(NONZERO) + (np.arange(1, NONZERO + 1, dtype=U64) + U64(seed << 32))[:, None])
+    return (h % U64(dim)).astype(np.int64), np.where(h >> U64(63), 1, -1).astype(np.int32)
+
+
 def index_vectors(n: int, dim: int, seed: int) -> np.ndarray:
-    """n sparse ternary vectors, each made from the hash of its number."""
     out = np.zeros((n, dim), dtype=np.float32)
-    numbers = np.arange(n, dtype=U64)
-    for k in range(NONZERO):
-        h = mix(numbers * U64(NONZERO) + U64(k + 1 + (seed << 32)))
-        out[np.arange(n), (h % U64(dim)).astype(np.int64)] += np.where(h >> U64(63), 1, -1)
+    for place, sign in zip(*index_entries(n, dim, seed), strict=True):
+        out[np.arange(n), place] += sign
     return out / np.sqrt(NONZERO)
 
 
@@ -104,27 +109,87 @@ def document_vectors(model: QualityModel, data: np.ndarray, offsets: np.ndarray)
     return np.concatenate([_pooled(model.words, types, first), _pooled(model.shapes, shapes, first), extra], axis=1)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, units: int = 32, epochs: int = 60, seed: int = 11) -> QualityModel:
-    """Trains on documents labelled 0 or 1; with one class or none, all scores are that label (0.5 without labels)."""
-    index, shape_index = index_vectors(TYPES, DIM, 1), index_vectors(SHAPES, SHAPE_DIM, 2)
-    model = QualityModel(index, shape_index, *(np.zeros(1),) * 4)
-    if not len(labels) or labels.min() == labels.max():
-        model.constant = float(labels[0]) if len(labels) else 0.5
-        return model
-    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-    context, shape_context = np.zeros((TYPES, DIM), dtype=np.float32), np.zeros((SHAPES, SHAPE_DIM), dtype=np.float32)
-    for _, data, offsets in chunks(iter([batch]), "text", CHUNK):
+class ContextSums:
+    """Sums of neighbours' index vectors, as whole numbers, for each word type and, after these, each shape."""
+
+    SIZES = (TYPES * DIM, SHAPES * SHAPE_DIM)
+
+    def __init__(self):
+        self.entries = index_entries(TYPES, DIM, 1), index_entries(SHAPES, SHAPE_DIM, 2)
+        self.sums = [np.zeros(size, dtype=np.int32) for size in self.SIZES]
+
+    def add(self, data: np.ndarray, offsets: np.ndarray) -> None:
         _, types, shapes, first = types_of(data, offsets)
         border = np.zeros(len(types) + 1, dtype=bool)
         border[first] = True
         inner = np.flatnonzero(~border[1:-1]) + 1 if len(types) else np.zeros(0, np.int64)
-        for one, other in ((inner, inner - 1), (inner - 1, inner)):
-            _gather(context, types[one], index, types[other])
-            _gather(shape_context, shapes[one], shape_index, shapes[other])
-    for own, around in ((index, context), (shape_index, shape_context)):
-        around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-6)
-        around += own
-    model.words, model.shapes = context, shape_context
+        for numbers, dim, (places, signs), sums in zip((types, shapes), (DIM, SHAPE_DIM), self.entries, self.sums, strict=True):
+            left, right = numbers[inner - 1], numbers[inner]
+            for own, other in ((left, right), (right, left)):
+                for place, sign in zip(places, signs, strict=True):
+                    np.add.at(sums, own.astype(np.int64) * dim + place[other], sign[other])
+
+    @staticmethod
+    def vectors(sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Types' and shapes' vectors: their own index vectors and, of length one, their contexts."""
+        out = []
+        for own, around in zip((index_vectors(TYPES, DIM, 1), index_vectors(SHAPES, SHAPE_DIM, 2)), sums, strict=True):
+            around = around.reshape(own.shape).astype(np.float32)
+            out.append(own + around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-6))
+        return out[0], out[1]
+
+
+def gather_contexts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Word and shape vectors from the whole texts of all documents.
+
+    A task sends its sums on in parts of a fixed number of entries, those of zero only left out; each part is added
+    up by one task, a batch at a time.  What comes to the driver has the same size whatever the corpus.
+    """
+    parts = max(8, min(512, partitions(docs)))
+    bounds = [[size * k // parts for k in range(parts + 1)] for size in ContextSums.SIZES]
+
+    def packed(sums: list[np.ndarray], k: int) -> bytes:
+        return zlib.compress(b"".join(s[b[k] : b[k + 1]].astype("<i8").tobytes() for s, b in zip(sums, bounds, strict=True)), 1)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, some = ContextSums(), False
+        for _, data, offsets in chunks(batches, "text", CHUNK):
+            own.add(data, offsets)
+            some = True
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([packed(own.sums, k) for k in range(parts)], pa.binary())], names=["part", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                values = np.frombuffer(zlib.decompress(raw.as_py()), dtype="<i8")
+                totals[k] = totals[k] + values if k in totals else values
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([v.tobytes() for v in totals.values()], pa.binary())], names=["part", "sums"])
+
+    schema = "part int, sums binary"
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, schema).repartitionById(parts, F.col("part")).mapInArrow(add, schema).toArrow()
+    sums = [np.zeros(size, dtype=np.int64) for size in ContextSums.SIZES]
+    for k, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        values, at = np.frombuffer(raw, dtype="<i8"), 0
+        for s, b in zip(sums, bounds, strict=True):
+            s[b[k] : b[k + 1]] = values[at : at + b[k + 1] - b[k]]
+            at += b[k + 1] - b[k]
+    return ContextSums.vectors(sums)
+
+
+def fit(texts: pa.Array, labels: np.ndarray, vectors: tuple[np.ndarray, np.ndarray] | None = None, units: int = 32, epochs: int = 60, seed: int = 11) -> QualityModel:
+    """Trains on documents labelled 0 or 1, with word and shape vectors (by default from these texts); with one class or none, all scores are that label (0.5 without labels)."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    if vectors is None:
+        own = ContextSums()
+        for _, data, offsets in chunks(iter([batch]), "text", CHUNK):
+            own.add(data, offsets)
+        vectors = ContextSums.vectors(own.sums)
+    model = QualityModel(*vectors, *(np.zeros(1),) * 4)
+    if not len(labels) or labels.min() == labels.max():
+        model.constant = float(labels[0]) if len(labels) else 0.5
+        return model
     x = np.concatenate([document_vectors(model, data, offsets) for _, data, offsets in chunks(iter([batch]), "text", CHUNK)])
     y = labels.astype(float)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
@@ -140,12 +205,6 @@ def fit(texts: pa.Array, labels: np.ndarray, units: int = 32, epochs: int = 60,
     return model
 
 
-def _gather(target: np.ndarray, rows: np.ndarray, vectors: np.ndarray, others: np.ndarray) -> None:
-    """target[rows] += vectors[others], column by column."""
-    for k in range(target.shape[1]):
-        target[:, k] += np.bincount(rows, weights=vectors[others, k], minlength=len(target)).astype(np.float32)
-
-
 def _train(model: QualityModel, z: np.ndarray, y: np.ndarray, units: int, epochs: int, rng) -> None:
     """Cross-entropy by Adam over small batches, with weight decay."""
     hidden = rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1] + 1, units))
@@ -172,9 +231,9 @@ def _train(model: QualityModel, z: np.ndarray, y: np.ndarray, units: int, epochs
     model.hidden, model.out = hidden, out
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> QualityModel:
-    """Fits vectors and network on labels.quality outside fold 2 of 4 (at most ``most`` documents)."""
-    return fit(*training_sample(docs, labels, "quality", 4, 2, most))
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
+    """Gathers vectors from all documents and fits the network on labels (doc_id, quality) outside fold 2 of 4, on at most ``most`` documents of ``most_bytes`` together (see ``training_sample``)."""
+    return fit(*training_sample(docs, labels, "quality", 4, 2, most, most_bytes, id_col, text_col), vectors=gather_contexts(docs, text_col))
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -197,6 +256,9 @@ def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows whose text scores ``threshold`` or more, with all their columns."""
+    """The rows whose text scores ``threshold`` or more, with all their columns, whatever their names.
+
+    A null or empty text has no words and is judged by that.  Repeated rows and null ids are kept or dropped each by its own text.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
     return kept_rows(docs, text_col, CHUNK, lambda data, offsets: held.value.score(document_vectors(held.value, data, offsets)) >= threshold)

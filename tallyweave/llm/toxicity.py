@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.llm.shared import fold, kept_rows
-from tallyweave.llm.textarrays import Hasher, chunks, lowered, mix, run_spans
+from tallyweave.llm.shared import fold, kept_rows, stored, tidy
+from tallyweave.llm.textarrays import Hasher, chunks, lowered, mix, ragged, run_spans
 
 WIDTH = 1 << 20  # weights; feature hashes are taken modulo this
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes
@@ -201,8 +201,12 @@ def token_labels(texts: pa.Array, labels: np.ndarray, least: float = 25.0, ratio
     return marks
 
 
-def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7, window: int = 32, most_windows: int = 8000, epochs: int = 40) -> CrfModel:
-    """Trains on documents labelled 0 or 1.  With one class or none, all scores are that share of toxic documents (0 without labels)."""
+def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7, window: int = 32, unmarked: float = 0.01, epochs: int = 40) -> CrfModel:
+    """Trains on documents labelled 0 or 1.  With one class or none, all scores are that share of toxic documents (0 without labels).
+
+    The labelled documents are cut into windows of ``window`` words (the last one may be shorter).  Every window with a marked word is trained
+    on, whether its document is toxic or not, and of the others, which are clean throughout, the share ``unmarked``, drawn with ``seed``.
+    """
     start, trans = np.zeros(2), np.zeros((2, 2))
     model = CrfModel(np.zeros(WIDTH, dtype=np.float32), -4.0, trans, start, np.zeros(4))
     if not len(labels) or labels.min() == labels.max():
@@ -216,19 +220,15 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7, window: int = 32, mo
         numbers = features(low, starts, ends)
         doc_label = np.repeat(part.column(1).to_numpy(), np.diff(first)).astype(bool)
         marked = marks[numbers].any(axis=0)
-        n_windows = len(starts) // window
-        hit = marked[: n_windows * window].reshape(-1, window).any(axis=1)
-        chosen = np.flatnonzero(hit | (rng.random(n_windows) < 0.01))
-        cut = np.zeros((n_windows * window), dtype=bool)
-        cut[first[first < len(cut)]] = True
-        take = (chosen[:, None] * window + np.arange(window)).reshape(-1)
-        parts.append((numbers[:, take].reshape(len(numbers), -1, window), (marked & doc_label)[take].reshape(-1, window), cut[take].reshape(-1, window)))
-    x = np.concatenate([p[0] for p in parts], axis=1)
-    y = np.concatenate([p[1] for p in parts]).astype(np.int64)
-    cut = np.concatenate([p[2] for p in parts])
-    if len(y) > most_windows:
-        chosen = np.sort(rng.permutation(len(y))[:most_windows])
-        x, y, cut = x[:, chosen], y[chosen], cut[chosen]
+        borders = np.arange(0, len(starts), window)
+        hit = np.logical_or.reduceat(marked, borders) if len(borders) else np.zeros(0, bool)
+        chosen = borders[hit | (rng.random(len(borders)) < unmarked)]
+        cut = np.zeros(len(starts) + 1, dtype=bool)
+        cut[first] = cut[chosen] = True
+        take = ragged(chosen, np.minimum(window, len(starts) - chosen))
+        parts.append((numbers[:, take], (marked & doc_label)[take], cut[take]))
+    x, y, cut = np.concatenate([p[0] for p in parts], axis=1), np.concatenate([p[1] for p in parts]).astype(np.int64), np.concatenate([p[2] for p in parts])
+    del parts
     if len(y):
         _train(model, x, y, cut, epochs)
     rows = []
@@ -239,16 +239,10 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7, window: int = 32, mo
     return model
 
 
-def _train(model: CrfModel, x: np.ndarray, y: np.ndarray, cut: np.ndarray, epochs: int) -> None:
-    """Maximum likelihood with a small L2 term by Adagrad; every window is a sequence, a document's border in it a new start."""
-    n, length = y.shape
+def _train(model: CrfModel, flat: np.ndarray, state: np.ndarray, heads: np.ndarray, epochs: int) -> None:
+    """Maximum likelihood with a small L2 term by Adagrad over features (kinds, words), states and where a window or a document begins."""
     w = np.zeros(WIDTH)
-    flat = x.reshape(len(x), -1)
-    cut = cut.copy()
-    cut[:, 0] = True
-    heads = cut.reshape(-1)
     first = np.concatenate([np.flatnonzero(heads), [heads.size]])
-    state = y.reshape(-1)
     inner = np.flatnonzero(~heads)
     seen = np.zeros((2, 2))
     np.add.at(seen, (state[inner - 1], state[inner]), 1)
@@ -325,24 +319,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.5
     return w
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of at most ``most`` labelled documents outside the held-out fold, those of the smallest id hashes.
+MOST_ROWS, MOST_BYTES = 12_000, 32 << 20  # of labelled documents that a classifier is trained on
+
 
-    The bound is on the classifier's training rows alone; the chosen ids are few, so they are broadcast and the texts' table isn't shuffled.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Array, np.ndarray]:
+    """Whole texts and labels of labelled documents outside the held-out fold: at most ``most``, those of the smallest id hashes, and of these as many as have ``most_bytes`` bytes together.
+
+    The bounds are on the classifiers' training rows alone.  A document above a sixteenth of
+    ``most_bytes`` is no training row.  Ids with both labels are left out; rows that repeat an id count
+    once, with the smallest text; a null text is empty.  The chosen ids are few, so they are broadcast and the texts' table isn't shuffled.
     """
-    chosen = (
-        labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
-        .select("doc_id", F.col(label).cast("int").alias("_label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "_label")
-        .limit(most)
-    )
-    table = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "_label", "text").select("text", "_label").toArrow().combine_chunks()
+    with tidy(docs.sparkSession):
+        chosen = (
+            labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
+            .groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).cast("int").alias("_label"), F.max(label).cast("int").alias("_other"))
+            .where("_label = _other").select("_id", "_label")
+            .orderBy(F.xxhash64("_id"), "_id")
+            .limit(most)
+        )
+        text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
+        found = docs.select(F.col(id_col).alias("_id"), text).where(F.octet_length("_text") <= most_bytes // 16).join(F.broadcast(chosen), "_id")
+        sample = stored(found.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), "training")
+        running = F.sum(F.octet_length("_text")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
+        kept = sample.select("_id", running.alias("_bytes")).where(F.col("_bytes") <= most_bytes).select("_id")
+        table = sample.join(F.broadcast(kept), "_id").orderBy("_id").select("_text", "_label").toArrow().combine_chunks()
     return table.column(0).combine_chunks() if table.num_rows else pa.array([], pa.string()), table.column(1).to_numpy().astype(np.int64)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 12_000) -> CrfModel:
-    """Fits the field on labels.toxic outside fold 0 of 5 (at most ``most`` documents)."""
-    return fit(*training_sample(docs, labels, "toxic", 5, 0, most))
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> CrfModel:
+    """Fits the field on labels (doc_id, toxic) outside fold 0 of 5, on at most ``most`` documents of ``most_bytes`` together (see ``training_sample``)."""
+    return fit(*training_sample(docs, labels, "toxic", 5, 0, most, most_bytes, id_col, text_col))
 
 
 def score(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,7 +379,10 @@ def score(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: st
 
 
 def keep_clean(docs: DataFrame, model: CrfModel, text_col: str = "text") -> DataFrame:
-    """The rows whose text isn't predicted toxic, with all their columns."""
+    """The rows whose text isn't predicted toxic, with all their columns, whatever their names.
+
+    A null or empty text has no tokens and is judged by that.  Repeated rows and null ids are kept or dropped each by its own text.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -1,12 +1,13 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tallyweave.llm import quality, queries, toxicity
+from tallyweave.llm import quality, queries, textarrays, toxicity
 
 random.seed(5)
 CLEAN = ["river", "stone", "garden", "paper", "window", "letter", "market", "winter", "silver", "castle", "forest", "music"]
@@ -95,3 +96,127 @@ def test_queries_on_held_out_labels(spark):
         assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % mod == rest) for r in rows)
         known = [(r.predicted, labels[r.doc_id][label]) for r in rows if r.held_out and r.doc_id in labels]
         assert np.mean([a == b for a, b in known]) >= least
+
+
+def span_hash(raw):
+    """The hash of a span by whole numbers."""
+    m1, m2, full = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, (1 << 64) - 1
+
+    def mix(h):
+        for m in (m1, m2):
+            h = ((h ^ h >> 33) * m) & full
+        return h ^ h >> 33
+
+    value = 0
+    for c in reversed(raw):
+        value = (value * textarrays.BASES[0] + c + 1) % textarrays.PRIME
+    return mix((value + len(raw) * m1) & full), mix
+
+
+def plain_toxicity(model, text):
+    """Score and marginals of one text, word by word."""
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode())
+    words = re.findall(rb"[a-z\x80-\xff]+", raw)
+    unary = []
+    for w in words:
+        total = model.bias + model.weights[span_hash(w)[0] % (toxicity.WIDTH - 1) + 1]
+        for where, length in toxicity.KINDS[1:]:
+            if len(w) > length:
+                part = w[:length] if where == 1 else w[-length:]
+                total += model.weights[(span_hash(part)[0] ^ (where * 64 + length)) % (toxicity.WIDTH - 1) + 1]
+        unary.append(total)
+    n, t = len(words), model.trans
+    ahead, back = [], [None] * n
+    for k, u in enumerate(unary):
+        a = [model.start[0], model.start[1] + u] if not k else [np.logaddexp(*(ahead[-1][s] + t[s][y] for s in (0, 1))) + (u if y else 0) for y in (0, 1)]
+        ahead.append(a)
+    for k in range(n - 1, -1, -1):
+        back[k] = [0.0, 0.0] if k == n - 1 else [np.logaddexp(*(t[y][s] + (unary[k + 1] if s else 0) + back[k + 1][s] for s in (0, 1))) for y in (0, 1)]
+    p = [math.exp(a[1] + b[1] - np.logaddexp(a[0] + b[0], a[1] + b[1])) for a, b in zip(ahead, back)]
+    inputs = [1, math.log1p(sum(p)), max(p, default=0), math.sqrt(sum(p) / max(n, 1))]
+    return 1 / (1 + math.exp(-float(np.dot(inputs, model.scorer)))), sum(x >= 0.5 for x in p)
+
+
+def plain_quality(model, text):
+    """Score of one text, word by word."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    hashes, pooled, shapes = [], np.zeros(quality.DIM), np.zeros(quality.SHAPE_DIM)
+    for w in words:
+        h, mix = span_hash(bytes(c + 32 if 65 <= c <= 90 else c for c in w))
+        hashes.append(h)
+        pooled += model.words[h % quality.TYPES]
+        kinds = [0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 or c >= 128 else 2 if 48 <= c <= 57 else 3 for c in w]
+        shape = 0
+        for kind, most in ((0, 3), (1, 3), (2, 2), (3, 3)):
+            shape = shape * (most + 1) + min(kinds.count(kind), most)
+        shape = shape * 256 + (w[-1] if kinds[-1] == 3 else 0)
+        shapes += model.shapes[mix(shape) % quality.SHAPES]
+    n, pairs = len(words), list(zip(hashes, hashes[1:]))
+    extra = [sum(a == b for a, b in pairs) / max(n, 1), 1 - len(set(pairs)) / (n - 1) if n > 1 else 0, math.log1p(n) / 5, len(raw) / max(n, 1) / 8]
+    x = np.concatenate([pooled / max(n, 1), shapes / max(n, 1), extra])
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    logit = np.tanh(z @ model.hidden[:-1] + model.hidden[-1]) @ model.out[:-1] + model.out[-1]
+    return 1 / (1 + math.exp(-logit / model.temperature))
+
+
+def test_queries_by_brute_force(spark):
+    """Every score of the two queries is that of a plain program with the same trained model."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    field, network = toxicity.train(docs, labels), quality.train(docs, labels)
+    got = {r.doc_id: r for r in queries.op3_crf_toxicity(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        score, n_bad = plain_toxicity(field, text)
+        assert abs(got[i].score - score) < 1e-6 and (abs(score - 0.5) < 1e-6 or got[i].predicted == (score >= 0.5))
+        assert abs(len(got[i].spans) - n_bad) <= 1
+    got = {r.doc_id: r for r in queries.op8_random_indexing_quality(spark, sf).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        assert abs(got[i].score - plain_quality(network, text)) < 1e-5
+
+
+def test_contexts_are_those_of_all_documents(spark):
+    texts = ["a b c", None, "", "b b a", "long é words here"] * 9
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    want = [np.zeros((quality.TYPES, quality.DIM)), np.zeros((quality.SHAPES, quality.SHAPE_DIM))]
+    index = [quality.index_vectors(quality.TYPES, quality.DIM, 1), quality.index_vectors(quality.SHAPES, quality.SHAPE_DIM, 2)]
+    for text in texts:
+        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+        _, types, shapes, _ = quality.types_of(raw, np.array([0, len(raw)]))
+        for own, vectors, numbers in zip(want, index, (types, shapes)):
+            for a, b in zip(numbers, numbers[1:]):
+                own[a] += vectors[b]
+                own[b] += vectors[a]
+    for got, around, own in zip(quality.gather_contexts(docs), want, index):
+        around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
+        assert np.allclose(got, around + own, atol=1e-5)
+
+
+def test_training_rows_are_bounded(spark):
+    """Ids and texts that repeat, both labels for one id, texts above the bounds."""
+    rows = [(i, "word " * (i + 1)) for i in range(60)] + [(3, "another text")] * 500 + [(70, None), (71, "x" * 5000)]
+    docs = spark.createDataFrame([(t, i, 0) for i, t in rows], "body string, key long, _label int").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(72)] * 2 + [(5, 0), (5, 1)], "doc_id long, toxic int")
+    kept = {i for i in range(72) if zlib.crc32(str(i).encode()) % 5 and i not in (5, *range(60, 70))}
+    texts, y = toxicity.training_sample(docs, labels, "toxic", 5, 0, id_col="key", text_col="body")
+    assert len(texts) == len(y) == len(kept)
+    texts, _ = toxicity.training_sample(docs, labels, "toxic", 5, 0, most_bytes=2000, id_col="key", text_col="body")
+    assert 0 < sum(len(t) for t in texts.to_pylist()) <= 2000 and max(len(t) for t in texts.to_pylist()) <= 125
+    texts, _ = toxicity.training_sample(docs, labels, "toxic", 5, 0, most=7, id_col="key", text_col="body")
+    assert len(texts) <= 7
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_filters_on_odd_rows(spark, module):
+    docs = spark.createDataFrame([(1, "", 1, 2), (None, None, 3, 4), (2, "good thing " * 50_000, 5, 6), (2, "bad thing", 7, 8), (2, "bad thing", 7, 8)], "doc_id long, text string, score int, _label int").repartition(2)
+    model = module.fit(pa.array(["good thing", "bad thing"] * 60), np.array([1, 0] * 60))
+    keep = module.keep_clean if module is toxicity else module.keep_good
+    got = keep(docs, model)
+    assert got.schema == docs.schema
+    threshold = {toxicity: lambda r: r.score < 0.5, quality: lambda r: r.score >= 0.7}[module]
+    scores = module.score(docs, model).collect()
+    assert got.count() == sum(map(threshold, scores))
+    assert keep(docs.where("false"), model).collect() == []
