@@ -1,3 +1,5 @@
+import os
+
 import corpus_pipeline
 from tallyweave.llm import jaccard_join, quality, toxicity
 from tallyweave.llm.shared import read
@@ -41,3 +43,46 @@ def test_near_copies_go_once(spark):
     docs = spark.createDataFrame([(4, text, "en", "a", 1), (2, text + " end", "en", "a", 1), (9, "other words here", "en", "a", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == [2, 9]
     assert {r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {2, 9}
+
+
+ODD = "text string, doc_id long, component_id int, n_chars int, score string, doc long, row long, lang string"
+
+
+def odd_rows():
+    good = "The quiet river ran past the old stone mill while the miller counted his sacks of grain ."
+    rows = [(f"{good} {k}\nA shared last line of this page here", k) for k in range(6)]
+    rows += [(None, 50), ("", 51), (" \n\t", 52), (good, None), (None, None), (good + " 0\nA shared last line of this page here", 0), ("quite other words " * 4, 3), ("word " * 60_000, 60)]
+    return [(t, i, 1, len(t or ""), "x", 9, 9, "en") for t, i in rows]
+
+
+def test_stages_take_odd_rows(spark):
+    docs = spark.createDataFrame(odd_rows(), ODD).repartition(3)
+    near = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert near.schema == docs.schema
+    got = sorted(((r.doc_id, r.text) for r in near.collect()), key=str)
+    rows = [(r[1], r[0]) for r in odd_rows()]
+    roots = {i: root for i, _, root in brute_components(rows)}
+    assert got == sorted({(i, t) for i, t in rows if i is not None and roots[i] == i} | {(i, t) for i, t in rows if i is None}, key=str)
+    kept = corpus_pipeline.drop_lines(spark, docs, SF)
+    assert kept.schema == docs.schema
+    want = sorted(((i, t) for i, t, _, removed in brute_lines(rows, 1, 2, 20) if not removed or t.strip()), key=str)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == want
+    packed = corpus_pipeline.pack(spark, docs, SF)
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in packed.where("start = 0").collect()) == sorted(-1 if i is None else i for i, _ in rows)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), SF).collect() == []
+
+
+def test_whole_run_over_odd_and_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(6)] + [(None, 1, 1), (60, None, 7)], "doc_id long, quality int, toxic int")
+    for name, some in (("odd", "true"), ("empty", "false")):
+        docs.where(some).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.where(some).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(rows) == (name == "odd")
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(folder))
+    corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    left = [n.split("-")[0] for n in set(os.listdir(folder)) - before]
+    assert left == ["ngram_jaccard"]  # what the last stage reads
