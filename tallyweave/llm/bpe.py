@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from tallyweave.llm.textarrays import ragged, same_spans, span_hashes
+from tallyweave.llm.textarrays import distinct, ragged, same_spans, span_hashes
 
 NONE = np.int32((1 << 31) - 1)  # the rank of a pair that never merges
 REPLAY_BYTES = 1 << 20  # of distinct words that one replay takes
@@ -29,7 +29,7 @@ def code_point_classes() -> np.ndarray:
     global _classes
     if _classes is None:
         table = np.zeros(0x110000, dtype=np.uint8)
-        major = np.frombuffer("".join(unicodedata.category(chr(c))[0] for c in range(0x110000)).encode(), dtype=np.uint8)
+        major = np.frombuffer("".join([x[0] for x in map(unicodedata.category, map(chr, range(0x110000)))]).encode(), dtype=np.uint8)
         table[major == ord("L")] = 1
         table[major == ord("N")] = 2
         table[WHITE_SPACE] = 3
@@ -44,6 +44,10 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+def _pair_slot(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+
+
 @dataclass
 class Vocabulary:
     """Ids, the bytes of each id, and the mergeable pairs.
@@ -103,11 +107,26 @@ class Vocabulary:
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where there is none) and merged id of pairs."""
         keys = left.astype(np.int64) << 32 | right
+        if len(keys) > 4096:  # most pairs never merge: a table of slots spares them the search
+            some = np.flatnonzero(self._pair_slots()[_pair_slot(keys)])
+            ranks, ids = np.full(len(keys), NONE, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+            ranks[some], ids[some] = self._search(keys[some])
+            return ranks, ids
+        return self._search(keys)
+
+    def _search(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.pair_keys, keys)
         at[at == len(self.pair_keys)] = 0
         found = self.pair_keys[at] == keys
         return np.where(found, self.pair_ranks[at], NONE), self.pair_ids[at]
 
+    def _pair_slots(self) -> np.ndarray:
+        if "pairs" not in self._tables:
+            slots = np.zeros(1 << 20, dtype=bool)
+            slots[_pair_slot(self.pair_keys)] = True
+            self._tables["pairs"] = slots
+        return self._tables["pairs"]
+
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of all tokens' bytes, their ids, each id's length, all tokens' bytes and where each id's begin."""
         if "hashes" not in self._tables:
@@ -287,7 +306,7 @@ def merge_replay(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, l
         if len(places) > 1:
             first = places[0]
             if len(parts) > 1 or symbol[first] == symbol[following[first]]:
-                places = np.unique(places)
+                places = distinct(places)
             if symbol[first] == symbol[following[first]]:
                 chained = np.zeros(len(places), dtype=bool)
                 chained[1:] = following[places[:-1]] == places[1:]
@@ -308,7 +327,7 @@ def merge_replay(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, l
         left = left[left >= 0]
         touched = np.concatenate([left, places])
         if len(places) > 1:
-            touched = np.unique(touched)
+            touched = distinct(touched)
         post(touched)
     counts = np.add.reduceat(alive, offsets[:-1][full], dtype=np.int64) if full.any() else np.zeros(0, np.int64)
     per_word = np.zeros(n_words, dtype=np.int64)
@@ -396,7 +415,11 @@ class WordTable:
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Whether some word has that hash."""
-        return np.isin(hashes, self.hashes)
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool)
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        return self.hashes[at] == hashes
 
     def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Slots of words whose hashes are known; a word that isn't the one with its hash gets a slot of its own."""
@@ -415,7 +438,7 @@ class WordTable:
 def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes and places of the distinct words, and for each word which one it is; words are told apart by their bytes, so a hash may occur twice."""
     hashes = span_hashes(data, starts, ends)
-    distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    found, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     lengths, first = ends - starts, index[inverse]
     same = lengths == lengths[first]
     same[same] = same_spans(data, starts[same], data, starts[first[same]], lengths[same])
@@ -423,10 +446,10 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     if len(odd):
         words: dict[bytes, int] = {}
         for k in odd.tolist():
-            inverse[k] = words.setdefault(data[starts[k] : ends[k]].tobytes(), len(distinct) + len(words))
+            inverse[k] = words.setdefault(data[starts[k] : ends[k]].tobytes(), len(found) + len(words))
         extra = odd[np.unique(inverse[odd], return_index=True)[1]]
-        distinct, index = np.concatenate([distinct, hashes[extra]]), np.concatenate([index, extra])
-    return distinct, index, inverse
+        found, index = np.concatenate([found, hashes[extra]]), np.concatenate([index, extra])
+    return found, index, inverse
 
 
 @dataclass
@@ -449,31 +472,31 @@ def blocks(table: WordTable, pieces, most: int = 12 << 20):
             table.clear()
         # The first piece that has a word of a new hash lends its bytes.
         hashes, spans, parts, shift = [], [], [], 0
-        for _, _, _, distinct, heads, data, _, _ in waiting:
-            fresh = np.flatnonzero(~table.known(distinct))
+        for _, _, _, words, heads, data, _, _ in waiting:
+            fresh = np.flatnonzero(~table.known(words))
             starts, lengths = heads[fresh], heads[fresh + 1] - heads[fresh]
             parts.append(data[ragged(starts, lengths)])
             ends = np.cumsum(lengths) + shift
             spans.append(np.stack([ends - lengths, ends]))
-            hashes.append(distinct[fresh])
+            hashes.append(words[fresh])
             shift += int(lengths.sum())
         if sum(map(len, hashes)):
             every = np.concatenate(hashes)
             index = np.sort(np.unique(every, return_index=True)[1])  # in the bytes' order, so that parts of them lie together
             both = np.concatenate(spans, axis=1)[:, index]
             table.learn(every[index], np.concatenate(parts), both[0], both[1])
-        for keys, first_word, inverse, distinct, heads, data, special, n_bytes in waiting:
-            slots = table.find(distinct, data, heads[:-1], heads[1:])[inverse]
+        for keys, first_word, inverse, words, heads, data, special, n_bytes in waiting:
+            slots = table.find(words, data, heads[:-1], heads[1:])[inverse]
             slots[special >= 0] = -2 - special[special >= 0]
             yield Block(keys, first_word, slots, n_bytes)
         waiting, size = [], 0
 
     for keys, data, offsets in pieces:
         starts, ends, first_word, special = split_words(data, offsets, table.vocabulary.special)
-        distinct, index, inverse = distinct_words(data, starts, ends)
+        words, index, inverse = distinct_words(data, starts, ends)
         lengths = (ends - starts)[index]
         own = data[ragged(starts[index], lengths)]
-        waiting.append((keys, first_word, inverse, distinct, np.concatenate([[0], np.cumsum(lengths)]), own, special, np.diff(offsets)))
+        waiting.append((keys, first_word, inverse, words, np.concatenate([[0], np.cumsum(lengths)]), own, special, np.diff(offsets)))
         size += len(data)
         if size >= most:
             yield from flush()

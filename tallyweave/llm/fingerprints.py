@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import partitions
-from tallyweave.llm.textarrays import U64, mix
+from tallyweave.llm.textarrays import U64, distinct, mix
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 911_382_323)
@@ -110,16 +110,16 @@ class PrefixHashes:
         if len(hashes) > KEPT:
             size = min(4 * KEPT, len(hashes))
             while True:
-                kept = np.unique(np.partition(hashes, size - 1)[:size])
+                kept = distinct(np.partition(hashes, size - 1)[:size])
                 if len(kept) >= KEPT or size == len(hashes):
                     break
                 size = min(4 * size, len(hashes))
-        kept = np.unique(kept)[:KEPT].astype(">u4")
+        kept = distinct(kept)[:KEPT].astype(">u4")
         whole = self.span(0, self.n)
         out = f"{self.n:x}-{whole[0]:08x}{whole[1]:08x}-{kept.tobytes().hex()}"
         if self.n - NARROW + 1 > KEPT:
             return out
-        return f"{out}-{np.unique(self.window_hashes(NARROW) >> U64(32)).astype('>u4').tobytes().hex()}"
+        return f"{out}-{distinct(self.window_hashes(NARROW) >> U64(32)).astype('>u4').tobytes().hex()}"
 
 
 def likeness(one: str, other: str) -> float:
@@ -134,7 +134,7 @@ def likeness(one: str, other: str) -> float:
     if short:
         return float(min(2 * len(np.intersect1d(a, b, assume_unique=True)) / (len(a) + len(b)), 0.9999))
     # Of the union's smallest values all are known: those up to the smaller of the two samples' ends, where a sample is not its whole set.
-    union = np.union1d(a, b)[:KEPT]
+    union = distinct(np.concatenate([a, b]))[:KEPT]
     common = np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum()
     shared = common / len(union)
     return float(min(2 * shared / (1 + shared), 0.9999))

@@ -201,7 +201,7 @@ def shared_blobs(postings: DataFrame, buckets: int) -> DataFrame:
         sets = owner[heads]
         target = (hi[sets] % U64(buckets)).astype(np.int64)
         place = np.repeat(target, counts)
-        for t in np.unique(target).tolist():
+        for t in np.flatnonzero(np.bincount(target)).tolist():
             own, elements = target == t, place == t
             k = tokens[elements]
             blob = _packed(hi[sets[own]], n[sets[own]], counts[own].astype("<u4"), np.full(int(own.sum()), number, "<u4"), k.astype("<u4"), (k >> U64(32)).astype("<u1"), lengths[elements].astype("<u4"))

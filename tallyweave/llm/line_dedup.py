@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import hub_join, key_filter, partitions, passes, stored, tidy
-from tallyweave.llm.textarrays import U64, Hasher, chunks, mix, ragged
+from tallyweave.llm.textarrays import U64, Hasher, chunks, distinct, mix, ragged
 
 MIN_CHARS, EDIT_CHARS, MAX_EDITS = 1, 20, 2
 CROWD, PIVOTS = 256, 64  # lines of one key that are paired, and a crowd's lines that all others are compared with first
 LAST = (1 << 63) - 1
 REFERENCE = U64((1 << 48) - 1)  # the bits of h1 that name a line in the index
 _SECOND = U64(0x5851F42D4C957F2D)
-_BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
+_INK = np.array([not chr(c).isspace() for c in range(0x3002)])  # no white space lies beyond
 
 
 class Lines:
@@ -72,7 +72,7 @@ class Lines:
 
     def blank(self) -> np.ndarray:
         """Whether a line has no code point but white space."""
-        inked = np.concatenate([[0], np.cumsum(~np.isin(self.points, _BLANKS))])
+        inked = np.concatenate([[0], np.cumsum(_INK[np.minimum(self.points, len(_INK) - 1)])])
         return inked[self.ends] == inked[self.starts]
 
     def hash(self, starts: np.ndarray, ends: np.ndarray, hasher: Hasher | None = None) -> np.ndarray:
@@ -273,7 +273,7 @@ def _candidates(entries: DataFrame, buckets: int, edits: int, crowd: int) -> Dat
         indexed = sizes - probed
         many = np.maximum(probed, indexed) > crowd
         for head, size in zip(heads[many].tolist(), sizes[many].tolist(), strict=True):
-            own = np.unique(refs[head : head + size])
+            own = distinct(refs[head : head + size])
             yield rows(own, None, np.full(len(own), keys[head]))
         heads, probed, indexed = heads[~many], probed[~many], indexed[~many]
         first = np.repeat(heads, probed)
@@ -288,7 +288,11 @@ def _candidates(entries: DataFrame, buckets: int, edits: int, crowd: int) -> Dat
             close = (refs[left] != refs[right]) & (np.bitwise_count(sketches[left] ^ sketches[right]) <= 2 * edits)
             a, b = refs[left[close]], refs[right[close]]
             if len(a):
-                yield rows(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1), None)
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                yield rows(a[new], b[new], None)
             low = high
 
     return entries.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "a long, b long, key long").distinct()

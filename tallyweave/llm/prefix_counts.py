@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from tallyweave.llm import bpe
 from tallyweave.llm.shared import tokenizer_path
-from tallyweave.llm.textarrays import Hasher, chunks, ragged
+from tallyweave.llm.textarrays import U64, Hasher, chunks, ragged
 
 LONG_WORD = 64  # longer words are tabulated one by one
 
@@ -64,6 +64,36 @@ def reachable(vocabulary: bpe.Vocabulary) -> np.ndarray:
     return vocabulary._tables["reachable"]
 
 
+SLOTS = 18  # bits of a table that tells which last bytes no token has
+_SPREAD = U64(0x9E3779B97F4A7C15)
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (values * _SPREAD) >> U64(64 - SLOTS)
+
+
+def tokens_by_length(vocabulary: bpe.Vocabulary) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of reachable tokens: whether some token's last bytes have a slot, the last eight bytes of these tokens as numbers in order, and their ids.
+
+    A token of eight bytes or less is its number; longer ones are looked up by hash and compared.
+    """
+    if "by_length" not in vocabulary._tables:
+        ids = np.flatnonzero(reachable(vocabulary)).tolist()
+        own: dict[int, list[tuple[int, int]]] = {}
+        for i in ids:
+            word = vocabulary.token_bytes[i]
+            own.setdefault(len(word), []).append((int.from_bytes(word[-8:], "big"), i))
+        tables = {}
+        for length, pairs in own.items():
+            pairs.sort()
+            values = np.array([v for v, _ in pairs], dtype=U64)
+            slots = np.zeros(1 << SLOTS, dtype=bool)
+            slots[_slot(values)] = True
+            tables[length] = slots, values, np.array([i for _, i in pairs], dtype=np.int64)
+        vocabulary._tables["by_length"] = tables
+    return vocabulary._tables["by_length"]
+
+
 def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every non-empty prefix of every word its token count, words one after the other, and the words' offsets."""
     lengths = ends - starts
@@ -73,25 +103,44 @@ def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarra
     last = np.full(int(offsets[-1]), -1, dtype=np.int32)
     if not len(text):
         return count, offsets
-    real = reachable(vocabulary)
-    longest = int(vocabulary.table()[2].max())
+    real, tables = reachable(vocabulary), tokens_by_length(vocabulary)
     heads = offsets[:-1]
     short = np.flatnonzero(lengths <= LONG_WORD)
     short = short[np.argsort(lengths[short], kind="stable")]
     size = lengths[short]
-    hasher = Hasher(text)
+    hasher = None
+    # The eight bytes before each place.
+    window = np.zeros(len(text) + 1, dtype=U64)
+    for k in range(min(8, len(text))):
+        window[k + 1 :] |= text[: len(text) - k].astype(U64) << U64(8 * k)
     for p in range(1, int(size[-1]) + 1 if len(size) else 0):
         open_ = heads[short[np.searchsorted(size, p) :]]  # starts of the words that have this prefix
-        for length in range(min(p, longest), 0, -1):
+        before = window[open_ + p]
+        for length in range(p, 0, -1):
             if not len(open_):
                 break
-            to = open_ + p
-            token = vocabulary.token_of(hasher.spans(to - length, to), text, to - length, to)
-            some = np.flatnonzero(token >= 0)
-            some = some[real[token[some]]]
+            if length not in tables:
+                continue
+            slots, values, ids = tables[length]
+            key = before & U64((1 << 8 * length) - 1) if length < 8 else before
+            some = np.flatnonzero(slots[_slot(key)])
+            key = key[some]
+            place = np.searchsorted(values, key)
+            place[place == len(values)] = 0
+            met = values[place] == key
+            some = some[met]
             if not len(some):
                 continue
-            token, at = token[some], open_[some]
+            if length <= 8:
+                token = ids[place[met]]
+            else:
+                to = open_[some] + p
+                hasher = hasher or Hasher(text)
+                token = vocabulary.token_of(hasher.spans(to - length, to), text, to - length, to)
+                met = token >= 0
+                met[met] = real[token[met]]
+                token, some = token[met], some[met]
+            at = open_[some]
             if length < p:
                 fine = compatible(vocabulary, last[at + p - length - 1], token)
                 some, token, at = some[fine], token[fine], at[fine]
@@ -101,7 +150,7 @@ def prefix_table(vocabulary: bpe.Vocabulary, data: np.ndarray, starts: np.ndarra
             last[at + p - 1] = token
             rest = np.ones(len(open_), dtype=bool)
             rest[some] = False
-            open_ = open_[rest]
+            open_, before = open_[rest], before[rest]
     for w in np.flatnonzero(lengths > LONG_WORD):
         count[heads[w] : heads[w] + lengths[w]] = _long_word(vocabulary, text[heads[w] : heads[w] + lengths[w]].tobytes(), real)
     return count, offsets

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm.textarrays import U64, chunks, mix
+from tallyweave.llm.textarrays import U64, chunks, distinct, mix
 
 FILTER_BITS = 1 << 25  # of a key filter, whatever the number of keys
 
@@ -128,7 +128,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = np.unique(_filter_places(batch.column(0).to_numpy()).reshape(-1))
+            own = distinct(_filter_places(batch.column(0).to_numpy()).reshape(-1))
             yield pa.RecordBatch.from_arrays([pa.array(own >> 6), pa.array(np.int64(1) << (own & 63))], names=["word", "bits"])
 
     found = keys.mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()

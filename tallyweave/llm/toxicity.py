@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import fold, kept_rows, stored, tidy
-from tallyweave.llm.textarrays import Hasher, chunks, lowered, mix, ragged, run_spans
+from tallyweave.llm.textarrays import Hasher, chunks, distinct, lowered, mix, ragged, run_spans
 
 WIDTH = 1 << 20  # weights; feature hashes are taken modulo this
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes
@@ -176,12 +176,12 @@ def token_labels(texts: pa.Array, labels: np.ndarray, least: float = 25.0, ratio
             place = mix(mix(around[0]) + around[1] * np.uint64(3) + numbers)
             keys = place << np.uint64(20) | numbers
             toxic = np.repeat(part.column(1).to_numpy(), np.diff(first)).astype(bool)
-            seen[0].append(np.unique(keys[~toxic]))
-            seen[1].append(np.unique(keys[toxic]))
+            seen[0].append(distinct(keys[~toxic]))
+            seen[1].append(distinct(keys[toxic]))
         for y in (0, 1):
             total = 0
             for top in range(8):  # by the highest bits, so that only an eighth is sorted at a time
-                own = np.unique(np.concatenate([k[k >> np.uint64(61) == top] for k in seen[y]]))
+                own = distinct(np.concatenate([k[k >> np.uint64(61) == top] for k in seen[y]]))
                 counts[y] += np.bincount((own & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
                 total += len(own)
             if kind == KINDS[0]:
