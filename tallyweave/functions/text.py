@@ -2,7 +2,7 @@
 
 Every rule set of names is a ``NameRules`` value; ``clean_name`` turns one into an expression
 that stays inside the JVM.  Latin letters are folded by ``translate`` with a table made from
-Unicode decompositions; other scripts need ``functions.scripts.transliterate`` first.
+Unicode decompositions; ``functions.scripts.transliterate`` spells other scripts first.
 """
 
 from __future__ import annotations

@@ -65,6 +65,10 @@ def _bigrams(n: int) -> Column:
     return F.when(F.size(_words()) >= 2, _each(grams, lambda w: _key(w))).otherwise(F.array().cast("array<string>"))
 
 
+def _significant() -> Column:
+    return F.filter(_words(), lambda w: _long(w))
+
+
 def _num() -> Column:
     return F.col("street_num")
 
@@ -96,6 +100,7 @@ TIERS = {
         Tier("pin_word", 45, lambda: _one((F.col("pin") != "") & (F.size(_words()) >= 1), F.col("pin"), F.left(_word(0), F.lit(4))), limit=150),
         Tier("first_token", 40, lambda: _one(F.size(_words()) >= 1, _word(0))),
         Tier("prefix3", 35, lambda: _one(F.col("name") != "", F.left(F.col("name"), F.lit(3)))),
+        Tier("first_last_sorted", 75, lambda: _one(F.size(_significant()) >= 2, F.least(F.get(_significant(), F.lit(0)), F.element_at(_significant(), -1)), F.greatest(F.get(_significant(), F.lit(0)), F.element_at(_significant(), -1)))),
         Tier("bigram", 30, lambda: _bigrams(3), lambda: _bigrams(2)),
     )
 }
@@ -166,6 +171,44 @@ def address_overlap(records: DataFrame, least: int = 2, min_length: int = 3) ->
     return a.join(b, ["country", "w"]).groupBy("s1_id", "cand_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 
+def _grams(words: Column, low: int, high: int) -> Column:
+    """N-grams of each word padded with blanks; of a shorter word the whole."""
+    padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+    def of(w: Column, n: Column) -> Column:
+        return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, n))).otherwise(F.array(w))
+
+    return F.flatten(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: of(w, n)))))
+
+
+def unit_vectors(records: DataFrame, words: str, low: int, high: int) -> DataFrame:
+    """(entity_id, v): each record's TF-IDF vector of length one over character n-grams, as a list of (g, w) in the n-grams' order; df counts all records."""
+    own = records.select("entity_id", F.explode_outer(_grams(F.col(words), low, high)).alias("g")).where("g is not null").groupBy("entity_id", "g").agg(F.count(F.lit(1)).alias("tf"))
+    n = records.agg(F.count(F.lit(1)).alias("n"))
+    idf = own.groupBy("g").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    lists = own.join(idf, "g").withColumn("w", F.col("tf") * F.col("idf")).groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("g", "w"))).alias("v"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
+    return lists.select("entity_id", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("len")).alias("w"))).alias("v"))
+
+
+def with_cosine(pairs: DataFrame, records: DataFrame, words: str, name: str, low: int = 2, high: int = 4) -> DataFrame:
+    """The pairs and, as ``name``, the TF-IDF cosine of both sides' n-grams; 0 where a side has none.
+
+    Only the vectors of the pairs' sides are joined, each as one list, and only common n-grams are multiplied.
+    """
+    vectors = unit_vectors(records, words, low, high)
+    both = pairs.join(vectors.select(F.col("entity_id").alias("s1_id"), F.col("v").alias("_va")), "s1_id", "left").join(vectors.select(F.col("entity_id").alias("cand_id"), F.col("v").alias("_vb")), "cand_id", "left")
+    common = F.array_intersect("_va.g", "_vb.g")
+    weights = [F.filter(v, lambda x: F.array_contains(F.col("_common"), x["g"])) for v in (F.col("_va"), F.col("_vb"))]
+    dot = F.aggregate(F.zip_with(*weights, lambda x, y: x["w"] * y["w"]), F.lit(0.0), lambda total, x: total + x)
+    return both.withColumn("_common", common).withColumn(name, F.coalesce(dot, F.lit(0.0))).drop("_va", "_vb", "_common")
+
+
+def ranked(pairs: DataFrame, most: int, order: str = "cosine") -> DataFrame:
+    """The ``most`` best pairs of each anchor with their rank, so that any smaller number of them is a filter on it."""
+    w = Window.partitionBy("s1_id").orderBy(F.col(order).desc(), "cand_id")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
 def tfidf_pairs(records: DataFrame, low: int = 2, high: int = 4, min_df: int = 1, max_df: float = 1.0, least: float = 0.3, k: int = 20, fit_on_anchors: bool = True) -> DataFrame:
     """(s1_id, cand_id, cosine): the k most similar candidates of each anchor by TF-IDF of character n-grams, within a country.
 
@@ -173,8 +216,7 @@ def tfidf_pairs(records: DataFrame, low: int = 2, high: int = 4, min_df: int = 1
     length.  Vectors are posting lists and the cosine is a sum over common n-grams, so no matrix
     is formed.  A term in more than ``max_df`` of a country's documents is dropped.
     """
-    grams = F.flatten(F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(w) + 2 >= n, F.transform(F.sequence(F.lit(1), F.length(w) + 2 - n + 1), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, n))).otherwise(F.array(F.concat(F.lit(" "), w, F.lit(" "))))))))
-    own = records.select("entity_id", "src", "country", F.explode_outer(grams).alias("g")).where("g is not null").groupBy("entity_id", "src", "country", "g").agg(F.count(F.lit(1)).alias("tf"))
+    own = records.select("entity_id", "src", "country", F.explode_outer(_grams(F.col("words"), low, high)).alias("g")).where("g is not null").groupBy("entity_id", "src", "country", "g").agg(F.count(F.lit(1)).alias("tf"))
     fitted = records if fit_on_anchors else records.where("src <> 1")
     fit_rows = own if fit_on_anchors else own.where("src <> 1")
     n = fitted.groupBy("country").agg(F.count(F.lit(1)).alias("n"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions import similarity
 from tallyweave.operators.features import _a, _b, _differ, _same
 
 
@@ -64,6 +65,11 @@ def disjoint_numbers(pairs: DataFrame, least: int = 1) -> Column:
     return (F.size(nums[0]) > 0) & (F.size(nums[1]) > 0) & ~F.arrays_overlap(*nums)
 
 
+def with_marks(pairs: DataFrame) -> DataFrame:
+    """Pairs (with both sides' records) and what the grids' rules ask: jw, number_conflict, disjoint and disjoint_long."""
+    return pairs.withColumns({"jw": similarity.jaro_winkler(_a("name"), _b("name")), "number_conflict": _differ("street_num"), "disjoint": disjoint_numbers(pairs), "disjoint_long": disjoint_numbers(pairs, 2)})
+
+
 def agreement(name: Column, addr: Column, prob: Column | None = None, use_pin: bool = False) -> Column:
     """How well a candidate fits one of the anchors that claim it; name and addr are token-set ratios from 0 to 1."""
     street = F.when(_same("street_num"), 30.0).when(_differ("street_num"), -50.0).otherwise(0.0)
@@ -78,6 +84,29 @@ def one_to_one(claims: DataFrame, score: str = "claim") -> DataFrame:
     return _ranked(claims, ("cand_id",), [F.col(score).desc(), F.col("s1_id")]).where("rank = 1").drop("rank")
 
 
+def post_hoc(matches: DataFrame, records: DataFrame) -> DataFrame:
+    """Finished matches (s1_id, cand_id, ord) with each candidate left to one anchor.
+
+    Records (entity_id, name, addr, street_num) are read only for the sides of candidates that more than one
+    row claims; ord says in which order rows were claimed.  The best agreement wins, 0 where the anchor's record is
+    missing; where the candidate's is, or by equal agreement, the first claim.
+    """
+    claimed = matches.groupBy("cand_id").agg(F.count(F.lit(1)).alias("claims"))
+    contested = matches.join(claimed.where("claims > 1").select("cand_id"), "cand_id", "left_semi")
+    fields = ("name", "addr", "street_num")
+
+    def meta(key: str, prefix: str) -> DataFrame:
+        ids = contested.select(F.col(key).alias("entity_id")).distinct()
+        return records.join(ids, "entity_id", "left_semi").select(F.col("entity_id").alias(key), *(F.col(f).alias(f"{prefix}_{f}") for f in fields), F.lit(True).alias(f"{prefix}_known"))
+
+    both = contested.join(meta("s1_id", "a"), "s1_id", "left").join(meta("cand_id", "b"), "cand_id", "left")
+    names = similarity.token_set_ratio(_a("name"), _b("name")), similarity.token_set_ratio(_a("addr"), _b("addr"))
+    scored = both.withColumns({"_tn": names[0], "_ta": names[1]})
+    fits = F.when(F.col("a_known") & F.col("b_known"), agreement(F.col("_tn"), F.col("_ta"))).otherwise(0.0)
+    won = _ranked(scored.withColumn("_fits", fits), ("cand_id",), [F.col("_fits").desc(), F.col("ord"), F.col("s1_id")]).where("rank = 1")
+    return matches.join(claimed.where("claims = 1").select("cand_id"), "cand_id", "left_semi").select("s1_id", "cand_id", "ord").union(won.select("s1_id", "cand_id", "ord"))
+
+
 def conflicts(claims: DataFrame) -> DataFrame:
     """(cand_id, claims, excess) of candidates that more than one anchor claims."""
     return claims.groupBy("cand_id").agg(F.countDistinct("s1_id").alias("claims")).where("claims > 1").withColumn("excess", F.col("claims") - 1)

@@ -6,7 +6,7 @@ without any pair on either side.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,6 +68,19 @@ def blocking_report(anchors: DataFrame, truth: DataFrame, candidates: DataFrame)
     )
 
 
+def blocking_by_k(anchors: DataFrame, truth: DataFrame, rules: DataFrame, ranked: DataFrame, ks: list[int]) -> DataFrame:
+    """The blocking report of the rules' pairs together with the first k ranked ones (s1_id, cand_id, rank), for each k, in one job."""
+    each = F.explode(F.array(*map(F.lit, ks))).alias("top_k")
+    rows = rules.select("s1_id", "cand_id", each).union(ranked.select("s1_id", "cand_id", "rank", each).where("rank <= top_k").select("s1_id", "cand_id", "top_k"))
+    c = _with_all(anchors, truth, rows, ks, "top_k")
+    return c.groupBy("top_k").agg(
+        F.sum("n_pred").alias("candidate_count"),
+        F.avg("n_pred").alias("avg_candidates_per_entity"),
+        _share(F.sum("tp"), F.sum("n_true")).alias("pair_recall"),
+        F.avg(F.when((F.col("tp") > 0) | (F.col("n_true") == 0), 1.0).otherwise(0.0)).alias("entity_coverage"),
+    )
+
+
 def singleton_breakdown(per_entity: DataFrame) -> DataFrame:
     """Mean F0.5 of singletons and of others."""
     return per_entity.groupBy((F.col("n_true") == 0).alias("singleton")).agg(F.count(F.lit(1)).alias("entities"), F.avg(f05()).alias("macro_f05"))
@@ -100,6 +113,36 @@ def _with_all(anchors: DataFrame, truth: DataFrame, rows: DataFrame, settings: l
     return base.join(by_pred, [name, "s1_id"], "left").select(name, "s1_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_true", "n_pred", "tp")))
 
 
+RULES = ("none", "num", "disjoint", "disjoint_long")
+
+
+def grid_of_rules(thresholds: list[float], options: list[tuple[str, float]]) -> list[tuple[str, float, str, float]]:
+    """(strategy, threshold, rule, least name similarity) for every threshold under every option (rule, least)."""
+    return [(f"{t:.2f}/{rule}/{least:.2f}", t, rule, least) for rule, least in options for t in thresholds]
+
+
+# Thresholds and rules of the three grids that were tried.
+GRID_NUMBERS = grid_of_rules([0.87, 0.88, 0.89, 0.90, 0.91, 0.92], [("none", 0.0), ("num", 0.0), ("num", 0.60)]) + grid_of_rules([0.88, 0.89, 0.90], [("num", 0.65)])
+GRID_SINGLETONS = grid_of_rules([0.87, 0.90, 0.92, 0.95], [("none", 0.0)]) + grid_of_rules([0.87], [("num", 0.0)]) + grid_of_rules([0.87, 0.88, 0.90, 0.92], [("num", 0.60)])
+GRID_DISJOINT = grid_of_rules([0.85, 0.86, 0.87, 0.88, 0.89, 0.90, 0.91, 0.92], [("none", 0.0), ("disjoint", 0.0), ("disjoint_long", 0.0)])
+
+
+def rule_grid(anchors: DataFrame, truth: DataFrame, scored: DataFrame, grid: list[tuple[str, float, str, float]], per_source: int = 3) -> DataFrame:
+    """The summary of each strategy of a grid, in one job over pairs scored once.
+
+    scored has prob, jw (the names' similarity), number_conflict and disjoint, disjoint_long (see ``decide.with_marks``).
+    A strategy keeps pairs from its threshold on, drops those that its rule refuses (disjoint numbers only where
+    jw is below 0.95) or whose jw is below its least, and of each source the ``per_source`` likeliest.
+    """
+    rows = F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), F.lit(t).alias("threshold"), F.lit(r).alias("rule"), F.lit(m).alias("least")) for n, t, r, m in grid))).alias("g")
+    refused = F.when(F.col("g.rule") == "num", F.col("number_conflict")).when(F.col("g.rule") == "disjoint", F.col("disjoint") & (F.col("jw") < 0.95)).when(F.col("g.rule") == "disjoint_long", F.col("disjoint_long") & (F.col("jw") < 0.95)).otherwise(False)
+    lowest = min(t for _, t, _, _ in grid)
+    kept = scored.where(F.col("prob") >= lowest).select("s1_id", "cand_id", "src", "prob", "jw", "number_conflict", "disjoint", "disjoint_long", rows).where((F.col("prob") >= F.col("g.threshold")) & ~refused & (F.col("jw") >= F.col("g.least")))
+    best = Window.partitionBy("g.strategy", "s1_id", "src").orderBy(F.col("prob").desc(), "cand_id")
+    chosen = kept.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_source).select(F.col("g.strategy").alias("strategy"), "s1_id", "cand_id")
+    return summary(_with_all(anchors, truth, chosen, [n for n, _, _, _ in grid], "strategy"), ("strategy",))
+
+
 def strategy_grid(anchors: DataFrame, truth: DataFrame, strategies: dict[str, DataFrame]) -> DataFrame:
     """The summary of each named set of predicted pairs, in one job."""
     rows = None

@@ -39,5 +39,6 @@ def rejected(anchors: DataFrame, scored: DataFrame, matched: DataFrame) -> DataF
 
 
 def tail(best: DataFrame, cutoffs: tuple[float, ...] = (0.5, 0.7, 0.8)) -> DataFrame:
-    """Spread of rejected anchors' best probabilities and the share above each cutoff."""
-    return best.agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean"), F.min("prob").alias("least"), F.max("prob").alias("most"), *(F.avg((F.col("prob") >= c).cast("double")).alias(f"above_{int(100 * c)}") for c in cutoffs))
+    """Spread of rejected anchors' best probabilities (count, mean, standard deviation of a sample, extremes, quartiles) and the share above each cutoff."""
+    quartiles = (F.percentile("prob", q).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75))
+    return best.agg(F.count(F.lit(1)).alias("n"), F.avg("prob").alias("mean"), F.stddev_samp("prob").alias("std"), F.min("prob").alias("least"), F.max("prob").alias("most"), *quartiles, *(F.avg((F.col("prob") >= c).cast("double")).alias(f"above_{int(100 * c)}") for c in cutoffs))

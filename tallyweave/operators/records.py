@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.functions import scripts
 from tallyweave.functions import text as t
 
 
@@ -12,18 +13,19 @@ def normalised(entities: DataFrame, rules: str = "v5") -> DataFrame:
     """entity_id, src, ord and the fields of a normalised record of each entity.
 
     Null names, addresses and countries count as ''.  Numbers, postal code, state and city come
-    from the raw address.  Works on one row at a time, without a shuffle.
+    from the raw address.  Rule sets that fold to Latin letters spell other scripts in them first.  Works on one row at a time, without a shuffle.
     """
+    spell = scripts.transliterate if t.NAME_RULES[rules].fold == "latin" else lambda c: c
     raw = F.coalesce(F.col("business_address"), F.lit(""))
     base = entities.select(
         "entity_id",
         "src",
         "ord",
         raw.alias("raw"),
-        t.clean_name(F.col("business_name"), t.NAME_RULES[rules]).alias("name"),
-        t.clean_name(F.col("business_address"), t.NAME_RULES[rules]).alias("_street"),
+        t.clean_name(spell(F.col("business_name")), t.NAME_RULES[rules]).alias("name"),
+        t.clean_name(spell(F.col("business_address")), t.NAME_RULES[rules]).alias("_street"),
         t.upper_country(F.col("country")).alias("country"),
-    ).withColumn("addr", t.clean_addr(F.col("raw"), F.col("country")))
+    ).withColumn("addr", t.clean_addr(spell(F.col("raw")), F.col("country")))
     slug = {"wide": t.SLUG_WORDS_WIDE, "generic": t.SLUG_WORDS_WIDE}.get(rules, t.SLUG_WORDS)
     return base.select(
         "entity_id",

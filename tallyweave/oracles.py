@@ -75,6 +75,12 @@ ENT = """ent AS (
     CASE lang WHEN 'en' THEN 'US' WHEN 'fr' THEN 'France' WHEN 'es' THEN 'India' ELSE 'Germany' END AS country
   FROM (SELECT *, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents))"""
 
+#: The entity view of parts.
+PART_ENT = """ent AS (
+  SELECT 'S' || (p_partkey % 3 + 1) || '-' || p_partkey AS entity_id, CAST(p_partkey % 3 + 1 AS INTEGER) AS src, p_partkey AS ord,
+    CASE WHEN p_partkey % 2 = 1 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') ELSE p_name END AS business_name,
+    p_size || ' ' || p_type AS business_address, p_brand AS country FROM part)"""
+
 _STATES = ", ".join(f"'{s}'" for s in t.US_STATES)
 _INDIA = " ".join(f"WHEN regexp_matches(raw, '(?i)(^|{B}){word}($|{B})') THEN '{name}'" for word, name in t.INDIA)
 
@@ -110,6 +116,8 @@ def _key(*parts: str) -> str:
 
 _GENERIC = ", ".join(f"'{w}'" for w in t.GENERIC)
 
+_SIGNIFICANT = "list_filter(words, lambda w: length(w) >= 3)"
+
 #: tier: (score, limit, build guard and keys, probe keys or None); keys are one expression, or a list to be unnested.
 TIERS = {
     "exact": (100, 350, "name <> ''", _key("name"), None),
@@ -128,6 +136,7 @@ TIERS = {
     "pin_word": (45, 150, "pin <> '' AND len(words) >= 1", _key("pin", "words[1][1:4]"), None),
     "first_token": (40, 350, "len(words) >= 1", _key("words[1]"), None),
     "prefix3": (35, 350, "name <> ''", _key("name[1:3]"), None),
+    "first_last_sorted": (75, 350, f"len({_SIGNIFICANT}) >= 2", _key(f"least({_SIGNIFICANT}[1], {_SIGNIFICANT}[-1])", f"greatest({_SIGNIFICANT}[1], {_SIGNIFICANT}[-1])"), None),
     "bigram": (30, 350, "len(words) >= 2", f"unnest(list_distinct(list_transform(range(1, least(len(words) - 1, 3) + 1), lambda i: {_key(chr(40) + 'words[i] || chr(32) || words[i + 1]' + chr(41))})))", f"unnest(list_distinct(list_transform(range(1, least(len(words) - 1, 2) + 1), lambda i: {_key(chr(40) + 'words[i] || chr(32) || words[i + 1]' + chr(41))})))"),
 }
 
@@ -150,7 +159,7 @@ def top(k: int) -> str:
 
 
 TRUTH = """sh AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
-  FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:200] AS w FROM documents)),
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w FROM documents)),
 shr AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sh),
 truth AS (SELECT 'S1-' || a.doc_id AS s1_id, 'S' || (b.doc_id % 3 + 1) || '-' || b.doc_id AS cand_id
   FROM shr a JOIN shr b ON a.h = b.h AND a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0 GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 2 * count(*) >= a.n + b.n - count(*)),
@@ -216,10 +225,53 @@ tier2 AS (SELECT * FROM gated WHERE r <= 3 AND prob >= CASE WHEN has_conflict TH
 chosen AS (SELECT * EXCLUDE (r) FROM tier2 QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) <= 4)"""
 
 
+def subsequence(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two columns, the shorter of 120 letters at most: a bit vector of the shorter is advanced by the letters of the longer."""
+    full = "((1::HUGEINT << CAST(length(s) AS INTEGER)) - 1)"
+    places = "list_sum(list_transform(range(length(s)), lambda i: CASE WHEN s[i + 1] = y THEN 1::HUGEINT << CAST(i AS INTEGER) ELSE 0::HUGEINT END))::HUGEINT"
+    steps = f"list_reduce(list_prepend({full}, list_transform(string_split(l, ''), lambda y: {places})), lambda r, m: ((r + (r & m)) | (r - (r & m))) & {full})"
+    return f"(SELECT CASE WHEN s = '' THEN 0 WHEN length(s) > 120 THEN error('too long') ELSE length(s) - bit_count({steps}) END FROM (SELECT CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END AS s, CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END AS l))"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"(SELECT CASE WHEN length(u) + length(v) = 0 THEN 1.0 ELSE 2 * {subsequence('u', 'v')} / (length(u) + length(v)) END FROM (SELECT {a} AS u, {b} AS v))"
+
+
+def sorted_words(x: str) -> str:
+    return f"array_to_string(list_sort({words_sql(x)}), ' ')"
+
+
+def token_set(a: str, b: str) -> str:
+    """The best ratio among the common words, and these with either side's others."""
+
+    def less(x: str, y: str) -> str:
+        return f"array_to_string(list_sort(list_filter(list_distinct({x}), lambda w: NOT list_contains({y}, w))), ' ')"
+
+    best = f"greatest({ratio('p', 'q')}, CASE WHEN co = '' THEN 0 ELSE {ratio('co', 'p')} END, CASE WHEN co = '' THEN 0 ELSE {ratio('co', 'q')} END)"
+    return f"""(SELECT CASE WHEN len(wa) = 0 OR len(wb) = 0 THEN 0.0 WHEN co <> '' AND (le = '' OR ri = '') THEN 1.0 ELSE {best} END
+  FROM (SELECT *, trim(co || ' ' || le) AS p, trim(co || ' ' || ri) AS q FROM (SELECT wa, wb, array_to_string(list_sort(list_intersect(list_distinct(wa), list_distinct(wb))), ' ') AS co, {less('wa', 'wb')} AS le, {less('wb', 'wa')} AS ri FROM (SELECT {words_sql(a)} AS wa, {words_sql(b)} AS wb))))"""
+
+
+def partial(a: str, b: str) -> str:
+    """The best ratio of the shorter text with any window of its length, cut off at the ends, of the longer one; of equally long ones both ways."""
+
+    def one(s: str, l: str) -> str:
+        return f"(SELECT max({ratio('s1', 'wd')}) FROM (SELECT {s} AS s1, unnest(list_transform(range(1 - length({s}), length({l})), lambda i: {l}[greatest(0, i) + 1:i + length({s})])) AS wd))"
+
+    return f"""(SELECT CASE WHEN u = '' OR v = '' THEN CAST(CAST(u = v AS INTEGER) AS DOUBLE) WHEN length(u) < length(v) THEN {one('u', 'v')} WHEN length(u) > length(v) THEN {one('v', 'u')} ELSE greatest({one('u', 'v')}, {one('v', 'u')}) END FROM (SELECT {a} AS u, {b} AS v))"""
+
+
+def jaro_winkler(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE jaro_winkler_similarity({a}, {b}) END"
+
+
+F05 = "CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 OR tp = 0 THEN 0.0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END"
+
+
 def per_entity(predicted: str) -> str:
     return f"""ent_counts AS (SELECT s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id = a.s1_id) AS n_true, (SELECT count(*) FROM {predicted} p WHERE p.s1_id = a.s1_id) AS n_pred,
   (SELECT count(*) FROM {predicted} p JOIN truth t USING (s1_id, cand_id) WHERE p.s1_id = a.s1_id) AS tp FROM anchors a),
-per AS (SELECT *, CASE WHEN n_true = 0 AND n_pred = 0 THEN 1.0 WHEN n_true = 0 OR n_pred = 0 OR tp = 0 THEN 0.0 ELSE 1.25 * (tp / n_pred) * (tp / n_true) / (0.25 * (tp / n_pred) + tp / n_true) END AS f05 FROM ent_counts)"""
+per AS (SELECT *, {F05} AS f05 FROM ent_counts)"""
 
 
 SUMMARY = """round(avg(f05), 6) AS macro_f05, round(CASE WHEN sum(n_pred) = 0 THEN 0 ELSE sum(tp) / sum(n_pred) END, 6) AS pair_precision, round(CASE WHEN sum(n_true) = 0 THEN 0 ELSE sum(tp) / sum(n_true) END, 6) AS pair_recall,

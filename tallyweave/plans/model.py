@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -59,17 +60,35 @@ def load(path: str, spark: SparkSession) -> tuple[PipelineModel, dict[str, float
     return PipelineModel.load(f"{path}/model"), json.loads(spark.read.text(f"{path}/thresholds").first()[0])
 
 
-def two_tier_grid(anchors: DataFrame, truth: DataFrame, pairs: DataFrame, primary: list[float], secondary: list[float], total: int = 4) -> DataFrame:
-    """Macro F0.5 of the training-time rule for each (primary, secondary >= primary), in one job.
+# The thresholds that were tried for the first, second and third match.
+THREE_TIERS = ([0.65, 0.70, 0.75, 0.78, 0.80, 0.82, 0.85], [0.80, 0.84, 0.87, 0.90], [0.88, 0.92, 0.95])
+
+
+def tier_grid(anchors: DataFrame, truth: DataFrame, pairs: DataFrame, tiers: tuple[list[float], ...], total: int = 4) -> DataFrame:
+    """Macro F0.5 of the training-time rule for each setting of one threshold for each tier, none below the one before it, in one job.
 
-    Pairs are ranked once; a pair is kept under a setting if it reaches that setting's threshold for its rank.
+    Pairs are ranked once; a pair is kept under a setting if it reaches that setting's threshold for its rank (the last one's from there on).
     """
-    settings = [(p, s) for p in primary for s in secondary if s >= p]
+    settings = [s for s in itertools.product(*tiers) if all(x <= y for x, y in itertools.pairwise(s))]
     ranked = decide._ranked(pairs, ("s1_id",), decide._best()).where(F.col("rank") <= total)
-    grid = F.explode(F.array(*(F.struct(F.lit(p).alias("primary"), F.lit(s).alias("secondary")) for p, s in settings))).alias("t")
-    rows = ranked.select("s1_id", "cand_id", "prob", "rank", grid).where(F.col("prob") >= F.when(F.col("rank") == 1, F.col("t.primary")).otherwise(F.col("t.secondary")))
-    named = rows.select(F.concat_ws("/", F.col("t.primary"), F.col("t.secondary")).alias("setting"), "s1_id", "cand_id")
-    return summary(_with_all(anchors, truth, named, [f"{p}/{s}" for p, s in settings], "setting"), ("setting",))
+    grid = F.explode(F.array(*(F.struct(F.lit("/".join(map(str, s))).alias("setting"), F.array(*map(F.lit, s)).alias("t")) for s in settings))).alias("g")
+    rows = ranked.select("s1_id", "cand_id", "prob", "rank", grid).where(F.col("prob") >= F.element_at("g.t", F.least(F.col("rank"), F.lit(len(tiers)))))
+    named = rows.select(F.col("g.setting").alias("setting"), "s1_id", "cand_id")
+    return summary(_with_all(anchors, truth, named, ["/".join(map(str, s)) for s in settings], "setting"), ("setting",))
+
+
+def two_tier_grid(anchors: DataFrame, truth: DataFrame, pairs: DataFrame, primary: list[float], secondary: list[float], total: int = 4) -> DataFrame:
+    return tier_grid(anchors, truth, pairs, (primary, secondary), total)
+
+
+def three_tier_grid(anchors: DataFrame, truth: DataFrame, pairs: DataFrame, tiers: tuple[list[float], list[float], list[float]] = THREE_TIERS) -> DataFrame:
+    """The grid over the first three matches of an anchor."""
+    return tier_grid(anchors, truth, pairs, tiers, 3)
+
+
+def fold_spread(spark: SparkSession, scores: list[float]) -> DataFrame:
+    """(folds, mean, std) of cross-validation scores, std being that of the folds themselves."""
+    return spark.createDataFrame([(float(x),) for x in scores], "score double").agg(F.count(F.lit(1)).alias("folds"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"))
 
 
 def cross_validated(labelled: DataFrame, anchors: DataFrame, truth: DataFrame, folds: int = 5, threshold: float = 0.5, **options) -> list[float]:

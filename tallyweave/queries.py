@@ -14,16 +14,16 @@ from tallyweave.operators import blocking, decide, evaluate, features, profile,
 from tallyweave.operators.records import normalised
 from tallyweave.plans import linkage, model
 from tallyweave.sources import tables
-from tallyweave.sources.fixture import entities, true_pairs
+from tallyweave.sources.fixture import entities, part_entities, true_pairs
 
-LIMIT, K = 10, 10
+K = 10
 PRIMARY, SECONDARY = 0.40, 0.55
 THRESHOLDS = [0.3, 0.45, 0.6, 0.75, 0.9]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 BASE = (o.ENT, o.records())
-PAIRS = (*BASE, o.pairs(blocking.PRODUCTION, LIMIT), o.top(K))
+PAIRS = (*BASE, o.pairs(blocking.PRODUCTION), o.top(K))
 SCORED = (*PAIRS, o.PAIRED, o.SCORED)
 CHOSEN = (*SCORED, o.two_tier(PRIMARY, SECONDARY))
 
@@ -50,18 +50,12 @@ def _anchors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return linkage.candidates(_records(spark, sf), linkage.Settings(limit=LIMIT, per_source=K))
+    return linkage.candidates(_records(spark, sf), linkage.Settings(per_source=K))
 
 
 def _paired(spark: SparkSession, sf: str) -> DataFrame:
     records = _records(spark, sf)
-    return features.with_records(linkage.candidates(records, linkage.Settings(limit=LIMIT, per_source=K)), records)
-
-
-def _paired_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """As ``_paired``, by the tiers' own limits: for queries whose results no SQL with LIMIT defines."""
-    records = _records(spark, sf)
-    return features.with_records(linkage.candidates(records), records)
+    return features.with_records(linkage.candidates(records, linkage.Settings(per_source=K)), records)
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,18 +127,24 @@ def url_slug(spark, sf):
 
 
 def _block_query(tier: str) -> None:
-    @query(o.with_(*BASE, o.pairs([tier], LIMIT)) + "SELECT s1_id, cand_id, score FROM pairs", f"block_{tier}")
+    @query(o.with_(*BASE, o.pairs([tier])) + "SELECT s1_id, cand_id, score FROM pairs", f"block_{tier}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return blocking.candidate_pairs(_records(spark, sf), (tier,), LIMIT).select("s1_id", "cand_id", "score")
+        return blocking.candidate_pairs(_records(spark, sf), (tier,)).select("s1_id", "cand_id", "score")
 
 
 for _tier in blocking.TIERS:
     _block_query(_tier)
 
 
-@query(o.with_(*BASE, o.pairs(blocking.PRODUCTION, LIMIT)) + "SELECT tier, count(*) AS keys, CAST(sum(c) AS BIGINT) AS anchors FROM (SELECT tier, key, count(*) AS c FROM ka JOIN few USING (tier, key) GROUP BY ALL) GROUP BY tier")
+@query(o.with_(o.PART_ENT, o.records(), o.pairs(["fingerprint", "first_last_sorted", "brand"])) + "SELECT s1_id, cand_id, score FROM pairs")
+def block_parts(spark, sf):
+    """Short names, whose words may be the other way round, and crowded keys."""
+    return blocking.candidate_pairs(normalised(part_entities(spark, sf)), ("fingerprint", "first_last_sorted", "brand")).select("s1_id", "cand_id", "score")
+
+
+@query(o.with_(*BASE, o.pairs(blocking.PRODUCTION)) + "SELECT tier, count(*) AS keys, CAST(sum(c) AS BIGINT) AS anchors FROM (SELECT tier, key, count(*) AS c FROM ka JOIN few USING (tier, key) GROUP BY ALL) GROUP BY tier")
 def fanout_pruned_keys(spark, sf):
-    kept = blocking.pruned(blocking.key_table(_records(spark, sf).where("src = 1")), LIMIT)
+    kept = blocking.pruned(blocking.key_table(_records(spark, sf).where("src = 1")))
     return kept.groupBy("tier").agg(F.countDistinct("key").alias("keys"), F.count(F.lit(1)).alias("anchors"))
 
 
@@ -231,9 +231,10 @@ def _true_pairs(spark, sf):
 def _measure(name: str, column: Callable[[], Column], sql: str | None) -> None:
     @query(None if sql is None else o.with_(*PAIRS, o.PAIRED) + f"SELECT s1_id, cand_id, round({sql}, 6) AS value FROM paired", f"sim_{name}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        paired = _paired_whole if sql is None else _paired
-        return paired(spark, sf).select("s1_id", "cand_id", F.round(column(), 6).alias("value"))
+        return _paired(spark, sf).select("s1_id", "cand_id", F.round(column(), 6).alias("value"))
+
 
+_TSORT = o.ratio(o.sorted_words("a_name"), o.sorted_words("b_name"))
 
 _measure("levenshtein", lambda: sim.levenshtein_similarity(F.col("a_name"), F.col("b_name")), "CASE WHEN greatest(length(a_name), length(b_name)) = 0 THEN 1.0 ELSE 1 - levenshtein(a_name, b_name) / greatest(length(a_name), length(b_name)) END")
 _measure("jaccard_tokens", lambda: sim.jaccard(F.col("a_words"), F.col("b_words")), o.jaccard("a_words", "b_words"))
@@ -241,10 +242,10 @@ _measure("ngram_jaccard", lambda: sim.jaccard(F.col("a_ngrams"), F.col("b_ngrams
 _measure("token_overlap", lambda: sim.token_overlap(F.col("a_words"), F.col("b_words")), "CASE WHEN greatest(len(list_distinct(a_words)), len(list_distinct(b_words))) = 0 THEN 1.0 ELSE len(list_intersect(a_words, b_words)) / greatest(len(list_distinct(a_words)), len(list_distinct(b_words))) END")
 _measure("containment", lambda: sim.containment(F.col("a_addr_words"), F.col("b_addr_words")), "len(list_intersect(a_addr_words, b_addr_words)) / greatest(least(len(list_distinct(a_addr_words)), len(list_distinct(b_addr_words))), 1)")
 _measure("jaro_winkler", lambda: sim.jaro_winkler(F.col("a_name"), F.col("b_name")), "CASE WHEN a_name = '' OR b_name = '' THEN 0.0 ELSE jaro_winkler_similarity(a_name, b_name) END")
-_measure("ratio", lambda: sim.ratio(F.col("a_name"), F.col("b_name")), None)
-_measure("token_sort", lambda: sim.token_sort_ratio(F.col("a_name"), F.col("b_name")), None)
-_measure("token_set", lambda: sim.token_set_ratio(F.col("a_name"), F.col("b_name")), None)
-_measure("partial", lambda: sim.partial_ratio(F.col("a_name"), F.col("b_name")), None)
+_measure("ratio", lambda: sim.ratio(F.col("a_name"), F.col("b_name")), o.ratio("a_name", "b_name"))
+_measure("token_sort", lambda: sim.token_sort_ratio(F.col("a_name"), F.col("b_name")), _TSORT)
+_measure("token_set", lambda: sim.token_set_ratio(F.col("a_name"), F.col("b_name")), o.token_set("a_name", "b_name"))
+_measure("partial", lambda: sim.partial_ratio(F.col("a_name"), F.col("b_name")), o.partial("a_name", "b_name"))
 _measure("blocks", lambda: sim.blocks_ratio(F.col("a_name"), F.col("b_name")), None)
 _measure("blocks_token_sort", lambda: sim.blocks_token_sort(F.col("a_name"), F.col("b_name")), None)
 _measure("blocks_token_set", lambda: sim.blocks_token_set(F.col("a_name"), F.col("b_name")), None)
@@ -255,15 +256,60 @@ def features_native(spark, sf):
     return _rounded(_paired(spark, sf).select("s1_id", "cand_id", *(c.alias(n) for n, c in features.native_features().items())))
 
 
-@query()
+def _or(condition: str, then: str, other: float) -> str:
+    return f"CASE WHEN {condition} THEN {then} ELSE {other} END"
+
+
+_WORD1, _WORD2 = "coalesce({}_words[1], '')", "coalesce({}_words[-1], '')"
+#: The measures that production features are made of, and the features by name.
+_MEASURES = {
+    "jw_name": o.jaro_winkler("a_name", "b_name"),
+    "tsort_name": _TSORT,
+    "tset_name": o.token_set("a_name", "b_name"),
+    "ratio_name": o.ratio("a_name", "b_name"),
+    "partial_name": o.partial("a_name", "b_name"),
+    "jw_slug": o.jaro_winkler("a_slug", "b_slug"),
+    "first_jw": _or(o.NAMES, o.jaro_winkler(_WORD1.format("a"), _WORD1.format("b")), 0.0),
+    "last_jw": _or(o.NAMES, o.jaro_winkler(_WORD2.format("a"), _WORD2.format("b")), 0.0),
+    "jw_addr": _or(o.BOTH, o.jaro_winkler("a_addr", "b_addr"), 0.5),
+    "tsort_addr": _or(o.BOTH, o.ratio(o.sorted_words("a_addr"), o.sorted_words("b_addr")), 0.5),
+    "tset_addr": _or(o.BOTH, o.token_set("a_addr", "b_addr"), 0.5),
+}
+_PLACE = f"(CASE WHEN {o.BOTH} THEN jw_addr ELSE 0.8 END)"
+_CONFLICT = f"({o.differ('street_num')} OR {o.differ('pin')} OR ({o.BOTH} AND jw_addr < 0.35))"
+_SQL43 = o.NATIVE | {name: name for name in _MEASURES} | {
+    "ngram_jaccard": f"CASE WHEN len(a_ngrams) > 0 AND len(b_ngrams) > 0 THEN {o.jaccard('a_ngrams', 'b_ngrams')} ELSE jw_slug END",
+    "product": f"jw_name * {_PLACE}",
+    "mean": f"(jw_name + {_PLACE}) / 2",
+    "least": f"least(jw_name, {_PLACE})",
+    "most": f"greatest(jw_name, {_PLACE})",
+    "high_both": o._num(f"jw_name >= 0.88 AND jw_addr >= 0.75 AND {o.BOTH}"),
+    "high_missing": o._num(f"jw_name >= 0.88 AND NOT {o.BOTH}"),
+    "high_conflict": o._num(f"jw_name >= 0.85 AND {_CONFLICT}"),
+}
+MEASURED = (*PAIRS, o.PAIRED, "measured AS (SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in _MEASURES.items()) + " FROM paired)")
+
+
+@query(o.with_(*MEASURED) + "SELECT s1_id, cand_id, " + ", ".join(f"round({_SQL43[name]}, 6) AS {name}" for name in features.FS43) + " FROM measured")
 def features43(spark, sf):
-    return _rounded(features.features43(_paired_whole(spark, sf)).select("s1_id", "cand_id", *features.FS43))
+    return _rounded(features.features43(_paired(spark, sf)).select("s1_id", "cand_id", *features.FS43))
 
 
-@query()
+_SQL11 = {
+    **{name: _MEASURES[name] for name in ("jw_name", "tsort_name", "tset_name", "partial_name")},
+    "exact_name": o.NATIVE["exact_name"],
+    "exact_slug": o._num("a_slug = b_slug AND length(a_slug) >= 5"),
+    "num_match": o.NATIVE["num_match"],
+    "jw_addr": _or(o.BOTH, o.jaro_winkler("a_addr", "b_addr"), 0.0),
+    "tset_addr": _or(o.BOTH, o.token_set("a_addr", "b_addr"), 0.0),
+    "country_match": o.NATIVE["country_match"],
+    "prio": "CAST(score AS DOUBLE)",
+}
+
+
+@query(o.with_(*PAIRS, o.PAIRED) + "SELECT s1_id, cand_id, " + ", ".join(f"round({sql}, 6) AS {name}" for name, sql in _SQL11.items()) + " FROM paired")
 def features11(spark, sf):
-    names = "jw_name tsort_name tset_name partial_name exact_name exact_slug num_match jw_addr tset_addr country_match prio".split()
-    return _rounded(features.features11(_paired_whole(spark, sf)).select("s1_id", "cand_id", *names))
+    return _rounded(features.features11(_paired(spark, sf)).select("s1_id", "cand_id", *_SQL11))
 
 
 def _library_sql() -> str:
@@ -285,23 +331,70 @@ def _library_sql() -> str:
     return ", ".join(out)
 
 
-@query(o.with_(*PAIRS, o.PAIRED) + f"SELECT s1_id, cand_id, {_library_sql()} FROM paired")
+def _cosine_sql(words: str, name: str) -> str:
+    """Common table expressions that end in (s1_id, cand_id, value) of the pairs whose vectors have something in common."""
+    grams = " UNION ALL ".join(f"SELECT entity_id, CASE WHEN length(w) + 2 >= {n} THEN list_transform(range(1, length(w) + 2 - {n} + 2), lambda i: (' ' || w || ' ')[i:i + {n - 1}]) ELSE [' ' || w || ' '] END AS gs FROM (SELECT entity_id, unnest({words}) AS w FROM rec)" for n in (2, 3, 4))
+    return f"""{name}_tf AS (SELECT entity_id, g, count(*) AS tf FROM (SELECT entity_id, unnest(gs) AS g FROM ({grams})) GROUP BY ALL),
+{name}_idf AS (SELECT g, ln((1 + (SELECT count(*) FROM rec)) / (1 + count(*))) + 1 AS idf FROM {name}_tf GROUP BY g),
+{name}_w AS (SELECT entity_id, g, tf * idf AS w FROM {name}_tf JOIN {name}_idf USING (g)),
+{name}_u AS (SELECT entity_id, g, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM {name}_w),
+{name}_c AS (SELECT s1_id, cand_id, sum(a.w * b.w) AS value FROM topk JOIN {name}_u a ON a.entity_id = s1_id JOIN {name}_u b ON b.entity_id = cand_id AND a.g = b.g GROUP BY ALL)"""
+
+
+@query(
+    o.with_(*PAIRS, o.PAIRED, _cosine_sql("words", "cn"), _cosine_sql("addr_words", "ca"))
+    + f"SELECT s1_id, cand_id, {_library_sql()}, round(coalesce(cn_c.value, 0), 6) AS name_tfidf_cosine, round(coalesce(ca_c.value, 0), 6) AS address_tfidf_cosine, {o.NATIVE['country_match']} AS country_match FROM paired LEFT JOIN cn_c USING (s1_id, cand_id) LEFT JOIN ca_c USING (s1_id, cand_id)"
+)
 def features_library(spark, sf):
-    done = features.library_features(_paired(spark, sf))
-    names = [f"{p}_{m}" for p in ("name", "address") for m in ("exact", "levenshtein", "jaccard_token", "jaccard_char2", "jaccard_char3", "token_overlap", "len_diff")]
-    return _rounded(done.select("s1_id", "cand_id", *names, "name_first_token_match"))
+    records = _records(spark, sf)
+    pairs = blocking.with_cosine(blocking.with_cosine(_paired(spark, sf), records, "words", "name_cosine"), records, "addr_words", "address_cosine")
+    done = features.library_features(pairs)
+    names = [f"{p}_{m}" for p in ("name", "address") for m in ("exact", "levenshtein", "jaccard_token", "jaccard_char2", "jaccard_char3", "token_overlap", "tfidf_cosine", "len_diff")]
+    return _rounded(done.select("s1_id", "cand_id", *names, "name_first_token_match", "country_match"))
+
+
+_NAMES18 = (
+    "country_match name_exact name_squish_exact name_edit_sim name_token_sort name_jaccard_token name_jaccard_bigram name_jaccard_trigram name_common_tokens "
+    "name_len_diff name_first_token_match addr_exact addr_edit_sim addr_jaccard_token addr_common_tokens both_exact max_name_sim"
+).split()
+
+
+def _ngram_sql(n: int) -> str:
+    return f"CASE WHEN length(a_name) < {n} OR length(b_name) < {n} THEN {o._num('a_name = b_name')} ELSE {o.jaccard(o.ngrams_sql('a_name', n), o.ngrams_sql('b_name', n))} END"
+
+
+def _sql18() -> dict[str, str]:
+    at = [f"list_filter({x}_addr_words, lambda w: length(w) >= 1)" for x in "ab"]
+    return {
+        "country_match": o.NATIVE["country_match"],
+        "name_exact": o._num("a_name = b_name"),
+        "name_squish_exact": o._num("a_slug = b_slug AND length(a_slug) >= 4"),
+        "name_edit_sim": o.ratio("a_name", "b_name"),
+        "name_token_sort": o.ratio("array_to_string(list_sort(a_words), ' ')", "array_to_string(list_sort(b_words), ' ')"),
+        "name_jaccard_token": o.jaccard("a_words", "b_words"),
+        "name_jaccard_bigram": _ngram_sql(2),
+        "name_jaccard_trigram": _ngram_sql(3),
+        "name_common_tokens": "CAST(len(list_intersect(a_words, b_words)) AS DOUBLE)",
+        "name_len_diff": o.NATIVE["name_len_diff"],
+        "name_first_token_match": o._num(f"{_WORD1.format('a')} = {_WORD1.format('b')}"),
+        "addr_exact": o._num("a_addr <> '' AND a_addr = b_addr"),
+        "addr_edit_sim": o.ratio("a_addr[1:80]", "b_addr[1:80]"),
+        "addr_jaccard_token": o.jaccard(*at),
+        "addr_common_tokens": f"CAST(len(list_intersect({at[0]}, {at[1]})) AS DOUBLE)",
+        "both_exact": o._num("a_name = b_name AND a_addr = b_addr AND a_name <> ''"),
+        "name_jaro_winkler": o.jaro_winkler("a_name", "b_name"),
+        "max_name_sim": f"greatest({o.jaro_winkler('a_name', 'b_name')}, {o.ratio('a_name', 'b_name')}, {o.jaccard('a_words', 'b_words')})",
+    }
 
 
 @query()
 def features18_blocks(spark, sf):
-    done = features.features18(_paired_whole(spark, sf))
-    return _rounded(done.select("s1_id", "cand_id", "name_edit_sim", "name_token_sort", "name_token_set", "name_jaccard_bigram", "addr_edit_sim", "both_exact", "max_name_sim"))
+    return _rounded(features.features18(_paired(spark, sf)).select("s1_id", "cand_id", *_NAMES18, "name_token_set"))
 
 
-@query()
+@query(o.with_(*PAIRS, o.PAIRED) + "SELECT s1_id, cand_id, " + ", ".join(f"round({sql}, 6) AS {name}" for name, sql in _sql18().items()) + " FROM paired")
 def features18_jaro(spark, sf):
-    done = features.features18(_paired_whole(spark, sf), sim.ratio, jaro=True)
-    return _rounded(done.select("s1_id", "cand_id", "name_jaro_winkler", "name_edit_sim", "name_token_sort", "addr_edit_sim", "addr_common_tokens", "max_name_sim"))
+    return _rounded(features.features18(_paired(spark, sf), sim.ratio, jaro=True).select("s1_id", "cand_id", *_NAMES18, "name_jaro_winkler"))
 
 
 # Decisions
@@ -366,11 +459,26 @@ def claim_conflicts(spark, sf):
     return decide.conflicts(_chosen(spark, sf))
 
 
-@query()
+_AGREES = f"100 * prob + 50 * {o.token_set('a_addr', 'b_addr')} + 20 * {o.token_set('a_name', 'b_name')} + CASE WHEN {o.same('street_num')} THEN 30.0 WHEN {o.differ('street_num')} THEN -50.0 ELSE 0.0 END"
+
+
+@query(o.with_(*SCORED, o.two_tier(0.60, 0.75), f"claimed AS (SELECT *, {_AGREES} AS claim FROM chosen)") + "SELECT s1_id, cand_id, src, prob FROM claimed QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY claim DESC, s1_id) = 1")
 def link_production(spark, sf):
     return linkage.link(entities(spark, sf))[1]
 
 
+@query(
+    o.with_(*SCORED, f"m AS (SELECT *, CAST(substr(s1_id, 4) AS BIGINT) AS ord, CAST(substr(cand_id, 4) AS BIGINT) % 5 = 0 OR CAST(substr(s1_id, 4) AS BIGINT) % 7 = 0 AS unknown FROM scored WHERE prob >= 0.3)", f"f AS (SELECT *, CASE WHEN unknown THEN 0.0 ELSE 30 * {o.token_set('a_name', 'b_name')} + 70 * {o.token_set('a_addr', 'b_addr')} + CASE WHEN {o.same('street_num')} THEN 30.0 WHEN {o.differ('street_num')} THEN -50.0 ELSE 0.0 END END AS fits FROM m)")
+    + "SELECT s1_id, cand_id FROM f QUALIFY row_number() OVER (PARTITION BY cand_id ORDER BY fits DESC, ord, s1_id) = 1"
+)
+def post_hoc_matches(spark, sf):
+    """One anchor for each candidate of finished matches; some sides' records are missing."""
+    number = F.substring("entity_id", 4, 20).cast("long")
+    known = _records(spark, sf).where(~(((F.col("src") == 1) & (number % 7 == 0)) | ((F.col("src") != 1) & (number % 5 == 0))))
+    matches = decide.above(_scored(spark, sf), 0.3).select("s1_id", "cand_id", F.substring("s1_id", 4, 20).cast("long").alias("ord"))
+    return decide.post_hoc(matches, known).select("s1_id", "cand_id")
+
+
 # Evaluation
 
 
@@ -424,6 +532,32 @@ def strategy_grid(spark, sf):
     return _rounded(evaluate.strategy_grid(_anchors(spark, sf), true_pairs(spark, sf), strategies))
 
 
+def _rules_sql(grid) -> str:
+    rows = ", ".join(f"('{n}', {t}, '{r}', {m})" for n, t, r, m in grid)
+    long = ["list_filter({}_nums, lambda n: length(n) >= 2)".format(x) for x in "ab"]
+    disjoint = {"disjoint": ("a_nums", "b_nums"), "disjoint_long": long}
+    refused = " ".join(f"WHEN '{r}' THEN len({a}) > 0 AND len({b}) > 0 AND NOT list_has_any({a}, {b}) AND {o.jaro_winkler('a_name', 'b_name')} < 0.95" for r, (a, b) in disjoint.items())
+    return o.with_(
+        *SCORED,
+        f"g AS (SELECT * FROM (VALUES {rows}) v(strategy, threshold, rule, lowest))",
+        f"hit AS (SELECT strategy, s1_id, cand_id FROM scored, g WHERE prob >= threshold AND {o.jaro_winkler('a_name', 'b_name')} >= lowest AND NOT CASE rule WHEN 'num' THEN {o.differ('street_num')} {refused} ELSE false END QUALIFY row_number() OVER (PARTITION BY strategy, s1_id, src ORDER BY prob DESC, cand_id) <= 3)",
+        o.TRUTH,
+        "ent_counts AS (SELECT strategy, s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id = a.s1_id) AS n_true, (SELECT count(*) FROM hit p WHERE p.s1_id = a.s1_id AND p.strategy = g.strategy) AS n_pred, (SELECT count(*) FROM hit p JOIN truth t USING (s1_id, cand_id) WHERE p.s1_id = a.s1_id AND p.strategy = g.strategy) AS tp FROM anchors a, g)",
+        f"per AS (SELECT *, {o.F05} AS f05 FROM ent_counts)",
+    ) + f"SELECT strategy, {o.SUMMARY} FROM per GROUP BY strategy"
+
+
+def _rule_query(name: str, grid) -> None:
+    @query(_rules_sql(grid), name)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _rounded(evaluate.rule_grid(_anchors(spark, sf), true_pairs(spark, sf), decide.with_marks(_scored(spark, sf)), grid))
+
+
+_rule_query("rule_grid_numbers", evaluate.GRID_NUMBERS)
+_rule_query("rule_grid_singletons", evaluate.GRID_SINGLETONS)
+_rule_query("rule_grid_disjoint", evaluate.GRID_DISJOINT)
+
+
 _GRID = [(p, s) for p in (0.3, 0.4) for s in (0.4, 0.5, 0.6) if s >= p]
 
 
@@ -432,6 +566,40 @@ def two_tier_grid(spark, sf):
     return _rounded(model.two_tier_grid(_anchors(spark, sf), true_pairs(spark, sf), _scored(spark, sf), [0.3, 0.4], [0.4, 0.5, 0.6]))
 
 
+_THREE = [(p, s, x) for p in model.THREE_TIERS[0] for s in model.THREE_TIERS[1] for x in model.THREE_TIERS[2] if p <= s <= x]
+
+
+@query(
+    o.with_(
+        *SCORED,
+        "g AS (SELECT * FROM (VALUES " + ", ".join(f"('{p}/{s}/{x}', {p}, {s}, {x})" for p, s, x in _THREE) + ") v(strategy, t1, t2, t3))",
+        "hit AS (SELECT strategy, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY prob DESC, cand_id) AS r FROM scored), g WHERE r <= 3 AND prob >= CASE r WHEN 1 THEN t1 WHEN 2 THEN t2 ELSE t3 END)",
+        o.TRUTH,
+        "ent_counts AS (SELECT strategy, s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id = a.s1_id) AS n_true, (SELECT count(*) FROM hit p WHERE p.s1_id = a.s1_id AND p.strategy = g.strategy) AS n_pred, (SELECT count(*) FROM hit p JOIN truth t USING (s1_id, cand_id) WHERE p.s1_id = a.s1_id AND p.strategy = g.strategy) AS tp FROM anchors a, g)",
+        f"per AS (SELECT *, {o.F05} AS f05 FROM ent_counts)",
+    )
+    + f"SELECT strategy AS setting, {o.SUMMARY} FROM per GROUP BY strategy"
+)
+def three_tier_grid(spark, sf):
+    return _rounded(model.three_tier_grid(_anchors(spark, sf), true_pairs(spark, sf), _scored(spark, sf)))
+
+
+_KS = [5, 10, 20, 30, 50]
+
+
+@query(
+    _tfidf_sql(3, 5, 2, 0.25, 0.05, 50, False).split("SELECT * FROM cs WHERE")[0].replace("cs AS (", o.pairs(blocking.PRODUCTION) + ", " + o.top(K) + ", " + o.TRUTH + ",\ncs AS (")
+    + """, rk AS (SELECT s1_id, cand_id, row_number() OVER (PARTITION BY s1_id ORDER BY cosine DESC, cand_id) AS r FROM cs WHERE cosine >= 0.05),
+ks AS (SELECT CAST(unnest([5, 10, 20, 30, 50]) AS INTEGER) AS top_k), un2 AS (SELECT top_k, s1_id, cand_id FROM topk, ks UNION SELECT top_k, s1_id, cand_id FROM rk, ks WHERE r <= top_k),
+ec AS (SELECT top_k, s1_id, (SELECT count(*) FROM truth t WHERE t.s1_id = a.s1_id) AS n_true, (SELECT count(*) FROM un2 p WHERE p.s1_id = a.s1_id AND p.top_k = ks.top_k) AS n_pred, (SELECT count(*) FROM un2 p JOIN truth t USING (s1_id, cand_id) WHERE p.s1_id = a.s1_id AND p.top_k = ks.top_k) AS tp FROM anchors a, ks)
+SELECT top_k, CAST(sum(n_pred) AS BIGINT) AS candidate_count, round(avg(n_pred), 6) AS avg_candidates_per_entity, round(sum(tp) / greatest(sum(n_true), 1), 6) AS pair_recall, round(avg(CASE WHEN tp > 0 OR n_true = 0 THEN 1.0 ELSE 0.0 END), 6) AS entity_coverage FROM ec GROUP BY top_k"""
+)
+def blocking_sweep(spark, sf):
+    """Rules and the k best by TF-IDF, for each k: ranked once to the largest."""
+    found = blocking.ranked(blocking.tfidf_pairs(_records(spark, sf), 3, 5, 2, 0.25, 0.05, max(_KS), False), max(_KS))
+    return _rounded(evaluate.blocking_by_k(_anchors(spark, sf), true_pairs(spark, sf), _pairs(spark, sf), found, _KS))
+
+
 @query(o.with_(*SCORED, o.TRUTH) + "SELECT cutoff, count(*) FILTER (prob >= cutoff) AS pairs, count(*) FILTER (prob >= cutoff AND t.s1_id IS NOT NULL) AS true_pairs FROM scored s LEFT JOIN truth t USING (s1_id, cand_id), (SELECT CAST(unnest([0.3, 0.5, 0.7, 0.9]) AS DOUBLE) AS cutoff) GROUP BY cutoff")
 def probability_spread(spark, sf):
     return evaluate.probability_spread(_scored(spark, sf), true_pairs(spark, sf), [0.3, 0.5, 0.7, 0.9])
@@ -444,9 +612,10 @@ def class_balance(spark, sf):
 
 @query()
 def gbt_scores(spark, sf):
-    labelled = evaluate.labelled(features.features43(_paired_whole(spark, sf)), true_pairs(spark, sf)).persist()
-    fitted = model.fit(labelled, trees=10)
-    return model.scored(fitted, labelled).select("s1_id", "cand_id", "label", F.round("prob", 6).alias("prob"))
+    """Scores of the validation split's pairs by a model of the others'."""
+    labelled = evaluate.labelled(features.features43(_paired(spark, sf)), true_pairs(spark, sf))
+    fitted = model.fit(labelled.where(~model.in_split()), trees=10)
+    return model.scored(fitted, labelled.where(model.in_split())).select("s1_id", "cand_id", "label", F.round("prob", 6).alias("prob"))
 
 
 # Profiles, validation, sinks
@@ -482,7 +651,7 @@ def rejected_best(spark, sf):
     return profile.rejected(_anchors(spark, sf), _scored(spark, sf), _won(spark, sf))
 
 
-@query(o.with_(*WON, "best AS (SELECT s1_id, max(prob) AS prob FROM scored WHERE s1_id NOT IN (SELECT s1_id FROM won) GROUP BY s1_id)") + "SELECT count(*) AS n, round(avg(prob), 6) AS mean, min(prob) AS least, max(prob) AS most, " + ", ".join(f"round(avg(CAST(prob >= {c} AS INTEGER)), 6) AS above_{int(100 * c)}" for c in (0.5, 0.7, 0.8)) + " FROM best")
+@query(o.with_(*WON, "best AS (SELECT s1_id, max(prob) AS prob FROM scored WHERE s1_id NOT IN (SELECT s1_id FROM won) GROUP BY s1_id)") + "SELECT count(*) AS n, round(avg(prob), 6) AS mean, round(stddev_samp(prob), 6) AS std, min(prob) AS least, max(prob) AS most, " + "".join(f"round(quantile_cont(prob, {q}), 6) AS q{int(100 * q)}, " for q in (0.25, 0.5, 0.75)) + ", ".join(f"round(avg(CAST(prob >= {c} AS INTEGER)), 6) AS above_{int(100 * c)}" for c in (0.5, 0.7, 0.8)) + " FROM best")
 def rejected_tail(spark, sf):
     return _rounded(profile.tail(profile.rejected(_anchors(spark, sf), _scored(spark, sf), _won(spark, sf))))
 
@@ -515,6 +684,7 @@ UNION ALL SELECT DISTINCT 'unknown_anchor', s1_id, NULL, 1 FROM m WHERE s1_id NO
 UNION ALL SELECT 'repeated_match', s1_id, id, count(*) FROM li GROUP BY s1_id, id HAVING count(*) > 1
 UNION ALL SELECT DISTINCT 'unknown_match', s1_id, id, 1 FROM li WHERE id NOT IN (SELECT entity_id FROM ent WHERE src <> 1)
 UNION ALL SELECT 'missing_anchor', s1_id, NULL, 1 FROM anchors WHERE s1_id NOT IN (SELECT s1_id FROM m)
+UNION ALL SELECT 'duplicate_candidate_row', s1_id, NULL, 2 FROM ok WHERE CAST(substr(s1_id, 4) AS BIGINT) % 17 = 0
 UNION ALL SELECT DISTINCT 'match_not_candidate', s1_id, id, 1 FROM li WHERE (s1_id, id) NOT IN (SELECT s1_id, id FROM lc)"""
 )
 def validate_output(spark, sf):
@@ -524,7 +694,7 @@ def validate_output(spark, sf):
     changed = F.when(n % 7 == 0, F.concat_ws(",", "ids", first)).when(n % 11 == 0, F.concat_ws(",", "ids", F.lit("S9-1"))).otherwise(F.col("ids"))
     rows = ok.where(n % 5 != 0).select("s1_id", changed.alias("ids")).union(ok.where(n % 13 == 0)).union(spark.sql("select 'S1-none', ''"))
     named = rows.select(F.col("s1_id").alias("source1_entity_id"), F.col("ids").alias("matched_entity_ids"))
-    return validate.issues(entities(spark, sf), named, ok.select(F.col("s1_id").alias("source1_entity_id"), F.col("ids").alias("candidate_entity_ids")))
+    return validate.issues(entities(spark, sf), named, ok.union(ok.where(n % 17 == 0)).select(F.col("s1_id").alias("source1_entity_id"), F.col("ids").alias("candidate_entity_ids")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

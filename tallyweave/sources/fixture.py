@@ -24,16 +24,41 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def true_pairs(spark: SparkSession, sf_dir: str, words: int = 200, width: int = 5) -> DataFrame:
-    """(s1_id, cand_id) whose first words' shingle sets overlap by half or more."""
+def part_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second view with short names and crowded keys: parts by brand; odd parts have the words of their names the other way round."""
+    parts = spark.read.parquet(f"{sf_dir.rstrip('/')}/part.parquet")
+    words, key = F.split("p_name", " "), F.col("p_partkey")
+    return parts.select(
+        F.concat(F.lit("S"), (key % 3 + 1).cast("string"), F.lit("-"), key.cast("string")).alias("entity_id"),
+        (key % 3 + 1).cast("int").alias("src"),
+        key.alias("ord"),
+        F.array_join(F.when(key % 2 == 1, F.reverse(words)).otherwise(words), " ").alias("business_name"),
+        F.concat_ws(" ", F.col("p_size").cast("string"), "p_type").alias("business_address"),
+        F.col("p_brand").alias("country"),
+    )
+
+
+def true_pairs(spark: SparkSession, sf_dir: str, width: int = 5) -> DataFrame:
+    """(s1_id, cand_id) of an anchor and a candidate whose whole texts' sets of ``width``-word shingles overlap by half or more.
+
+    Shingles are ordered from rare to frequent.  A set of n needs ceil(n / 2) in common, so two such
+    sets share one of their first n // 2 + 1; only these meet in a join, and the whole sets decide.
+    """
     docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     # The words stand in a column of their own: inside the lambda they would be split anew for every shingle.
-    own = docs.select("doc_id", F.slice(F.filter(F.split(F.lower("text"), r"\s+", words + 3), lambda w: w != ""), 1, words).alias("w"))
+    own = docs.select("doc_id", F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "").alias("w"))
     hashes = F.transform(F.sequence(F.lit(1), F.size("w") - width + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(width)), " ")))
     sets = own.select("doc_id", F.array_distinct(F.when(F.size("w") >= width, hashes).otherwise(F.array().cast("array<bigint>"))).alias("s"))
     # Outer, and a size that is never null: else filters on the list would be inferred, for which it would be made again.
-    rows = sets.select("doc_id", (F.col("doc_id") % 3 + 1).alias("src"), F.coalesce(F.size("s"), F.lit(0)).alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
-    a, b = rows.where("src = 1").alias("a"), rows.where("src <> 1").alias("b")
-    met = a.join(b, F.col("a.h") == F.col("b.h")).groupBy(F.col("a.doc_id").alias("x"), F.col("b.doc_id").alias("y"), F.col("a.n").alias("nx"), F.col("b.n").alias("ny")).agg(F.count(F.lit(1)).alias("c"))
+    rows = sets.select("doc_id", (F.col("doc_id") % 3 == 0).alias("anchor"), F.coalesce(F.size("s"), F.lit(0)).alias("n"), F.explode_outer("s").alias("h")).where("h is not null")
+    # A shingle that only one side has links nothing, as if it were the rarest.
+    met = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.count_if("anchor").alias("a")).where("a > 0 and a < c").select("h", "c")
+    common = rows.join(met, "h").groupBy("doc_id", "anchor", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("k")).where("2 * size(k) >= n")
+    first = F.slice(F.col("k"), 1, F.greatest(F.size("k") - F.ceil(F.col("n") / 2) + 1, F.lit(0)).cast("int"))
+    entered = common.select("doc_id", "anchor", "n", F.explode_outer(first["h"]).alias("h")).where("h is not null")
+    a, b = entered.where("anchor").select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), "h"), entered.where("not anchor").select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), "h")
+    pairs = a.join(b, "h").where("2 * least(nx, ny) >= greatest(nx, ny)").select("x", "nx", "y", "ny").distinct()
+    whole = common.select("doc_id", F.col("k.h").alias("k"))
+    both = pairs.join(whole.select(F.col("doc_id").alias("x"), F.col("k").alias("kx")), "x").join(whole.select(F.col("doc_id").alias("y"), F.col("k").alias("ky")), "y")
     name = lambda c: F.concat(F.lit("S"), (F.col(c) % 3 + 1).cast("string"), F.lit("-"), F.col(c).cast("string"))
-    return met.where("2 * c >= nx + ny - c").select(name("x").alias("s1_id"), name("y").alias("cand_id"))
+    return both.withColumn("c", F.size(F.array_intersect("kx", "ky"))).where("2 * c >= nx + ny - c").select(name("x").alias("s1_id"), name("y").alias("cand_id"))

@@ -147,11 +147,132 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, stream.current(spark, "watched").collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_queries_without_sql_use_the_plans_own_settings(spark, monkeypatch):
+def test_queries_use_the_plans_own_limits(spark):
     from tallyweave import queries
 
-    sf = "/root/testdata/sf0.001"
-    want = {(r.s1_id, r.cand_id) for r in linkage.link(entities(spark, sf))[1].collect()}
-    monkeypatch.setattr(queries, "LIMIT", 0)  # would prune every key
-    assert {(r.s1_id, r.cand_id) for r in queries.link_production(spark, sf).collect()} == want != set()
-    assert queries.QUERIES["features18_jaro"](spark, sf).count() == linkage.candidates(queries._records(spark, sf)).count() > 0
+    own = entities(spark, SF)
+    want = {(r.s1_id, r.cand_id) for r in linkage.link(own)[1].collect()}
+    assert {(r.s1_id, r.cand_id) for r in queries.link_production(spark, SF).collect()} == want != set()
+    assert queries.QUERIES["features18_jaro"](spark, SF).count() == linkage.candidates(normalised(own)).count() > 0
+
+
+def test_true_pairs_by_brute_force(spark, tmp_path):
+    texts = ["a b c d e f g h", "x " * 300 + "end", "A b c d e f g h", "a b c d e f g z", "x " * 300 + "end here", "too short", "", None, "one two three four five", "p q r s t u v w x y z", "P q r s t u v w x y z and more of it here"]
+    texts += [" ".join(f"w{(k * j) % 13}" for j in range(40)) for k in range(30)] + [" ".join(f"w{(k * j) % 13}" for j in range(44)) for k in range(31)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    name = lambda i: f"S{i % 3 + 1}-{i}"
+    want = {(name(x), name(y)) for x in range(0, len(texts), 3) for y in range(len(texts)) if y % 3 and sets[x] and 2 * len(sets[x] & sets[y]) >= len(sets[x] | sets[y])}
+    assert {(r.s1_id, r.cand_id) for r in true_pairs(spark, str(tmp_path)).collect()} == want and len(want) > 20
+
+
+def test_scripts_are_spelled_in_records(spark):
+    own = people(spark, [(1, "Москва Банк", "ул. Ленина 5", "US"), (2, "Moskva Bank Ltd", "", "US"), (3, "शर्मा प्राइवेट", "", "India"), (2, "カメラ", "", "US")])
+    names = {r.entity_id: r.name for r in normalised(own).collect()}
+    assert names == {"S1-0": "moskva bank", "S2-1": "moskva bank", "S3-2": "shrma", "S2-3": "kamera"}
+    assert [(r.s1_id, r.cand_id) for r in blocking.candidate_pairs(normalised(own), ("exact",)).collect()] == [("S1-0", "S2-1")]
+
+
+def test_table_helpers(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 2, "late"), ("a", 1, "first"), ("b", 3, "only")], "id string, ord int, v string")
+    assert {tuple(r) for r in tables.keep_first(rows, ["id"], ["ord"]).collect()} == {("a", 1, "first"), ("b", 3, "only")}
+    later = spark.createDataFrame([("b", 9, "new"), ("c", 1, "more")], rows.schema)
+    assert {(r.id, r.v) for r in tables.merged(rows, later, ["id"]).collect()} == {("a", "late"), ("a", "first"), ("b", "new"), ("c", "more")}
+    assert [r.v for r in tables.head(rows, ["ord"], 2).collect()] == ["first", "late"]
+    assert tables.having_ids(rows, later.select("id"), "id").count() == 1
+    anchors = spark.createDataFrame([(f"s{k}", 99 - k) for k in range(100)], "s1_id string, ord long").repartition(7)
+    pairs = spark.createDataFrame([("s5", "c2"), ("s5", "c1")], "s1_id string, cand_id string")
+    tables.write_matches(anchors, pairs, f"{tmp_path}/m")
+    written = [line.split("\t") for f in sorted((tmp_path / "m").glob("part-*")) for line in f.read_text().splitlines() if not line.startswith("source1")]
+    assert [w[0] for w in written] == [f"s{k}" for k in range(99, -1, -1)] and dict(written)["s5"] == "c1,c2"
+    assert tables.missing_files(spark, [f"{tmp_path}/m", f"{tmp_path}/none"]) == [f"{tmp_path}/none"]
+    made = []
+    for _ in range(2):
+        got = tables.cached(spark, f"{tmp_path}/cache", lambda: made.append(1) or rows)
+        assert got.count() == 3
+    assert made == [1]
+    for n in (3, 50):  # the saved choice stays
+        assert {r.s1_id for r in tables.validation_ids(spark, anchors, n, f"{tmp_path}/ids").collect()} == {"s99", "s98", "s97"}
+    report = spark.createDataFrame([(5, 10, 2.25, 0.5, 0.98765), (10, 20, 4.0, 1.0, 1.0)], "top_k int, candidate_count long, avg_candidates_per_entity double, pair_recall double, entity_coverage double")
+    tables.write_blocking(report, f"{tmp_path}/b", "rules 100% and TF-IDF")
+    assert [tuple(r) for r in spark.read.option("header", True).csv(f"{tmp_path}/b").orderBy("pair_recall").collect()] == [("rules 100% and TF-IDF, K=10", "10", "20", "4.0", "100.00%", "100.00%"), ("rules 100% and TF-IDF, K=5", "5", "10", "2.3", "50.00%", "98.77%")]
+
+
+def test_post_hoc(spark):
+    records = spark.createDataFrame([("a", "same name", "one road", "5"), ("b", "same name", "one road", "6"), ("x", "same name", "one road", "6"), ("z", "far", "off", "")], "entity_id string, name string, addr string, street_num string")
+    rows = [("a", "x", 1), ("b", "x", 2), ("b", "y", 3), ("a", "y", 4), ("lost", "z", 5), ("b", "z", 6), ("b", "alone", 7)]
+    matches = spark.createDataFrame(rows, "s1_id string, cand_id string, ord int")
+    # x goes by its number, y has no record and goes to its first claim; of z's claims the unknown anchor has 0, b less or as little.
+    got = {r.cand_id: r.s1_id for r in decide.post_hoc(matches, records).collect()}
+    assert got["x"] == "b" and got["y"] == "b" and got["alone"] == "b" and got["z"] in ("b", "lost") and len(got) == 4
+    tied = spark.createDataFrame([("q", "x", 2), ("p", "x", 3), ("r", "x", 1)], matches.schema)
+    assert [r.s1_id for r in decide.post_hoc(tied, records).collect()] == ["r"]
+
+
+def test_folds_and_hard_negatives(spark):
+    spread = model.fold_spread(spark, [0.5, 0.7]).first()
+    assert (spread.folds, round(spread["mean"], 6), round(spread["std"], 6)) == (2, 0.6, 0.1)
+    rows = [(f"s{k}", f"c{k}", k % 2, 0.9 if k % 4 < 2 else 0.3, float(k % 2)) for k in range(80)]
+    labelled = spark.createDataFrame(rows, "s1_id string, cand_id string, label int, jw_name double, f double")
+    assert {r.s1_id for r in model.hard_negatives(labelled).collect()} == {f"s{k}" for k in range(0, 80, 4)}
+    anchors, truth = labelled.select("s1_id"), labelled.where("label = 1").select("s1_id", "cand_id")
+    scores = model.cross_validated(labelled, anchors, truth, folds=2, features=["f", "jw_name"], trees=2)
+    assert scores == [1.0, 1.0]
+
+
+def test_cosine_by_brute_force(spark):
+    import math
+
+    own = people(spark, [(1, "alpha beta", "", "US"), (2, "alpha betas", "", "US"), (3, "gamma", "", "US"), (2, None, "", "US")])
+    records = normalised(own)
+    vectors, names = {}, {r.entity_id: r.words for r in records.collect()}
+    for i, words in names.items():
+        counts = {}
+        for w in (f" {x} " for x in words):
+            for n in (2, 3, 4):
+                for g in [w[k : k + n] for k in range(len(w) - n + 1)] if len(w) >= n else [w]:
+                    counts[g] = counts.get(g, 0) + 1
+        vectors[i] = counts
+    df = {g: sum(g in v for v in vectors.values()) for v in vectors.values() for g in v}
+    for v in vectors.values():
+        for g in v:
+            v[g] *= math.log((1 + len(vectors)) / (1 + df[g])) + 1
+        size = math.sqrt(sum(x * x for x in v.values()))
+        for g in v:
+            v[g] /= size
+    pairs = spark.createDataFrame([("S1-0", f"S{s}-{k}") for s, k in ((2, 1), (3, 2), (2, 3))], "s1_id string, cand_id string")
+    got = {r.cand_id: r.c for r in blocking.with_cosine(pairs, records, "words", "c").collect()}
+    for cand, value in got.items():
+        assert value == pytest.approx(sum(w * vectors[cand].get(g, 0) for g, w in vectors["S1-0"].items()))
+    assert got["S2-3"] == 0
+
+
+def test_commands(spark, tmp_path, monkeypatch):
+    from tallyweave.plans import commands
+
+    own = entities(spark, "/root/testdata/sf0.001").collect()
+    truth = {}
+    for r in true_pairs(spark, "/root/testdata/sf0.001").collect():
+        truth.setdefault(r.s1_id, []).append(r.cand_id)
+    for kind in ("train", "test"):
+        folder = tmp_path / kind
+        folder.mkdir()
+        for n in (1, 2, 3):
+            rows = [r for r in own if r.src == n]
+            folder.joinpath(f"{kind}_source{n}.tsv").write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join(f"{r.entity_id}\t{r.business_name}\t{r.business_address}\t{r.country}\n" for r in rows))
+    (tmp_path / "train" / "train_ground_truth.tsv").write_text("source1_entity_id\tmatched_entity_ids\n" + "".join(f"{r.entity_id}\t{','.join(truth.get(r.entity_id, []))}\n" for r in own if r.src == 1))
+    out = f"{tmp_path}/out"
+    metrics = commands.train(spark, f"{tmp_path}/train", out, 0.4, trees=2, depth=2)
+    assert 0 <= metrics["macro_f05"] <= 1 and spark.read.json(f"{out}/metrics").count() == 1
+    assert commands.main(["infer", "--test-dir", f"{tmp_path}/test", "--output-dir", out, "--model-path", f"{out}/model", "--threshold", "0.3"]) == 0
+    files = ["--matching", f"{out}/matching_results.tsv", "--candidate", f"{out}/candidate_pairs.tsv", "--test-dir", f"{tmp_path}/test"]
+    assert commands.main(["validate", *files]) == 0
+    written = [line.split("\t")[0] for f in sorted((tmp_path / "out" / "matching_results.tsv").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [w for w in written if w != "source1_entity_id"] == [r.entity_id for r in own if r.src == 1]
+    assert commands.main(["validate", *files[:4], "--test-dir", f"{tmp_path}/none"]) == 1
+    assert commands.check(spark, f"{out}/candidate_pairs.tsv", f"{out}/candidate_pairs.tsv", f"{tmp_path}/test") == ["missing column: matched_entity_ids"]

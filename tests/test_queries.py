@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "part"):
         c.sql(f"create view {name} as select * from '{SF}/{name}.parquet'")
     return c
 

@@ -44,3 +44,48 @@ def test_columns(spark):
         F.round(s.length_difference(F.col("a"), F.col("b")), 6),
     ).collect()
     assert [tuple(r) for r in got] == [(0.571429, 0.333333, 0.5, 0.5, 0.746032, 0.142857), (1.0, 1.0, 1.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0, 0.0, 1.0)]
+
+
+def blocks(a, b):
+    """Letters of matching blocks: the longest common part, leftmost in a and then in b, and the same to its left and right."""
+    best = (0, 0, 0)
+    for i in range(len(a)):
+        for k in range(len(b)):
+            n = 0
+            while i + n < len(a) and k + n < len(b) and a[i + n] == b[k + n]:
+                n += 1
+            if n > best[0]:
+                best = (n, i, k)
+    n, i, k = best
+    return n and n + blocks(a[:i], b[:k]) + blocks(a[i + n :], b[k + n :])
+
+
+@settings(max_examples=200, deadline=None)
+@given(WORDS, WORDS)
+def test_blocks_by_brute_force(a, b):
+    def ratio(a, b):
+        return 1.0 if a == b else 2 * blocks(a, b) / (len(a) + len(b)) if a and b else 0.0
+
+    assert s.blocks_text(a, b) == pytest.approx(ratio(a, b))
+    one, two = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    assert s.blocks_token_sort_text(a, b) == pytest.approx(ratio(one, two))
+    common, left, right = (" ".join(sorted(x)) for x in (set(a.split()) & set(b.split()), set(a.split()) - set(b.split()), set(b.split()) - set(a.split())))
+    first, second = f"{common} {left}".strip(), f"{common} {right}".strip()
+    best = max([ratio(first, second)] + [ratio(common, x) for x in (first, second) if common])
+    assert s.blocks_token_set_text(a, b) == pytest.approx(best)
+
+
+def subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for k, y in enumerate(b):
+            new.append(row[k] + 1 if x == y else max(row[k + 1], new[-1]))
+        row = new
+    return row[-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcd", max_size=40), st.text("abcd", max_size=40))
+def test_subsequence_by_brute_force(a, b):
+    assert s.common_subsequence(a, b) == subsequence(a, b)
