@@ -90,11 +90,43 @@ def test_packing(table, libraries):
     assert sum(r.length for r in rows if r.doc_id == 3) == 2 * (len(libraries[0](TEXTS[3])) + 1)
 
 
-def test_cut_is_whole():
-    bins = packing.HarmonicBins(2048, 64, 0)
-    totals = np.array([1, 63, 64, 65, 2047, 2048, 2049, 5000])
-    pieces = np.concatenate([p for _, p in bins.cut(totals)])
-    assert [pieces[pieces[:, 0] == d][:, 2].sum() for d in range(len(totals))] == totals.tolist()
+def test_bins_hold_a_fixed_number_of_their_class():
+    rng = np.random.default_rng(4)
+    for capacity, longest, batches in ((2048, 6000, 12), (2048, 90, 12), (100, 260, 8), (1, 5, 3)):
+        bins, placed, totals = packing.HarmonicBins(capacity, 1000), [], {}
+        for batch in range(batches):
+            own = rng.integers(1, longest, int(rng.integers(0, 400)))
+            names = batch * 1000 + np.arange(len(own))
+            totals |= dict(zip(names.tolist(), own.tolist()))
+            placed.append(bins.add(names, own))
+            assert bins.open()[:, 2].sum() < (bins.classes**2 + 4) * capacity  # what is held doesn't grow
+        full = np.concatenate(placed)
+        everything = np.concatenate([full, bins.rest()])
+        spans, sequences = {}, {}
+        for doc, start, length, total, sequence, offset in everything.tolist():
+            assert total == totals[doc] and length > 0
+            spans.setdefault(doc, []).append((start, length))
+            sequences.setdefault(sequence, []).append((offset, length, doc, start, total))
+        for doc, total in totals.items():
+            at = 0
+            for start, length in sorted(spans[doc]):
+                assert start == at
+                at += length
+            assert at == total
+        done, of_class = set(full[:, 4].tolist()), 0
+        for sequence, pieces in sequences.items():
+            at = 0
+            for offset, length, *_ in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at == capacity if sequence in done else at <= capacity and at & (at - 1) == 0 or at == capacity
+            if sequence in done:
+                # A whole piece fills its sequence; a class's bin begins with k uncut rests of class k.
+                k = capacity // min(pieces)[1]
+                uncut = all(capacity // n == k and s + n == t and n == t % capacity for _, n, _, s, t in sorted(pieces)[:k])
+                of_class += min(pieces)[1] == capacity or k <= bins.classes and uncut
+        assert of_class >= 0.9 * len(done) or longest < 100
+        assert len(everything) <= len(totals) + 2 * len(sequences)
 
 
 def test_empty(spark):
