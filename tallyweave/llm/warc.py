@@ -99,7 +99,7 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, first: in
     return out
 
 
-def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4_096, least: int = 0, archive_bytes: int = 16 << 20) -> None:
+def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: int = 4_096, least: int = 0, archive_bytes: int = 16 << 20) -> int:
     """Writes a record (or several segments) for each row of page_id, url, html to archives under ``path``.
 
     Of rows with equal payloads of ``least`` bytes or more the largest page_id is the response, the
@@ -109,6 +109,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: in
     task writes that much on average and begins a new file after as many records as make it up,
     none of which is above ``segment`` bytes.  Which pages refer to which is decided over ids and
     20-byte digests; payloads are dealt out by page, so that one which many pages share is no shuffle key.
+    Returns how many tasks wrote.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     own = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("page", F.coalesce(F.col("page_id").cast("string"), F.lit("")))
@@ -127,9 +128,10 @@ def write_archives(pages: DataFrame, path: str, segment: int = 16_384, chunk: in
                     out += page_records(*row, segment, chunk)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    records = joined.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records = joined.coalesce(n).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
     average = max(1, (size[0] or 0) // max(1, size[2] or 1))
     records.write.option("lineSep", CLOSE).option("compression", "gzip").option("maxRecordsPerFile", max(1, 2 * archive_bytes // average)).text(path)
+    return n
 
 
 def plain(archive: bytes, step: int = 1 << 20) -> Iterator[bytes]:
@@ -285,6 +287,6 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     spark = pages.sparkSession
     with tidy(spark):
         path = place(spark, "warc")
-        write_archives(pages, path, **options)
-        read = assemble(read_records(spark, path, blocks=False))
+        n = write_archives(pages, path, **options)
+        read = assemble(read_records(spark, path, blocks=False)).coalesce(max(8, n))
         return stored(read.select(page_of(F.col("origin")).alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page_of(F.col("refers")).alias("refers_to"), "complete"), "pages", outlive=True)
