@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from tallyweave.llm.fingerprints import PrefixHashes, edit_fingerprints, likeness
+from tallyweave.llm.fingerprints import BASES, KEPT, NARROW, PRIMES, WINDOW, PrefixHashes, edit_fingerprints, likeness
 
 random.seed(4)
 
@@ -74,3 +74,49 @@ def test_short_texts_by_exact_measure(spark):
         if n <= 66:
             assert abs(got[n].near_edited - exact) < 1e-9
         assert got[n].near_edited > got[n].near_next + 0.25 and got[n].near_edited >= 0.4
+
+
+def plain_fingerprint(text):
+    """The fingerprint span by span, each hashed on its own by whole numbers."""
+    full = (1 << 64) - 1
+
+    def mix(h):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = ((h ^ h >> 33) * m) & full
+        return h ^ h >> 33
+
+    def values(part):
+        return [sum((ord(c) + 1) * pow(base, j, prime) for j, c in enumerate(part)) % prime for base, prime in zip(BASES, PRIMES)]
+
+    def spans(width):
+        width = min(width, len(text))
+        hashes = {mix(a << 32 | b) >> 32 for a, b in (values(text[k : k + width]) for k in range(len(text) - width + 1))} if text else set()
+        return "".join(f"{h:08x}" for h in sorted(hashes)[:KEPT])
+
+    out = "-".join([f"{len(text):x}", "{:08x}{:08x}".format(*values(text)), spans(WINDOW)])
+    return out if len(text) - NARROW + 1 > KEPT else out + "-" + spans(NARROW)
+
+
+def test_fingerprints_by_brute_force():
+    texts = ["", "a", "日本", "ab" * 13, "x" * 66, "y" * 67, "z" * 500] + ["".join(random.choices("abcde é日", k=random.randrange(400))) for _ in range(40)]
+    for text in texts:
+        assert PrefixHashes(text).fingerprint() == plain_fingerprint(text), text
+        keep, tail = len(text) - len(text) // 4, PrefixHashes("tail 日本" * 9)
+        assert PrefixHashes(text).edited(keep, tail.points).fingerprint() == plain_fingerprint(text[:keep] + "tail 日本" * 9)
+
+
+def test_likeness_is_that_of_the_span_sets():
+    """Against the exact share of common spans: short texts exactly, longer ones within what 64 kept spans can tell."""
+    gaps = []
+    for _ in range(120):
+        n = random.randrange(4, 1500)
+        text = "".join(random.choices("abcdefgh ", k=n))
+        other = text[: n - n // 4] + "".join(random.choices("abcdefgh ", k=n // 4)) if random.random() < 0.7 else "".join(random.choices("abcdefgh ", k=n))
+        short = max(len(text), len(other)) - NARROW + 1 <= KEPT
+        width = NARROW if short else WINDOW
+        a, b = ({t[k : k + min(width, len(t))] for k in range(len(t) - min(width, len(t)) + 1)} for t in (text, other))
+        exact = 2 * len(a & b) / (len(a) + len(b))
+        gap = abs(likeness(PrefixHashes(text).fingerprint(), PrefixHashes(other).fingerprint()) - exact)
+        assert gap < (1e-3 if short else 0.3)
+        gaps.append(gap)
+    assert sum(gaps) / len(gaps) < 0.05
