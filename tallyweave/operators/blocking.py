@@ -190,17 +190,24 @@ def unit_vectors(records: DataFrame, words: str, low: int, high: int) -> DataFra
     return lists.select("entity_id", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("len")).alias("w"))).alias("v"))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    """Sum of the products of two lists of (g, w), both in the order of g, over what they have in common."""
+    common = F.array_intersect(a["g"], b["g"])
+    weights = [F.filter(v, lambda x: F.array_contains(common, x["g"])) for v in (a, b)]
+    return F.aggregate(F.zip_with(*weights, lambda x, y: x["w"] * y["w"]), F.lit(0.0), lambda total, x: total + x)
+
+
+def _with_dot(pairs: DataFrame, vectors: DataFrame, name: str) -> DataFrame:
+    both = pairs.join(vectors.select(F.col("entity_id").alias("s1_id"), F.col("v").alias("_va")), "s1_id", "left").join(vectors.select(F.col("entity_id").alias("cand_id"), F.col("v").alias("_vb")), "cand_id", "left")
+    return both.withColumn(name, F.coalesce(_dot(F.col("_va"), F.col("_vb")), F.lit(0.0))).drop("_va", "_vb")
+
+
 def with_cosine(pairs: DataFrame, records: DataFrame, words: str, name: str, low: int = 2, high: int = 4) -> DataFrame:
     """The pairs and, as ``name``, the TF-IDF cosine of both sides' n-grams; 0 where a side has none.
 
     Only the vectors of the pairs' sides are joined, each as one list, and only common n-grams are multiplied.
     """
-    vectors = unit_vectors(records, words, low, high)
-    both = pairs.join(vectors.select(F.col("entity_id").alias("s1_id"), F.col("v").alias("_va")), "s1_id", "left").join(vectors.select(F.col("entity_id").alias("cand_id"), F.col("v").alias("_vb")), "cand_id", "left")
-    common = F.array_intersect("_va.g", "_vb.g")
-    weights = [F.filter(v, lambda x: F.array_contains(F.col("_common"), x["g"])) for v in (F.col("_va"), F.col("_vb"))]
-    dot = F.aggregate(F.zip_with(*weights, lambda x, y: x["w"] * y["w"]), F.lit(0.0), lambda total, x: total + x)
-    return both.withColumn("_common", common).withColumn(name, F.coalesce(dot, F.lit(0.0))).drop("_va", "_vb", "_common")
+    return _with_dot(pairs, unit_vectors(records, words, low, high), name)
 
 
 def ranked(pairs: DataFrame, most: int, order: str = "cosine") -> DataFrame:
@@ -209,22 +216,39 @@ def ranked(pairs: DataFrame, most: int, order: str = "cosine") -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def tfidf_pairs(records: DataFrame, low: int = 2, high: int = 4, min_df: int = 1, max_df: float = 1.0, least: float = 0.3, k: int = 20, fit_on_anchors: bool = True) -> DataFrame:
+def tfidf_pairs(records: DataFrame, low: int = 2, high: int = 4, min_df: int = 1, max_df: float = 1.0, least: float = 0.3, k: int = 20, fit_on_anchors: bool = True, common: float = 0.02) -> DataFrame:
     """(s1_id, cand_id, cosine): the k most similar candidates of each anchor by TF-IDF of character n-grams, within a country.
 
     N-grams of each word padded with blanks; smooth idf ln((1 + n) / (1 + df)) + 1; rows of unit
-    length.  Vectors are posting lists and the cosine is a sum over common n-grams, so no matrix
-    is formed.  A term in more than ``max_df`` of a country's documents is dropped.
+    length.  A term in more than ``max_df`` of a country's documents is dropped.
+
+    N-grams in more than the share ``common`` of a country's documents make most of the work and little of a cosine, so
+    posting lists of the others only are joined.  What the common ones can add to a pair is at most the
+    product of both sides' lengths over them: pairs that can't reach ``least`` with it go, and
+    the whole cosine is computed for what is left.  Two texts without a rare n-gram in common reach it
+    only if both have that length or more over the common ones; such texts are joined by all their n-grams.  ``common``
+    changes the work, never the result.
     """
     own = records.select("entity_id", "src", "country", F.explode_outer(_grams(F.col("words"), low, high)).alias("g")).where("g is not null").groupBy("entity_id", "src", "country", "g").agg(F.count(F.lit(1)).alias("tf"))
     fitted = records if fit_on_anchors else records.where("src <> 1")
     fit_rows = own if fit_on_anchors else own.where("src <> 1")
     n = fitted.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     df = fit_rows.groupBy("country", "g").agg(F.count(F.lit(1)).alias("df")).join(n, "country").where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-    idf = df.select("country", "g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.select("country", "g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"), (F.col("df") > common * F.col("n")).alias("often"))
     weights = own.join(idf, ["country", "g"]).withColumn("w", F.col("tf") * F.col("idf"))
-    length = weights.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    unit = weights.join(length, "entity_id").select("entity_id", "src", "country", "g", (F.col("w") / F.col("len")).alias("w"))
-    a, b = unit.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "g", F.col("w").alias("wa")), unit.where("src <> 1").select(F.col("entity_id").alias("cand_id"), "country", "g", F.col("w").alias("wb"))
-    pairs = a.join(b, ["country", "g"]).groupBy("s1_id", "cand_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine")).where(F.col("cosine") >= least)
-    return top_k(pairs, k, ("s1_id",), "cosine")
+    square = F.col("w") * F.col("w")
+    lists = weights.groupBy("entity_id", "src", "country").agg(F.array_sort(F.collect_list(F.struct("g", "w", "often"))).alias("v"), F.sqrt(F.sum(square)).alias("len"), F.sqrt(F.sum(F.when(F.col("often"), square).otherwise(0.0))).alias("part"))
+    unit = lists.select("entity_id", "src", "country", F.transform("v", lambda x: F.struct(x["g"].alias("g"), (x["w"] / F.col("len")).alias("w"), x["often"].alias("often"))).alias("v"), (F.col("part") / F.col("len")).alias("part"))
+
+    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        own = rows.select("entity_id", "src", "country", "part", F.explode_outer("v").alias("x")).where("x is not null")
+        return tuple(own.where(f"src {which} 1").select(F.col("entity_id").alias(key), "country", F.col("x.g").alias("g"), F.col("x.w").alias(f"w{c}"), F.col("part").alias(f"p{c}")) for which, key, c in (("=", "s1_id", "a"), ("<>", "cand_id", "b")))
+
+    a, b = sides(unit.withColumn("v", F.filter("v", lambda x: ~x["often"])))
+    slack = 1e-6  # of rounding
+    met = a.join(b, ["country", "g"]).groupBy("s1_id", "cand_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("rare"), F.max("pa").alias("pa"), F.max("pb").alias("pb"))
+    able = met.where(F.col("rare") + F.col("pa") * F.col("pb") >= least - slack).select("s1_id", "cand_id")
+    a, b = sides(unit.where(F.col("part") >= least - slack))
+    plain = a.join(b, ["country", "g"]).select("s1_id", "cand_id").distinct()
+    pairs = _with_dot(able.union(plain).distinct(), unit.select("entity_id", "v"), "cosine").withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= least)
+    return top_k(pairs.select("s1_id", "cand_id", "cosine"), k, ("s1_id",), "cosine")
