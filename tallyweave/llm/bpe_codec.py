@@ -1,19 +1,33 @@
-"""Byte-level BPE encoding and decoding of document tables."""
+"""Byte-level BPE encoding and decoding of document tables.
+
+Merges are replayed over the distinct words of the whole corpus:
+
+1. Tasks split their texts and number the distinct words of every few megabytes (a chunk).  A
+   document becomes the numbers of its words; the words themselves are dealt to buckets by hash.
+2. A bucket has a word once, however many chunks sent it, and encodes all its words by merge
+   replay.  Each chunk gets back, in one row a bucket, its words' ids by their numbers.
+3. Documents and their chunk's words come together, and the numbers are replaced by ids.
+
+Chunks and buckets have about the same size whatever the corpus and however often a word occurs.
+"""
 
 from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyweave.llm import bpe
 from tallyweave.llm.prefix_counts import vocabulary_file
-from tallyweave.llm.shared import tokenizer_path
-from tallyweave.llm.textarrays import chunks, ragged
+from tallyweave.llm.shared import partitions, stored, tokenizer_path
+from tallyweave.llm.textarrays import chunks, packed, ragged, unpacked
 
 
 @functools.cache
@@ -54,23 +68,166 @@ def decode_ids(vocabulary: bpe.Vocabulary, ids: np.ndarray, ends: np.ndarray) ->
     return data[ragged(heads[ids], own)], np.concatenate([[0], np.cumsum(own)])[ends]
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+CHUNK = 12 << 20  # bytes of text whose words are numbered together
+
+
+def _numbered(docs: DataFrame, path: Callable[[], str], buckets: int, most: int) -> DataFrame:
+    """Rows of words (kind 0; bucket, chunk, blob of numbers, lengths and bytes) and of documents (kind 1; chunk, number, doc_id, blob of word numbers, all lower halves before the upper ones); numbers beyond the words are special strings."""
+    key_type = docs.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_file(path())
+        chunk, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+        arrow_key = to_arrow_type(key_type)
+
+        def rows(kind: int, bucket: list, number: list, keys: pa.Array, blobs: list) -> pa.RecordBatch:
+            n = len(blobs)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(number, pa.int32()), keys, pa.array(blobs, pa.binary())], names=["kind", "bucket", "chunk", "number", "doc_id", "blob"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            data = np.concatenate([w[3] for w in waiting])
+            lengths = np.concatenate([w[4] for w in waiting])
+            ends = np.cumsum(lengths)
+            hashes, index, inverse = bpe.distinct_words(data, ends - lengths, ends)
+            place = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(place, kind="stable")
+            edges = np.searchsorted(place[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edges))
+            blobs = []
+            for b in some.tolist():
+                own = order[edges[b] : edges[b + 1]]
+                size = lengths[index[own]]
+                blobs.append(packed(own.astype("<u4"), size.astype("<u4"), data[ragged((ends - lengths)[index[own]], size)]))
+            yield rows(0, some.tolist(), [-1] * len(some), pa.nulls(len(some), arrow_key), blobs)
+            at = number = 0
+            for keys, first, own, _, own_lengths, special in waiting:
+                words = inverse[at : at + len(own_lengths)][own]
+                words[special >= 0] = len(index) + special[special >= 0]
+                at += len(own_lengths)
+                low, high = words.astype("<u2"), (words >> 16).astype("<u2")
+                borders = first.tolist()
+                blobs = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
+                yield rows(1, [-1] * len(keys), list(range(number, number + len(keys))), keys, blobs)
+                number += len(keys)
+
+        for batch, data, offsets in chunks(batches, "text"):
+            starts, ends, first, special = bpe.split_words(data, offsets, vocabulary.special)
+            _, index, inverse = bpe.distinct_words(data, starts, ends)
+            lengths = (ends - starts)[index]
+            waiting.append((batch.column(0), first, inverse, data[ragged(starts[index], lengths)], lengths, special))
+            size += len(data)
+            if size >= most:
+                yield from out()
+                chunk, waiting, size = chunk + 1, [], 0
+        if waiting:
+            yield from out()
+
+    return docs.mapInArrow(run, f"kind int, bucket int, chunk long, number int, doc_id {key_type.simpleString()}, blob binary")
+
+
+def _replayed(words: DataFrame, path: Callable[[], str], buckets: int) -> DataFrame:
+    """(chunk, number, doc_id, blob): for each bucket and chunk its words' numbers, how many ids each has, and the ids; number is -1."""
+    key_type = words.schema["doc_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = vocabulary_file(path())
+        whose, parts = [], []
+        for batch in batches:
+            for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                whose.append(chunk)
+                parts.append(unpacked(raw.as_py(), "<u4", "<u4", "u1"))
+        if not parts:
+            return
+        data = np.concatenate([p[2] for p in parts])
+        lengths = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        ends = np.cumsum(lengths)
+        _, index, inverse = bpe.distinct_words(data, ends - lengths, ends)
+        starts = (ends - lengths)[index]
+        size = lengths[index]
+        own_ends = np.cumsum(size)
+        ids, offsets = bpe.encode_words(vocabulary, data[ragged(starts, size)], own_ends - size, own_ends)
+        counts, at = np.diff(offsets), 0
+        for chunk, (numbers, _, _) in zip(whose, parts, strict=True):
+            own = inverse[at : at + len(numbers)]
+            at += len(numbers)
+            blob = packed(numbers, counts[own].astype("<u4"), ids[ragged(offsets[own], counts[own])].astype("<u4"))
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, to_arrow_type(key_type)), pa.array([blob], pa.binary())], names=["chunk", "number", "doc_id", "blob"])
+
+    dealt = words.repartitionById(buckets, F.col("bucket")).select("chunk", "blob")
+    return dealt.mapInArrow(run, f"chunk long, number int, doc_id {key_type.simpleString()}, blob binary")
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, made: Callable, fields: str, chunk: int = CHUNK) -> DataFrame:
+    """What ``made`` (path, keys, ids, borders) makes of documents, some at a time."""
+    own = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    buckets, key_type = partitions(docs), docs.schema[id_col].dataType
+
+    def path() -> str:
+        return tokenizer_path(vocabulary)
+
+    numbered = stored(_numbered(own, path, buckets, chunk), "numbered", partition="kind")
+    words = _replayed(numbered.where("kind = 0").select("bucket", "chunk", "doc_id", "blob"), path, buckets)
+    together = words.union(numbered.where("kind = 1").select("chunk", "number", "doc_id", "blob"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answers, table = None, [], None
+        keys, held, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            counts, heads, ids = table
+            sizes = [len(h) // 4 for h in held]
+            words = np.concatenate([np.frombuffer(h, "<u2", n) for h, n in zip(held, sizes, strict=True)]).astype(np.int64)
+            words |= np.concatenate([np.frombuffer(h, "<u2", n, 2 * n) for h, n in zip(held, sizes, strict=True)]).astype(np.int64) << 16
+            special = words >= len(counts)
+            own = np.where(special, 1, counts[np.where(special, 0, words)] if len(counts) else 1)
+            if not own.all():
+                raise ValueError("words of a chunk have no ids")
+            ends = np.concatenate([[0], np.cumsum(own)])
+            flat = np.empty(int(ends[-1]), dtype=np.int32)
+            flat[ends[:-1][special]] = words[special] - len(counts)
+            flat[ragged(ends[:-1][~special], own[~special])] = ids[ragged(heads[words[~special]], own[~special])]
+            return made(path(), pa.array(keys, key_arrow), flat, ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+        key_arrow = to_arrow_type(key_type)
+        for batch in batches:
+            for of, number, key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if of != now:
+                    if held:
+                        yield out()
+                        keys, held, size = [], [], 0
+                    now, answers, table = of, [], None
+                if number < 0:
+                    answers.append(unpacked(blob.as_py(), "<u4", "<u4", "<u4"))
+                    continue
+                if table is None:
+                    numbers, counts, ids = (np.concatenate([a[k] for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64) for k in range(3))
+                    by_number = np.zeros((2, len(numbers)), dtype=np.int64)
+                    by_number[0, numbers], by_number[1, numbers] = counts, np.cumsum(counts) - counts
+                    table, answers = (*by_number, ids), []
+                keys.append(key)
+                held.append(blob.as_py())
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    yield out()
+                    keys, held, size = [], [], 0
+        if held:
+            yield out()
+
+    dealt = together.repartition(buckets, "chunk").sortWithinPartitions("chunk", "number")
+    return dealt.mapInArrow(run, f"doc_id {key_type.simpleString()}, {fields}")
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", chunk: int = CHUNK) -> DataFrame:
     """One row (doc_id, ids) for each document, ids being those that the vocabulary's own library gives for the whole text.
 
     Null and empty texts have no ids.  Repeated rows and null ids each keep their row; other
-    columns are ignored.  Each distinct word of a block of texts is encoded once, by one
-    merge replay over all new words of the block.  No shuffle.
+    columns are ignored.  A word that many texts share is encoded once.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(tokenizer_path(vocabulary))
-        for block in bpe.blocks(table, ((b.column(0), data, offsets) for b, data, offsets in chunks(batches, "text"))):
-            ids, offsets = block_ids(table, block)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([block.keys, lists], names=["doc_id", "ids"])
+    def made(_: str, keys: pa.Array, ids: np.ndarray, borders: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return _encoded(docs, id_col, text_col, vocabulary, made, "ids array<int>", chunk)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe_multi_50k.tiktoken", most: int = 1 << 20) -> DataFrame:
@@ -96,25 +253,21 @@ def decode(encoded: DataFrame, ids_col: str = "ids", vocabulary: str = "byte_bpe
     return encoded.mapInArrow(run, f"{fields}, decoded binary")
 
 
-def codec_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+def codec_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "byte_bpe_multi_50k.tiktoken", chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the comma-joined ids and of the bytes that they decode to.
 
-    Encodes and decodes as ``encode`` and ``decode`` do, in one pass of one worker, so that the ids never leave it.
+    Encodes as ``encode`` does and decodes the ids where they are made.  Null and empty texts have 0 tokens and the digests
+    of nothing; repeated rows and null ids each keep their row; other columns are ignored.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path = tokenizer_path(vocabulary)
-        table, words, numbers = word_table(path), vocabulary_file(path), number_texts(path)
-        for block in bpe.blocks(table, ((b.column(0), data, offsets) for b, data, offsets in chunks(batches, "text"))):
-            ids, ends = block_ids(table, block)
-            raw, borders = decode_ids(words, ids, ends)
-            raw, ends, borders = memoryview(raw), ends.tolist(), borders.tolist()
-            as_text, decoded = [], []
-            for d in range(len(ends) - 1):
-                own = ids[ends[d] : ends[d + 1]].tolist()
-                as_text.append(hashlib.sha256(b",".join([numbers[i] for i in own])).hexdigest())
-                decoded.append(hashlib.sha256(raw[borders[d] : borders[d + 1]]).hexdigest())
-            yield pa.RecordBatch.from_arrays([block.keys, pa.array(np.diff(ends)), pa.array(as_text, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def made(path: str, keys: pa.Array, ids: np.ndarray, borders: np.ndarray) -> pa.RecordBatch:
+        numbers = number_texts(path)
+        raw, places = decode_ids(vocabulary_file(path), ids, borders)
+        raw, ends, places = memoryview(raw), borders.tolist(), places.tolist()
+        as_text, decoded = [], []
+        for d in range(len(ends) - 1):
+            as_text.append(hashlib.sha256(b",".join([numbers[i] for i in ids[ends[d] : ends[d + 1]].tolist()])).hexdigest())
+            decoded.append(hashlib.sha256(raw[places[d] : places[d + 1]]).hexdigest())
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(borders)), pa.array(as_text, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _encoded(docs, id_col, text_col, vocabulary, made, "n_tokens long, ids_sha256 string, decoded_sha256 string", chunk)

@@ -57,14 +57,15 @@ def mod_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _power_arrays(k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The upper and lower halves of BASES[k]**i, and BASES[k]**-i, for i < n (kept and doubled as needed)."""
+    """The upper and lower halves of BASES[k]**i (30 and 31 bits), and BASES[k]**-i, for i < n (kept; as long as the longest text so far asks for)."""
     if k not in _powers or len(_powers[k][2]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-n >> 16) << 16
         power, inverse = np.ones(1, U64), np.ones(1, U64)
         while len(power) < size:
             step, back = (U64(pow(BASES[k], e, PRIME)) for e in (len(power), -len(power)))
-            power, inverse = np.concatenate([power, mod_product(power, step)]), np.concatenate([inverse, mod_product(inverse, back)])
-        _powers[k] = power >> U64(31), power & _LOW31, inverse
+            more = slice(size - len(power))
+            power, inverse = np.concatenate([power, mod_product(power[more], step)]), np.concatenate([inverse, mod_product(inverse[more], back)])
+        _powers[k] = (power >> U64(31)).astype(np.uint32), (power & _LOW31).astype(np.uint32), inverse
     return _powers[k]
 
 
@@ -191,6 +192,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.cumsum(out)
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays one after the other behind their lengths in bytes."""
+    return b"".join([np.array([a.nbytes for a in arrays], dtype="<i8").tobytes(), *(a.tobytes() for a in arrays)])
+
+
+def unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(raw, dtype="<i8", count=len(kinds))
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at))
+        at += size
+    return out
+
+
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every document's shingles of ``width`` lower-cased words, in text order and with repeats, and offsets.
 

@@ -196,3 +196,23 @@ def test_truncated(table, libraries):
     got = sorted((r.doc_id or -1, r.text, r.n_tokens, r.n_tokens_whole) for r in prefix_counts.truncated(table, 5).collect())
     assert sorted((i, n) for i, _, _, n in got) == sorted((i or -1, len(libraries[0](t))) for i, t in ROWS)
     assert all(n == len(libraries[0](text)) <= 5 for _, text, n, _ in got)
+
+
+@pytest.mark.parametrize("chunk", [1, 300, 1 << 20])
+def test_words_of_many_chunks(table, libraries, chunk):
+    """The corpus's words are encoded once and come back to every chunk, special strings too."""
+    for vocabulary, library in (("byte_bpe_50k.json", libraries[0]), ("byte_bpe_multi_50k.tiktoken", libraries[1])):
+        got = sorted((r.doc_id or -1, r.ids) for r in bpe_codec.encode(table, vocabulary=vocabulary, chunk=chunk).collect())
+        assert got == sorted((i or -1, library(t)) for i, t in ROWS)
+    names = table.selectExpr("cast(doc_id as string) as name", "text as body")
+    back = bpe_codec.decode(bpe_codec.encode(names, "name", "body", chunk=chunk))
+    assert sorted((r.doc_id or "", bytes(r.decoded).decode()) for r in back.collect()) == sorted(("" if i is None else str(i), t or "") for i, t in ROWS)
+
+
+def test_a_word_is_encoded_once(spark):
+    """What a bucket replays doesn't grow with how often a word occurs."""
+    rows = [(i, "common words " * 200 + f"own{i}") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    numbered = bpe_codec._numbered(docs, lambda: P.path("byte_bpe_multi_50k.tiktoken"), 4, 1 << 20).persist()
+    assert numbered.where("kind = 1").count() == 64 and numbered.where("kind = 0").count() <= 8 * 4
+    assert numbered.where("kind = 0").selectExpr("sum(length(blob))").first()[0] < 8 * 4 * 200 + 64 * 20
