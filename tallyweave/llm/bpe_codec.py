@@ -19,15 +19,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyweave.llm import bpe
 from tallyweave.llm.prefix_counts import vocabulary_file
-from tallyweave.llm.shared import partitions, stored, tokenizer_path
-from tallyweave.llm.textarrays import chunks, packed, ragged, unpacked
+from tallyweave.llm.shared import partitions, tokenizer_path
+from tallyweave.llm.textarrays import chunks, mix, packed, ragged, unpacked
 
 
 @functools.cache
@@ -71,46 +70,68 @@ def decode_ids(vocabulary: bpe.Vocabulary, ids: np.ndarray, ends: np.ndarray) ->
 CHUNK = 12 << 20  # bytes of text whose words are numbered together
 
 
-def _numbered(docs: DataFrame, path: Callable[[], str], buckets: int, most: int) -> DataFrame:
-    """Rows of words (kind 0; bucket, chunk, blob of numbers, lengths and bytes) and of documents (kind 1; chunk, number, doc_id, blob of word numbers, all lower halves before the upper ones); numbers beyond the words are special strings."""
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """As bytes where all values fit, else as halves of words or words."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+
+
+def _widened(raw: np.ndarray, n: int) -> np.ndarray:
+    """The n values that ``_narrow`` made these bytes of."""
+    return raw.view({1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // n if n else 1]).astype(np.int64)
+
+
+def _numbered(docs: DataFrame, path: Callable[[], str], buckets: int, most: int, kind: int) -> DataFrame:
+    """Rows of words (kind 0; bucket, chunk, blob of the first number, lengths and bytes) or of documents (kind 1; chunk, number, doc_id, blob of word numbers, all lower halves before the upper bytes or halves); numbers beyond the words are special strings.  Number -2 says how many words a chunk has.
+
+    Both kinds come of the same rows, read twice rather than written: numbers follow from a chunk's set of words, and so does
+    its name, so words and documents that aren't of the same chunk never meet.
+    """
     key_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = vocabulary_file(path())
-        chunk, waiting, size = TaskContext.get().partitionId() << 32, [], 0
+        nth, waiting, size = None, [], 0
         arrow_key = to_arrow_type(key_type)
 
-        def rows(kind: int, bucket: list, number: list, keys: pa.Array, blobs: list) -> pa.RecordBatch:
-            n = len(blobs)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.int32()), pa.array(bucket, pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array(number, pa.int32()), keys, pa.array(blobs, pa.binary())], names=["kind", "bucket", "chunk", "number", "doc_id", "blob"])
+        def rows(chunk: int, bucket: list, number: list, keys: pa.Array, blobs: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([chunk] * len(blobs), pa.int64()), pa.array(number, pa.int32()), keys, pa.array(blobs, pa.binary())], names=["bucket", "chunk", "number", "doc_id", "blob"])
 
         def out() -> Iterator[pa.RecordBatch]:
             data = np.concatenate([w[3] for w in waiting])
             lengths = np.concatenate([w[4] for w in waiting])
             ends = np.cumsum(lengths)
             hashes, index, inverse = bpe.distinct_words(data, ends - lengths, ends)
+            chunk = int(mix(np.array([hashes.sum(dtype=np.uint64) + np.uint64(nth)])).view(np.int64)[0])
             place = ((hashes >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             edges = np.searchsorted(place[order], np.arange(buckets + 1))
             some = np.flatnonzero(np.diff(edges))
-            blobs = []
-            for b in some.tolist():
-                own = order[edges[b] : edges[b + 1]]
-                size = lengths[index[own]]
-                blobs.append(packed(own.astype("<u4"), size.astype("<u4"), data[ragged((ends - lengths)[index[own]], size)]))
-            yield rows(0, some.tolist(), [-1] * len(some), pa.nulls(len(some), arrow_key), blobs)
+            # Numbers go by bucket, so a bucket's words need the first one only.
+            number_of = np.empty(len(order), dtype=np.int64)
+            number_of[order] = np.arange(len(order))
+            if kind == 0:
+                blobs = []
+                for b in some.tolist():
+                    own = index[order[edges[b] : edges[b + 1]]]
+                    blobs.append(packed(edges[b : b + 2], _narrow(lengths[own]), data[ragged((ends - lengths)[own], lengths[own])]))
+                yield rows(chunk, some.tolist(), [-1] * len(some), pa.nulls(len(some), arrow_key), blobs)
+                return
+            yield rows(chunk, [-1], [-2], pa.nulls(1, arrow_key), [len(index).to_bytes(8, "little")])
             at = number = 0
             for keys, first, own, _, own_lengths, special in waiting:
-                words = inverse[at : at + len(own_lengths)][own]
+                words = number_of[inverse[at : at + len(own_lengths)][own]]
                 words[special >= 0] = len(index) + special[special >= 0]
                 at += len(own_lengths)
-                low, high = words.astype("<u2"), (words >> 16).astype("<u2")
+                low, high = words.astype("<u2"), (words >> 16).astype("<u2" if len(index) + len(vocabulary.token_bytes) >= 1 << 24 else "u1")
                 borders = first.tolist()
                 blobs = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(borders[:-1], borders[1:], strict=True)]
-                yield rows(1, [-1] * len(keys), list(range(number, number + len(keys))), keys, blobs)
+                yield rows(chunk, [-1] * len(keys), list(range(number, number + len(keys))), keys, blobs)
                 number += len(keys)
 
         for batch, data, offsets in chunks(batches, "text"):
+            if nth is None:
+                nth = batch.column(2)[0].as_py() << 24
             starts, ends, first, special = bpe.split_words(data, offsets, vocabulary.special)
             _, index, inverse = bpe.distinct_words(data, starts, ends)
             lengths = (ends - starts)[index]
@@ -118,15 +139,16 @@ def _numbered(docs: DataFrame, path: Callable[[], str], buckets: int, most: int)
             size += len(data)
             if size >= most:
                 yield from out()
-                chunk, waiting, size = chunk + 1, [], 0
+                nth, waiting, size = nth + 1, [], 0
         if waiting:
             yield from out()
 
-    return docs.mapInArrow(run, f"kind int, bucket int, chunk long, number int, doc_id {key_type.simpleString()}, blob binary")
+    # A task's own number isn't the same in both reads, a partition's is.
+    return docs.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, f"bucket int, chunk long, number int, doc_id {key_type.simpleString()}, blob binary")
 
 
 def _replayed(words: DataFrame, path: Callable[[], str], buckets: int) -> DataFrame:
-    """(chunk, number, doc_id, blob): for each bucket and chunk its words' numbers, how many ids each has, and the ids; number is -1."""
+    """(chunk, number, doc_id, blob): for each bucket and chunk the range of its words' numbers, how many ids each has, and the ids; number is -1."""
     key_type = words.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +157,12 @@ def _replayed(words: DataFrame, path: Callable[[], str], buckets: int) -> DataFr
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 whose.append(chunk)
-                parts.append(unpacked(raw.as_py(), "<u4", "<u4", "u1"))
+                edges, size, raw = unpacked(raw.as_py(), "<i8", "u1", "u1")
+                parts.append((edges, _widened(size, int(edges[1] - edges[0])), raw))
         if not parts:
             return
         data = np.concatenate([p[2] for p in parts])
-        lengths = np.concatenate([p[1] for p in parts]).astype(np.int64)
+        lengths = np.concatenate([p[1] for p in parts])
         ends = np.cumsum(lengths)
         _, index, inverse = bpe.distinct_words(data, ends - lengths, ends)
         starts = (ends - lengths)[index]
@@ -147,10 +170,10 @@ def _replayed(words: DataFrame, path: Callable[[], str], buckets: int) -> DataFr
         own_ends = np.cumsum(size)
         ids, offsets = bpe.encode_words(vocabulary, data[ragged(starts, size)], own_ends - size, own_ends)
         counts, at = np.diff(offsets), 0
-        for chunk, (numbers, _, _) in zip(whose, parts, strict=True):
-            own = inverse[at : at + len(numbers)]
-            at += len(numbers)
-            blob = packed(numbers, counts[own].astype("<u4"), ids[ragged(offsets[own], counts[own])].astype("<u4"))
+        for chunk, (edges, size, _) in zip(whose, parts, strict=True):
+            own = inverse[at : at + len(size)]
+            at += len(size)
+            blob = packed(edges, _narrow(counts[own]), _narrow(ids[ragged(offsets[own], counts[own])]))
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int32()), pa.nulls(1, to_arrow_type(key_type)), pa.array([blob], pa.binary())], names=["chunk", "number", "doc_id", "blob"])
 
     dealt = words.repartitionById(buckets, F.col("bucket")).select("chunk", "blob")
@@ -165,23 +188,21 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, made:
     def path() -> str:
         return tokenizer_path(vocabulary)
 
-    numbered = stored(_numbered(own, path, buckets, chunk), "numbered", partition="kind")
-    words = _replayed(numbered.where("kind = 0").select("bucket", "chunk", "doc_id", "blob"), path, buckets)
-    together = words.union(numbered.where("kind = 1").select("chunk", "number", "doc_id", "blob"))
+    words = _replayed(_numbered(own, path, buckets, chunk, 0).select("bucket", "chunk", "doc_id", "blob"), path, buckets)
+    together = words.union(_numbered(own, path, buckets, chunk, 1).select("chunk", "number", "doc_id", "blob"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, answers, table = None, [], None
+        now, answers, table, n_words = None, [], None, 0
         keys, held, size = [], [], 0
 
         def out() -> pa.RecordBatch:
             counts, heads, ids = table
-            sizes = [len(h) // 4 for h in held]
+            wide = len(counts) + len(vocabulary_file(path()).token_bytes) >= 1 << 24
+            sizes = [len(h) // (4 if wide else 3) for h in held]
             words = np.concatenate([np.frombuffer(h, "<u2", n) for h, n in zip(held, sizes, strict=True)]).astype(np.int64)
-            words |= np.concatenate([np.frombuffer(h, "<u2", n, 2 * n) for h, n in zip(held, sizes, strict=True)]).astype(np.int64) << 16
+            words |= np.concatenate([np.frombuffer(h, "<u2" if wide else "u1", n, 2 * n) for h, n in zip(held, sizes, strict=True)]).astype(np.int64) << 16
             special = words >= len(counts)
             own = np.where(special, 1, counts[np.where(special, 0, words)] if len(counts) else 1)
-            if not own.all():
-                raise ValueError("words of a chunk have no ids")
             ends = np.concatenate([[0], np.cumsum(own)])
             flat = np.empty(int(ends[-1]), dtype=np.int32)
             flat[ends[:-1][special]] = words[special] - len(counts)
@@ -196,14 +217,20 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, made:
                         yield out()
                         keys, held, size = [], [], 0
                     now, answers, table = of, [], None
-                if number < 0:
-                    answers.append(unpacked(blob.as_py(), "<u4", "<u4", "<u4"))
+                if number == -2:
+                    n_words = int.from_bytes(blob.as_py(), "little")
+                    continue
+                if number == -1:
+                    edges, counts, ids = unpacked(blob.as_py(), "<i8", "u1", "u1")
+                    counts = _widened(counts, int(edges[1] - edges[0]))
+                    answers.append((int(edges[0]), counts, _widened(ids, int(counts.sum()))))
                     continue
                 if table is None:
-                    numbers, counts, ids = (np.concatenate([a[k] for a in answers]).astype(np.int64) if answers else np.zeros(0, np.int64) for k in range(3))
-                    by_number = np.zeros((2, len(numbers)), dtype=np.int64)
-                    by_number[0, numbers], by_number[1, numbers] = counts, np.cumsum(counts) - counts
-                    table, answers = (*by_number, ids), []
+                    answers.sort(key=lambda a: a[0])
+                    if sum(len(a[1]) for a in answers) != n_words:
+                        raise ValueError("a chunk's words have no ids: its rows weren't the same when they were read again")
+                    counts, ids = (np.concatenate([np.zeros(0, np.int64), *(a[k] for a in answers)]) for k in (1, 2))
+                    table, answers = (counts, np.cumsum(counts) - counts, ids), []
                 keys.append(key)
                 held.append(blob.as_py())
                 size += len(held[-1])

@@ -70,8 +70,8 @@ def place(spark: SparkSession, name: str, outlive: bool = False) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, outlive: bool = False, partition: str | None = None, few: bool = False) -> DataFrame:
-    """The rows written to the shared folder (in a folder for each value of ``partition``) and read again: they outlive executors, and later uses don't compute them anew.
+def stored(df: DataFrame, name: str, outlive: bool = False, few: bool = False) -> DataFrame:
+    """The rows written to the shared folder and read again: they outlive executors, and later uses don't compute them anew.
 
     ``few`` is for results of a join or an aggregate: their partitions are written by two tasks a core at most, so that small
     ones don't make as many files as there are shuffle partitions.
@@ -79,7 +79,7 @@ def stored(df: DataFrame, name: str, outlive: bool = False, partition: str | Non
     path = place(df.sparkSession, name, outlive)
     if few:
         df = df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
-    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -213,6 +213,25 @@ def test_a_word_is_encoded_once(spark):
     """What a bucket replays doesn't grow with how often a word occurs."""
     rows = [(i, "common words " * 200 + f"own{i}") for i in range(64)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
-    numbered = bpe_codec._numbered(docs, lambda: P.path("byte_bpe_multi_50k.tiktoken"), 4, 1 << 20).persist()
-    assert numbered.where("kind = 1").count() == 64 and numbered.where("kind = 0").count() <= 8 * 4
-    assert numbered.where("kind = 0").selectExpr("sum(length(blob))").first()[0] < 8 * 4 * 200 + 64 * 20
+    words, numbers = (bpe_codec._numbered(docs, lambda: P.path("byte_bpe_multi_50k.tiktoken"), 4, 1 << 20, kind) for kind in (0, 1))
+    assert numbers.where("number >= 0").count() == 64 and words.count() <= 8 * 4
+    assert words.selectExpr("sum(length(blob))").first()[0] < 8 * 4 * 200 + 64 * 20
+    assert {r.chunk for r in words.collect()} == {r.chunk for r in numbers.collect()}
+
+
+def test_rows_that_changed_between_two_reads_are_seen(spark):
+    """The ids of one text's words never go to another text."""
+    import itertools
+
+    turns = itertools.count()
+    real = bpe_codec._numbered
+
+    def other(docs, path, buckets, most, kind):
+        return real(docs.selectExpr("doc_id", f"concat(text, ' x{next(turns)}') as text"), path, buckets, most, kind)
+
+    bpe_codec._numbered = other
+    try:
+        with pytest.raises(Exception, match="weren't the same"):
+            bpe_codec.encode(spark.createDataFrame([(1, "some words")], "doc_id long, text string")).collect()
+    finally:
+        bpe_codec._numbered = real
