@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.components import components
 from tallyweave.llm.shared import hub_join, key_filter, partitions, passes, stored, tidy
-from tallyweave.llm.textarrays import U64, chunks, mix, ragged, shingle_hashes
+from tallyweave.llm.textarrays import U64, chunks, mix, packed, ragged, shingle_hashes, unpacked
 
 BLOCK = 192  # sets that a task joins with as many others
 LOW = U64((1 << 40) - 1)
@@ -91,23 +91,9 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long")
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays one after the other behind their lengths in bytes."""
-    return b"".join([np.array([a.nbytes for a in arrays], dtype="<i8").tobytes(), *(a.tobytes() for a in arrays)])
-
-
-def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes = np.frombuffer(raw, dtype="<i8", count=len(kinds))
-    at, out = 8 * len(kinds), []
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(raw, dtype=kind, count=size // np.dtype(kind).itemsize, offset=at))
-        at += size
-    return out
-
-
 def _blobs(batches: Iterator[pa.RecordBatch], *kinds: str) -> list[np.ndarray]:
     """The arrays of all rows' last column, joined."""
-    parts = [_unpacked(raw.as_py(), *kinds) for batch in batches for raw in batch.column(batch.num_columns - 1)]
+    parts = [unpacked(raw.as_py(), *kinds) for batch in batches for raw in batch.column(batch.num_columns - 1)]
     return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, kind) for k, kind in enumerate(kinds)]
 
 
@@ -146,7 +132,7 @@ def posting_blobs(docs: DataFrame, buckets: int, width: int, percent: int, flush
                     heads = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]]))
                     sets = o[heads]
                     numbers.append(b)
-                    blobs.append(_packed(hi[sets], n[sets].astype("<u4"), np.diff(np.append(heads, len(o))).astype("<u4"), t.astype("<u4"), (t >> U64(32)).astype("<u1")))
+                    blobs.append(packed(hi[sets], n[sets].astype("<u4"), np.diff(np.append(heads, len(o))).astype("<u4"), t.astype("<u4"), (t >> U64(32)).astype("<u1")))
             return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
         for _, data, offsets in chunks(batches, "text"):
@@ -172,7 +158,7 @@ def shared_blobs(postings: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for b, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 number = b
-                parts.append(_unpacked(raw.as_py(), "<u8", "<u4", "<u4", "<u4", "<u1"))
+                parts.append(unpacked(raw.as_py(), "<u8", "<u4", "<u4", "<u4", "<u1"))
         if not parts:
             return
         hi, n, counts, low, high = (np.concatenate([p[k] for p in parts]) for k in range(5))
@@ -204,7 +190,7 @@ def shared_blobs(postings: DataFrame, buckets: int) -> DataFrame:
         for t in np.flatnonzero(np.bincount(target)).tolist():
             own, elements = target == t, place == t
             k = tokens[elements]
-            blob = _packed(hi[sets[own]], n[sets[own]], counts[own].astype("<u4"), np.full(int(own.sum()), number, "<u4"), k.astype("<u4"), (k >> U64(32)).astype("<u1"), lengths[elements].astype("<u4"))
+            blob = packed(hi[sets[own]], n[sets[own]], counts[own].astype("<u4"), np.full(int(own.sum()), number, "<u4"), k.astype("<u4"), (k >> U64(32)).astype("<u1"), lengths[elements].astype("<u4"))
             yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([blob], pa.binary())], names=["target", "blob"])
 
     return postings.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "target int, blob binary")
@@ -411,7 +397,7 @@ def linked(records: DataFrame, docs: DataFrame, width: int, percent: int, block:
     lists = postings.groupBy("shingle").agg(F.min("rep").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = postings.join(lists, "shingle").where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     blocks = components(near)
-    found = stored(records.join(blocks, F.col("rep") == F.col("node")).select(F.col("root").alias("block"), "rep", "hi", "n"), "blocks")
+    found = stored(records.join(blocks, F.col("rep") == F.col("node")).select(F.col("root").alias("block"), "rep", "hi", "n"), "blocks", few=True)
     members = stored(found.join(whole_sets(docs, found.select("rep", "hi"), width), ["rep", "hi"]).select("block", "rep", "n", "shingles"), "members")
     sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", _parts(F.col("c"), block))
     plain = members.join(sizes.where("parts = 1").select("block"), "block")
@@ -422,10 +408,10 @@ def linked(records: DataFrame, docs: DataFrame, width: int, percent: int, block:
         return components(edges)
     # Each part with itself and the block's first part.
     with_first = large.withColumn("at", F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
-    edges = stored(edges.union(_join_groups(with_first.select("block", "at", "rep", "n", "shingles", *own), ["block", "at"], percent)), "edges")
+    edges = stored(edges.union(_join_groups(with_first.select("block", "at", "rep", "n", "shingles", *own), ["block", "at"], percent)), "edges", few=True)
     labels = components(edges)
     labelled = large.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("root", "rep")).drop("node", "root")
-    labelled = stored(labelled, "labelled")
+    labelled = stored(labelled, "labelled", few=True)
     biggest = labelled.groupBy("block", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("block").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     rest = labelled.join(biggest, "block").where("label <> main").drop("main")
     rest_parts = rest.groupBy("block").agg(_parts(F.count(F.lit(1)), block).alias("rest_parts"))
@@ -452,10 +438,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         sets = stored(shingle_sets(own, width=width), "sets", outlive=True)
         full = sets.where("n_shingles > 0 and doc_id is not null")
         shared = shared_blobs(posting_blobs(own.where("doc_id is not null").select("text"), buckets, width, percent), buckets)
-        classes = stored(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("c")), "classes")
-        records = stored(survivors(shared, buckets, percent).join(classes.select("hi", "n", "rep"), ["hi", "n"]).select("rep", "hi", "n", "short"), "records")
+        classes = stored(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("c")), "classes", few=True)
+        records = stored(survivors(shared, buckets, percent).join(classes.select("hi", "n", "rep"), ["hi", "n"]).select("rep", "hi", "n", "short"), "records", few=True)
         roots = linked(records, own, width, percent, block)
         named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("root", "rep").alias("component_id"), "c")
-        named = stored(named, "named", outlive=True)
+        named = stored(named, "named", outlive=True, few=True)
     found = hub_join(full, named, ["hi", "lo"], named.agg(F.sum("c")).first()[0] or 0).select("doc_id", "n_shingles", "component_id")
     return found.union(sets.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

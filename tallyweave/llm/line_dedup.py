@@ -376,7 +376,7 @@ def _in_crowds(members: DataFrame, edits: int, crowd: int) -> DataFrame:
     sized = members.join(parts_of(members, "parts"), "key").withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("parts")).cast("int"))
     earliest = sized.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("doc", "line"))).where(F.col("n") <= PIVOTS).drop("n")
     asked = sized.withColumn("asked", F.lit(True))
-    by_pivots = stored(_settled(asked.unionByName(earliest.withColumn("part", every("parts")).withColumn("asked", F.lit(False))), ["key", "part"], edits), "settled")
+    by_pivots = stored(_settled(asked.unionByName(earliest.withColumn("part", every("parts")).withColumn("asked", F.lit(False))), ["key", "part"], edits), "settled", few=True)
     left = asked.join(by_pivots, ["h1", "h2"], "left_anti")
     left = left.join(parts_of(left, "left_parts"), "key").withColumn("left_part", F.pmod(F.xxhash64("h2", "h1"), F.col("left_parts")).cast("int"))
     groups = parts_of(left, "n").select("key", F.col("n").alias("left_parts"))
@@ -388,10 +388,10 @@ def _in_crowds(members: DataFrame, edits: int, crowd: int) -> DataFrame:
 def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int, crowd: int = CROWD) -> DataFrame:
     """(h1, h2) of the lines that have an earlier line within ``edits`` edits, not counting equal ones."""
     buckets = partitions(docs)
-    found = stored(_candidates(_entries(docs, buckets, min_chars, edits), buckets, edits, crowd), "pairs")
+    found = stored(_candidates(_entries(docs, buckets, min_chars, edits), buckets, edits, crowd), "pairs", few=True)
     wanted = found.select(F.col("a").alias("ref")).union(found.where("b is not null").select("b")).distinct()
-    places = stored(firsts.withColumn("ref", F.col("h1").bitwiseAND(F.lit(int(REFERENCE)))).join(wanted, "ref"), "places")
-    texts = stored(_texts_of(docs, places, min_chars), "texts")
+    places = stored(firsts.withColumn("ref", F.col("h1").bitwiseAND(F.lit(int(REFERENCE)))).join(wanted, "ref"), "places", few=True)
+    texts = stored(_texts_of(docs, places, min_chars), "texts", few=True)
 
     def side(name: str) -> DataFrame:
         return texts.select(F.col("ref").alias(name), F.struct("h1", "h2").alias(f"{name}_line"), F.col("first").alias(f"{name}_first"), F.col("text").alias(f"{name}_text"))
@@ -411,7 +411,7 @@ def near_pairs(docs: DataFrame, firsts: DataFrame, min_chars: int, edits: int, c
     decided = both.where("a_first <> b_first").select("a_text", "b_text", ordered.alias("later")).mapInArrow(run, "h1 long, h2 long")
     crowded = found.where("key is not null").select("key", F.col("a").alias("ref"))
     if not crowded.isEmpty():
-        members = stored(crowded.join(texts, "ref").select("key", "first.doc", "first.line", "h1", "h2", "text"), "crowds")
+        members = stored(crowded.join(texts, "ref").select("key", "first.doc", "first.line", "h1", "h2", "text"), "crowds", few=True)
         decided = decided.union(_in_crowds(members, edits, crowd))
     return decided.distinct()
 
@@ -434,10 +434,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(place.alias("doc"), docs[text_col].alias("text"), row.alias("row"))
     with tidy(docs.sparkSession):
         lines = stored(_lines_of(own, min_chars), "lines", outlive=True)
-        firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("c")), "firsts")
+        firsts = stored(lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("c")), "firsts", few=True)
         later = near_pairs(own.select("doc", "text"), firsts.select("h1", "h2", "first"), max(min_chars, edit_chars), max_edits, crowd)
         # Only lines that occur more than once or have an earlier near one can lose occurrences.
-        marked = stored(firsts.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or near"), "marked", outlive=True)
+        marked = stored(firsts.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or near"), "marked", outlive=True, few=True)
         total = firsts.agg(F.sum("c")).first()[0] or 0
     gone = hub_join(lines, marked, ["h1", "h2"], total).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line") != F.col("first")))
     # Rows of one id and text lose the same lines.

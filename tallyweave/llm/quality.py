@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import kept_rows, partitions
-from tallyweave.llm.textarrays import U64, chunks, lowered, mix, span_hashes, word_spans
+from tallyweave.llm.textarrays import U64, chunks, lowered, mix, release, span_hashes, word_spans
 from tallyweave.llm.toxicity import MOST_BYTES, MOST_ROWS, training_sample
 
 TYPES, SHAPES = 1 << 16, 1 << 12  # hashed word types and shapes
 DIM, SHAPE_DIM = 48, 32
 NONZERO = 4  # entries of an index vector
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _KIND = np.full(256, 3, dtype=np.uint8)  # 0 upper case, 1 lower case or beyond ASCII, 2 digit, 3 other
 _KIND[65:91] = 0
 _KIND[97:123] = 1
@@ -135,7 +135,9 @@ class ContextSums:
         out = []
         for own, around in zip((index_vectors(TYPES, DIM, 1), index_vectors(SHAPES, SHAPE_DIM, 2)), sums, strict=True):
             around = around.reshape(own.shape).astype(np.float32)
-            out.append(own + around / np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-6))
+            around /= np.maximum(np.sqrt(np.einsum("nd,nd->n", around, around))[:, None], 1e-6)
+            around += own
+            out.append(around)
         return out[0], out[1]
 
 
@@ -170,11 +172,12 @@ def gather_contexts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray
     schema = "part int, sums binary"
     found = docs.select(F.col(text_col).alias("text")).mapInArrow(gather, schema).repartitionById(parts, F.col("part")).mapInArrow(add, schema).toArrow()
     sums = [np.zeros(size, dtype=np.int64) for size in ContextSums.SIZES]
-    for k, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-        values, at = np.frombuffer(raw, dtype="<i8"), 0
+    for k, raw in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        values, at = np.frombuffer(raw.as_buffer(), dtype="<i8"), 0
         for s, b in zip(sums, bounds, strict=True):
             s[b[k] : b[k + 1]] = values[at : at + b[k + 1] - b[k]]
             at += b[k + 1] - b[k]
+    del found
     return ContextSums.vectors(sums)
 
 
@@ -233,7 +236,11 @@ def _train(model: QualityModel, z: np.ndarray, y: np.ndarray, units: int, epochs
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Gathers vectors from all documents and fits the network on labels (doc_id, quality) outside fold 2 of 4, on at most ``most`` documents of ``most_bytes`` together (see ``training_sample``)."""
-    return fit(*training_sample(docs, labels, "quality", 4, 2, most, most_bytes, id_col, text_col), vectors=gather_contexts(docs, text_col))
+    vectors = gather_contexts(docs, text_col)
+    release()
+    model = fit(*training_sample(docs, labels, "quality", 4, 2, most, most_bytes, id_col, text_col), vectors=vectors)
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:

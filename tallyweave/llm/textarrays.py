@@ -9,6 +9,7 @@ collide under every base.)  Who must not confuse two spans compares their bytes
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,7 +167,16 @@ def flat_strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def release() -> None:
+    """Gives memory that arrays have left back to the system; else a worker that goes on to the next task, or the driver after a training, holds on to all it ever used."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts batches into runs of rows of at most ``most`` text bytes (a longer text stands alone), whole rows only."""
     for batch in batches:
         data, offsets = flat_strings(batch.column(batch.schema.get_field_index(column)))
@@ -176,6 +186,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
             to = min(max(to, at + 1), n)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    release()
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

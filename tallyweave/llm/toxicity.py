@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import fold, kept_rows, stored, tidy
-from tallyweave.llm.textarrays import Hasher, chunks, distinct, lowered, mix, ragged, run_spans
+from tallyweave.llm.textarrays import Hasher, chunks, distinct, lowered, mix, ragged, release, run_spans
 
 WIDTH = 1 << 20  # weights; feature hashes are taken modulo this
 PREFIXES = (3, 4, 5, 6, 7, 8)  # bytes
@@ -319,7 +319,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.5
     return w
 
 
-MOST_ROWS, MOST_BYTES = 12_000, 32 << 20  # of labelled documents that a classifier is trained on
+MOST_ROWS, MOST_BYTES = 12_000, 20 << 20  # of labelled documents that a classifier is trained on
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> tuple[pa.Array, np.ndarray]:
@@ -339,7 +339,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         )
         text = F.coalesce(F.col(text_col), F.lit("")).alias("_text")
         found = docs.select(F.col(id_col).alias("_id"), text).where(F.octet_length("_text") <= most_bytes // 16).join(F.broadcast(chosen), "_id")
-        sample = stored(found.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), "training")
+        sample = stored(found.groupBy("_id", "_label").agg(F.min("_text").alias("_text")), "training", few=True)
         running = F.sum(F.octet_length("_text")).over(Window.orderBy(F.xxhash64("_id"), "_id"))
         kept = sample.select("_id", running.alias("_bytes")).where(F.col("_bytes") <= most_bytes).select("_id")
         table = sample.join(F.broadcast(kept), "_id").orderBy("_id").select("_text", "_label").toArrow().combine_chunks()
@@ -348,7 +348,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> CrfModel:
     """Fits the field on labels (doc_id, toxic) outside fold 0 of 5, on at most ``most`` documents of ``most_bytes`` together (see ``training_sample``)."""
-    return fit(*training_sample(docs, labels, "toxic", 5, 0, most, most_bytes, id_col, text_col))
+    model = fit(*training_sample(docs, labels, "toxic", 5, 0, most, most_bytes, id_col, text_col))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: CrfModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -389,4 +391,4 @@ def keep_clean(docs: DataFrame, model: CrfModel, text_col: str = "text") -> Data
         low, starts, ends, first = words_of(data, offsets)
         return held.value.score(document_inputs(held.value.token_marginals(low, starts, ends, first), first)) < 0.5
 
-    return kept_rows(docs, text_col, 1 << 20, keep)
+    return kept_rows(docs, text_col, 1 << 19, keep)

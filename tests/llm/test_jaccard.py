@@ -110,7 +110,7 @@ def test_strings_that_collide_modulo_powers_of_two(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, 1, i) for i in range(len(texts))}
 
 
-def test_hubs_are_broadcast(spark):
+def test_hubs(spark):
     """A star of more leaves than a shuffle key may have, and text that more rows share than that."""
     got = {(r.node, r.root) for r in components(spark.createDataFrame([(7, 100 + k) for k in range(2500)] + [(3, 100)], "u long, v long")).collect()}
     assert got == {(x, 3) for x in (3, 7, *range(100, 2600))}
