@@ -164,11 +164,21 @@ def per_key_take(hits: DataFrame, per_tier: int, total: int) -> DataFrame:
 
 
 def address_overlap(records: DataFrame, least: int = 2, min_length: int = 3) -> DataFrame:
-    """(s1_id, cand_id, shared) of pairs with ``least`` or more common address words of ``min_length`` letters, within a country."""
+    """(s1_id, cand_id, shared) of pairs with ``least`` or more common address words of ``min_length`` letters, within a country.
+
+    Of a record's words that both sides have, the ``least`` - 1 most frequent ones stay out of the join: two records with ``least`` words in
+    common share one of the others as well, in one order of all words. So the commonest words pair nothing; the whole lists decide.
+    """
     words = F.explode_outer(F.array_distinct(F.filter("addr_words", lambda w: F.length(w) >= min_length))).alias("w")
     rows = records.select("entity_id", "src", "country", words).where("w is not null")
-    a, b = rows.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "w"), rows.where("src <> 1").select(F.col("entity_id").alias("cand_id"), "country", "w")
-    return a.join(b, ["country", "w"]).groupBy("s1_id", "cand_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
+    met = rows.groupBy("country", "w").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("src") == 1).alias("a")).where("a > 0 and a < c").select("country", "w", "c")
+    lists = rows.join(met, ["country", "w"]).groupBy("entity_id", "src", "country").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("k")).where(F.size("k") >= least)
+    entered = lists.select("entity_id", "src", "country", F.explode_outer(F.slice(F.col("k"), 1, F.greatest(F.size("k") - least + 1, F.lit(0)))["w"]).alias("w")).where("w is not null")
+    a, b = entered.where("src = 1").select(F.col("entity_id").alias("s1_id"), "country", "w"), entered.where("src <> 1").select(F.col("entity_id").alias("cand_id"), "country", "w")
+    pairs = a.join(b, ["country", "w"]).select("s1_id", "cand_id").distinct()
+    whole = lists.select("entity_id", F.col("k.w").alias("ws"))
+    both = pairs.join(whole.select(F.col("entity_id").alias("s1_id"), F.col("ws").alias("_wa")), "s1_id").join(whole.select(F.col("entity_id").alias("cand_id"), F.col("ws").alias("_wb")), "cand_id")
+    return both.select("s1_id", "cand_id", F.size(F.array_intersect("_wa", "_wb")).cast("long").alias("shared")).where(F.col("shared") >= least)
 
 
 def _grams(words: Column, low: int, high: int) -> Column:
