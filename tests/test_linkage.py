@@ -49,6 +49,21 @@ def test_limit_prunes_common_keys(spark):
     assert blocking.candidate_pairs(records, ("exact",), 4).count() == 0
 
 
+def test_first_pairs_are_the_best_of_all(spark):
+    """Of crowded keys only the first candidates are joined, and an anchor's best are those of all pairs."""
+    rows = [(1 + k % 3, "abcd efgh " + ("ijkl" if k % 4 else "mnop") + " qrst" * (k % 5 == 0), f"{k % 3} High St", "US") for k in range(90)]
+    records = normalised(people(spark, rows))
+    for k in (1, 3):
+        want = sorted(map(tuple, blocking.top_k(blocking.candidate_pairs(records), k).collect()))
+        found = blocking.first_pairs(records, k)
+        assert sorted(map(tuple, blocking.top_k(found, k).select("s1_id", "cand_id", "src", "score").collect())) == want and len(want) == 60 * k
+        assert found.count() < blocking.candidate_pairs(records).count()
+    ordered = records.withColumn("ord", -F.col("ord"))
+    all_pairs = blocking.candidate_pairs(ordered).join(ordered.select(F.col("entity_id").alias("cand_id"), "ord"), "cand_id")
+    want = blocking.first_come(all_pairs, 2, ("s1_id", "src")).select("s1_id", "cand_id").collect()
+    assert sorted(blocking.first_come(blocking.first_pairs(ordered, 2, order="ord"), 2, ("s1_id", "src")).select("s1_id", "cand_id").collect()) == sorted(want)
+
+
 def test_top_k_is_stable(spark):
     pairs = spark.createDataFrame([("s", f"c{k}", 2, 50 + k % 3) for k in range(9)], "s1_id string, cand_id string, src int, score int")
     got = [r.cand_id for r in blocking.top_k(pairs.repartition(5), 4).orderBy("cand_id").collect()]
