@@ -64,6 +64,24 @@ def test_first_pairs_are_the_best_of_all(spark):
     assert sorted(blocking.first_come(blocking.first_pairs(ordered, 2, order="ord"), 2, ("s1_id", "src")).select("s1_id", "cand_id").collect()) == sorted(want)
 
 
+def test_alike_records_are_joined_as_one(spark):
+    """Pairs of groups of copies, across chunks, rows with one id, and the limit, as pairs of single records have them; the join meets groups only."""
+    rows = [(1 + k % 3, ("abcd efgh", "ijkl abcd efgh")[k % 2], "", "US") for k in range(60)]
+    records = normalised(people(spark, rows))
+    odd = records.unionByName(records.where("ord = 1").withColumn("name", F.lit("other")).withColumn("words", F.array(F.lit("other"), F.lit("abcd"))))
+    for table, limit in ((records, None), (odd, None), (records, 11), (odd, 19)):
+        hits = blocking.tier_hits(blocking.pruned(blocking.key_table(table.where("src = 1")), limit), blocking.key_table(table.where("src <> 1"), probe=True))
+        want = hits.groupBy("s1_id", "cand_id", "src").agg(F.max("score")).collect()
+        for chunk in (1000, 3):
+            blocking.CHUNK = chunk
+            try:
+                got = blocking.candidate_pairs(table, limit=limit).collect()
+            finally:
+                blocking.CHUNK = 1000
+            assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert blocking._alike(records.where("src <> 1"), ("exact",), True).count() == 4
+
+
 def test_top_k_is_stable(spark):
     pairs = spark.createDataFrame([("s", f"c{k}", 2, 50 + k % 3) for k in range(9)], "s1_id string, cand_id string, src int, score int")
     got = [r.cand_id for r in blocking.top_k(pairs.repartition(5), 4).orderBy("cand_id").collect()]
