@@ -1,5 +1,7 @@
 """Blocking, decisions, evaluation, validation, sinks and the stream on small tables, and what must hold on any."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -309,3 +311,24 @@ def test_commands(spark, tmp_path, monkeypatch):
     assert [w for w in written if w != "source1_entity_id"] == [r.entity_id for r in own if r.src == 1]
     assert commands.main(["validate", *files[:4], "--test-dir", f"{tmp_path}/none"]) == 1
     assert commands.check(spark, f"{out}/candidate_pairs.tsv", f"{out}/candidate_pairs.tsv", f"{tmp_path}/test") == ["missing column: matched_entity_ids"]
+
+
+def shuffled(spark, job):
+    """What a job returns, and how many bytes it wrote to shuffles."""
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        executors = sc.statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    before = written()
+    found = job()
+    return found, written() - before
+
+
+def test_true_pairs_shuffle_little(spark):
+    """Below 3 times the input; it was 3.5 times when each shingle was a row, twice."""
+    sf = "/root/testdata/sf0.01"
+    _, wrote = shuffled(spark, lambda: true_pairs(spark, sf).count())
+    assert wrote < 3 * os.path.getsize(f"{sf}/documents.parquet")
