@@ -1,6 +1,9 @@
 """Blocking, decisions, evaluation, validation, sinks and the stream on small tables, and what must hold on any."""
 
+import math
 import os
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -332,3 +335,53 @@ def test_true_pairs_shuffle_little(spark):
     sf = "/root/testdata/sf0.01"
     _, wrote = shuffled(spark, lambda: true_pairs(spark, sf).count())
     assert wrote < 3 * os.path.getsize(f"{sf}/documents.parquet")
+
+
+def brute_tfidf(rows, low, high, min_df, max_df, least, k, fit_on_anchors):
+    def grams(words):
+        found = Counter()
+        for w in words:
+            w = f" {w} "
+            for n in range(low, high + 1):
+                found.update([w[i : i + n] for i in range(len(w) - n + 1)] if len(w) >= n else [w])
+        return found
+
+    tf, src, n, df = defaultdict(Counter), {}, Counter(), Counter()
+    for i, s, country, words in rows:
+        src[i] = s
+        tf[i].update({(country, g): c for g, c in grams(words).items()})
+        n[country] += fit_on_anchors or s != 1
+    for i, own in tf.items():
+        df.update({x: 1 for x in own} if fit_on_anchors or src[i] != 1 else {})
+    idf = {x: math.log((1 + n[x[0]]) / (1 + c)) + 1 for x, c in df.items() if min_df <= c <= max_df * n[x[0]]}
+    vectors = {i: {x: c * idf[x] for x, c in own.items() if x in idf} for i, own in tf.items()}
+    found = set()
+    for a, va in vectors.items():
+        if src[a] == 1:
+            size = lambda v: math.sqrt(sum(w * w for w in v.values()))
+            scores = [(round(sum(w * vb.get(x, 0.0) for x, w in va.items()) / ((size(va) * size(vb)) or 1.0), 6), b) for b, vb in vectors.items() if src[b] != 1]
+            found |= {(a, b, c) for c, b in sorted((x for x in scores if x[0] >= least), key=lambda x: (-x[0], x[1]))[:k]}
+    return found
+
+
+@pytest.mark.parametrize("options", [(2, 4, 1, 1.0, 0.3, 4, True), (3, 5, 2, 0.6, 0.05, 3, False)])
+def test_tfidf_by_brute_force(spark, monkeypatch, options):
+    """Small blocks, names of many candidates, words that come twice, ids that stand in two rows or two countries, and names without words."""
+    monkeypatch.setattr(blocking, "ANCHORS", 3, raising=False)
+    monkeypatch.setattr(blocking, "CANDIDATES", 4, raising=False)
+    r = random.Random(11)
+    words = ["".join(r.choices("abcd", k=r.randrange(1, 6))) for _ in range(14)]
+    rows = [(f"S{s}-{i}", s, r.choice(["US", "INDIA", ""]), r.choices(words, k=r.randrange(0, 5))) for i in range(60) for s in [r.randrange(1, 4)]]
+    rows += [(f"S2-{100 + i}", 2, "US", ["abc", "da"]) for i in range(9)] + [("S1-200", 1, "US", ["da", "abc"]), ("S1-201", 1, "US", ["abc", "abc", "da"])]
+    rows += [("S1-300", 1, "US", ["abc"]), ("S1-300", 1, "INDIA", ["da", "b"]), ("S2-301", 2, "US", ["abc", "b"]), ("S2-301", 2, "INDIA", ["da"])]
+    records = spark.createDataFrame(rows, "entity_id string, src int, country string, words array<string>").repartition(3)
+    got = {(x.s1_id, x.cand_id, x.cosine) for x in blocking.tfidf_pairs(records, *options).collect()}
+    assert got == brute_tfidf(rows, *options) and len(got) > 50
+
+
+def test_tfidf_shuffles_no_pairs(spark):
+    """Less than the input; the join of posting lists shuffled many times as much."""
+    sf = "/root/testdata/sf0.01"
+    records = normalised(entities(spark, sf))
+    _, wrote = shuffled(spark, lambda: blocking.tfidf_pairs(records).count())
+    assert wrote < os.path.getsize(f"{sf}/documents.parquet")
