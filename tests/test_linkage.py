@@ -385,3 +385,12 @@ def test_tfidf_shuffles_no_pairs(spark):
     records = normalised(entities(spark, sf))
     _, wrote = shuffled(spark, lambda: blocking.tfidf_pairs(records).count())
     assert wrote < os.path.getsize(f"{sf}/documents.parquet")
+
+
+def test_cosines_shuffle_no_vectors(spark):
+    """Pairs carry both sides' words: a tenth of the input or so; their vectors were many times as much."""
+    sf = "/root/testdata/sf0.01"
+    records = normalised(entities(spark, sf))
+    pairs = linkage.candidates(records).select("s1_id", "cand_id").localCheckpoint()
+    _, wrote = shuffled(spark, lambda: blocking.with_cosine(pairs, records, "addr_words", "c").agg({"c": "sum"}).first())
+    assert wrote < 1_000_000
