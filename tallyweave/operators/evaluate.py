@@ -70,9 +70,17 @@ def blocking_report(anchors: DataFrame, truth: DataFrame, candidates: DataFrame)
 
 def blocking_by_k(anchors: DataFrame, truth: DataFrame, rules: DataFrame, ranked: DataFrame, ks: list[int]) -> DataFrame:
     """The blocking report of the rules' pairs together with the first k ranked ones (s1_id, cand_id, rank), for each k, in one job."""
-    each = F.explode(F.array(*map(F.lit, ks))).alias("top_k")
-    rows = rules.select("s1_id", "cand_id", each).union(ranked.select("s1_id", "cand_id", "rank", each).where("rank <= top_k").select("s1_id", "cand_id", "top_k"))
-    c = _with_all(anchors, truth, rows, ks, "top_k")
+    keys = ["s1_id", "cand_id"]
+    # A pair is one row with the least k that has it, so what is shuffled doesn't grow with the number of ks. True pairs go the same way.
+    least = F.least(*(F.when(F.col("rank") <= k, k) for k in ks), F.lit(None).cast("int"))
+    found = rules.select(*keys, F.lit(min(ks)).alias("k"), F.lit(0).alias("hit")).union(ranked.select(*keys, least.alias("k"), F.lit(0)).where("k is not null"))
+    rows = found.union(truth.select(*keys, F.lit(None).cast("int"), F.lit(1))).repartition("s1_id")
+    pairs = rows.groupBy(*keys).agg(F.min("k").alias("k"), F.max("hit").alias("hit"))
+    of = lambda k: F.struct(F.lit(k).alias("top_k"), F.count_if(F.col("k") <= k).alias("n_pred"), F.count_if((F.col("k") <= k) & (F.col("hit") == 1)).alias("tp"))
+    by_anchor = pairs.groupBy("s1_id").agg(F.sum("hit").alias("n_true"), F.array(*map(of, ks)).alias("c"))
+    none = F.array(*(F.struct(F.lit(k).alias("top_k"), F.lit(0).cast("long").alias("n_pred"), F.lit(0).cast("long").alias("tp")) for k in ks))
+    every = anchors.select("s1_id").distinct().join(by_anchor, "s1_id", "left")
+    c = every.select(F.coalesce("n_true", F.lit(0)).alias("n_true"), F.explode(F.coalesce("c", none)).alias("c")).select("n_true", "c.*")
     return c.groupBy("top_k").agg(
         F.sum("n_pred").alias("candidate_count"),
         F.avg("n_pred").alias("avg_candidates_per_entity"),

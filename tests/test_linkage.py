@@ -337,6 +337,38 @@ def test_true_pairs_shuffle_little(spark):
     assert wrote < 3 * os.path.getsize(f"{sf}/documents.parquet")
 
 
+def test_true_pairs_of_many_documents_shuffle_less_than_their_hashes(spark, tmp_path):
+    """Unlike documents send a part of their shingles, of four bytes each; it was all of them, of six bytes and more (1.6 MB)."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(600)]
+    for k in range(0, 60, 3):  # anchors and, with half of their words, candidates
+        texts[k + 1] = " ".join(texts[k].split()[:290] + texts[k + 1].split()[290:])
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found, wrote = shuffled(spark, lambda: true_pairs(spark, str(tmp_path)).collect())
+    assert {(r.s1_id, r.cand_id) for r in found} == {(f"S1-{k}", f"S2-{k + 1}") for k in range(0, 60, 3)}
+    assert wrote < 600 * 396 * 5
+
+
+def test_blocking_by_k_keeps_a_row_for_each_pair(spark):
+    anchors = spark.createDataFrame([(f"a{k}",) for k in range(40)], "s1_id string")
+    rules = [(f"a{k}", f"c{j}") for k in range(0, 40, 2) for j in range(k % 5)]
+    ranked = [(f"a{k}", f"c{j}", j - k % 3 + 1) for k in range(0, 40, 3) for j in range(k % 3, 50)]
+    truth = [(f"a{k}", f"c{j}") for k in range(0, 40, 5) for j in (0, 7, 30)] + [("a1", "c1"), ("a1", "c1"), ("other", "c1")]
+    make = lambda rows, names: spark.createDataFrame(rows, names).repartition(8)
+    tables_ = make(truth, "s1_id string, cand_id string"), make(rules, "s1_id string, cand_id string"), make(ranked, "s1_id string, cand_id string, rank int")
+    ks = [5, 10, 20, 30, 50]
+    got = {r.top_k: r for r in evaluate.blocking_by_k(anchors, *tables_, ks).collect()}
+    for k in ks:
+        pred = {*rules, *((a, c) for a, c, r in ranked if r <= k)}
+        true = {t for t in truth if t[0] != "other"}
+        hit = {a for a, _ in pred & true}
+        covered = sum(f"a{j}" in hit or f"a{j}" not in {a for a, _ in true} for j in range(40))
+        assert got[k].candidate_count == len(pred) and got[k].avg_candidates_per_entity == pytest.approx(len(pred) / 40)
+        assert got[k].pair_recall == pytest.approx(len(pred & true) / len(true)) and got[k].entity_coverage == pytest.approx(covered / 40)
+    plan = evaluate.blocking_by_k(anchors, *tables_, ks)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and plan.count("Generate explode") == 1
+
+
 def brute_tfidf(rows, low, high, min_df, max_df, least, k, fit_on_anchors):
     def grams(words):
         found = Counter()
