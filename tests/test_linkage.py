@@ -347,6 +347,8 @@ def test_true_pairs_of_many_documents_shuffle_less_than_their_hashes(spark, tmp_
     found, wrote = shuffled(spark, lambda: true_pairs(spark, str(tmp_path)).collect())
     assert {(r.s1_id, r.cand_id) for r in found} == {(f"S1-{k}", f"S2-{k + 1}") for k in range(0, 60, 3)}
     assert wrote < 600 * 396 * 5
+    plan = true_pairs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow gather") == plan.count("Filter isnotnull(n#") == 6  # so that one shuffle serves them all
 
 
 def test_blocking_by_k_keeps_a_row_for_each_pair(spark):
