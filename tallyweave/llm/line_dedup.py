@@ -440,8 +440,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         marked = stored(firsts.join(later.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("c > 1 or near"), "marked", outlive=True, few=True)
         total = firsts.agg(F.sum("c")).first()[0] or 0
     gone = hub_join(lines, marked, ["h1", "h2"], total).where(F.coalesce("near", F.lit(False)) | (F.struct("doc", "line") != F.col("first")))
-    # Rows of one id and text lose the same lines.
-    drops = gone.groupBy(F.col("doc").alias("_dedup_doc"), F.col("row").alias("_dedup_row")).agg(F.collect_set("line").alias("_dedup_drops"))
+    # Rows of one id and text lose the same lines.  A partition's drops are hashed, so that no task holds its partition's texts to sort them.
+    drops = gone.groupBy(F.col("doc").alias("_dedup_doc"), F.col("row").alias("_dedup_row")).agg(F.collect_set("line").alias("_dedup_drops")).hint("shuffle_hash")
     whole = docs.withColumn("_dedup_place", place).withColumn("_dedup_text", row)
     joined = whole.join(drops, (F.col("_dedup_place") == F.col("_dedup_doc")) & (F.col("_dedup_text") == F.col("_dedup_row")), "left").select(*(F.col(f"`{c}`") for c in names), "_dedup_drops")
     at = names.index(text_col)

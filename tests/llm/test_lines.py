@@ -160,3 +160,11 @@ def test_within_long_lines_is_linear():
     begun = time.time()
     assert ld.within(a, b, 2) and not ld.within(a, "zz" + a[2:-1] + "z", 2)
     assert time.time() - begun < 2
+
+
+def test_texts_are_not_sorted(spark):
+    """A task that sorts its partition's texts holds them all."""
+    done = ld.dedup_lines(spark.createDataFrame([(k, f"line {k % 3}\nanother {k}") for k in range(40)], "doc_id long, text string"))
+    plan = done._jdf.queryExecution().sparkPlan().toString()
+    assert "ShuffledHashJoin" in plan.split("MapInArrow")[1]
+    assert {r.doc_id: r.text for r in done.where("doc_id < 5").collect()} == {0: "line 0\nanother 0", 1: "line 1\nanother 1", 2: "line 2\nanother 2", 3: "another 3", 4: "another 4"}
