@@ -428,3 +428,42 @@ def test_cosines_shuffle_no_vectors(spark):
     pairs = linkage.candidates(records).select("s1_id", "cand_id").localCheckpoint()
     _, wrote = shuffled(spark, lambda: blocking.with_cosine(pairs, records, "addr_words", "c").agg({"c": "sum"}).first())
     assert wrote < 1_000_000
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_library_features_read_whole_addresses(spark, tmp_path):
+    """Addresses that differ after their first 100 characters only; their edit similarity was 1.  The query's SQL says the same."""
+    import duckdb
+
+    from tallyweave import queries
+
+    same = " ".join(f"{'abcdefgh'[k] * 4}{'street' * 5}" for k in range(4))
+    ends = ["north gate", "south gate", "n", "of quite another quarter" * 20, "north gate"]
+    own = people(spark, [(1 if not k else 2, "Alpha Brandy", f"{same} {end}", "US") for k, end in enumerate(ends)])
+    records = normalised(own)
+    addr = {r.entity_id: r.addr for r in records.collect()}
+    assert len({a[:100] for a in addr.values()}) == 1
+    pairs = spark.createDataFrame([("S1-0", f"S2-{k}") for k in range(1, 5)], "s1_id string, cand_id string")
+    got = {r.cand_id: r.address_levenshtein for r in features.library_features(features.with_records(pairs, records)).collect()}
+    assert got == {c: pytest.approx(1 - edits(addr["S1-0"], addr[c]) / max(len(addr["S1-0"]), len(addr[c]))) for c in got}
+    assert got["S2-4"] == 1 and len(got) == 4 and max(got[f"S2-{k}"] for k in (1, 2, 3)) < 1
+
+    texts = [f"alpha brandy gamma delta five six {same} {end}" for end in ends]
+    own = [(t, len(t)) for t in texts] + [(texts[0], len(texts[0]) + 97)]
+    rows = [(3 * k + (k > 0), t, "en", "web", n) for k, (t, n) in enumerate(own)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.cand_id: r.address_levenshtein for r in queries.QUERIES["features_library"](spark, str(tmp_path)).collect()}
+    duck = duckdb.connect()
+    duck.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    said = duck.sql(f"select cand_id, address_levenshtein from ({queries.ORACLES['features_library']})").fetchall()
+    assert dict(said) == pytest.approx(found) and len(found) == 5
+    addr = {r.entity_id: r.addr for r in normalised(entities(spark, str(tmp_path))).collect()}
+    assert found == {c: pytest.approx(1 - edits(addr["S1-0"], addr[c]) / max(len(addr["S1-0"]), len(addr[c])), abs=1e-6) for c in found}
