@@ -467,3 +467,19 @@ def test_library_features_read_whole_addresses(spark, tmp_path):
     assert dict(said) == pytest.approx(found) and len(found) == 5
     addr = {r.entity_id: r.addr for r in normalised(entities(spark, str(tmp_path))).collect()}
     assert found == {c: pytest.approx(1 - edits(addr["S1-0"], addr[c]) / max(len(addr["S1-0"]), len(addr[c])), abs=1e-6) for c in found}
+
+
+def test_library_pairs_by_one_join_a_side(spark):
+    """The same as both cosines joined to the pairs, of ids that several rows share as well."""
+    rows = [(1, "alpha beta gamma", "12 main st austin", "US"), (2, "alpha betas", "main street 5", "US"), (2, "", "", "US"), (3, "gamma  delta", None, "US")]
+    records = normalised(people(spark, rows).union(people(spark, [(1, "beta zeta", "", "France"), (2, "", "main", "US"), (2, None, "7 side st", "US")])))
+    pairs = spark.createDataFrame([("S1-0", f"S{s}-{k}") for s, k in ((2, 1), (2, 2), (3, 3))], "s1_id string, cand_id string")
+    names = ["s1_id", "cand_id", "a_name", "b_name", "a_addr", "b_addr", "a_words", "b_words", "a_addr_words", "b_addr_words", "a_country", "b_country", "name_cosine", "address_cosine"]
+
+    def told(df):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(*names).collect())
+
+    joined = blocking.with_cosine(blocking.with_cosine(features.with_records(pairs, records), records, "words", "name_cosine"), records, "addr_words", "address_cosine")
+    got = told(features.library_pairs(pairs, records))
+    assert got == told(joined) and len(got) == 10
+    assert len({r[-2] for r in got}) > 2 and len({r[-1] for r in got}) > 1
