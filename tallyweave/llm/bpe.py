@@ -19,6 +19,7 @@ from tallyweave.llm.textarrays import distinct, ragged, same_spans, span_hashes
 
 NONE = np.int32((1 << 31) - 1)  # the rank of a pair that never merges
 REPLAY_BYTES = 1 << 20  # of distinct words that one replay takes
+SHORT = 32  # bytes of the longest word whose merges are found in a table of its places
 # The Unicode White_Space characters.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _classes: np.ndarray | None = None
@@ -48,6 +49,10 @@ def _pair_slot(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (_pair_slot(keys) >> np.uint64(2)).view(np.int64)
+
+
 @dataclass
 class Vocabulary:
     """Ids, the bytes of each id, and the mergeable pairs.
@@ -127,6 +132,40 @@ class Vocabulary:
             self._tables["pairs"] = slots
         return self._tables["pairs"]
 
+    def pair_buckets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where each bucket's pairs begin (one more entry at the end), the pairs and their ranks by bucket, and each rank's id."""
+        if "buckets" not in self._tables:
+            buckets = _bucket(self.pair_keys)
+            order = np.argsort(buckets, kind="stable")
+            ids = np.zeros(int(self.pair_ranks.max(initial=-1)) + 1, dtype=np.int32)
+            ids[self.pair_ranks] = self.pair_ids
+            edges = np.searchsorted(buckets[order], np.arange((1 << 18) + 1)).astype(np.int32)
+            self._tables["buckets"] = edges, self.pair_keys[order], self.pair_ranks[order].astype(np.int32), ids
+        return self._tables["buckets"]
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of pairs, NONE where there is none; symbols below 0 are in no pair."""
+        edges, keys, ranks, _ = self.pair_buckets()
+        wanted = left.astype(np.int64) << 32 | right
+        bucket = _bucket(wanted)
+        at, end = edges[bucket], edges[bucket + 1]
+        out = np.full(len(wanted), NONE, dtype=np.int32)
+        some = np.flatnonzero(at < end)
+        while len(some):
+            place = at[some]
+            hit = keys[place] == wanted[some]
+            out[some[hit]] = ranks[place[hit]]
+            some = some[~hit]
+            at[some] += 1
+            some = some[at[some] < end[some]]
+        return out
+
+    def byte_ranks(self) -> np.ndarray:
+        """Rank of each pair of bytes, the first one times 256 plus the second."""
+        if "bytes" not in self._tables:
+            self._tables["bytes"] = self.ranks(np.repeat(self.base, 256), np.tile(self.base, 256))
+        return self._tables["bytes"]
+
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Sorted hashes of all tokens' bytes, their ids, each id's length, all tokens' bytes and where each id's begin."""
         if "hashes" not in self._tables:
@@ -336,6 +375,74 @@ def merge_replay(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, l
     return (*out, final) if history else out
 
 
+def _merge_equals(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Symbols of words that all have ``size`` bytes: a row for each byte, a column for each word, -1 where the place has gone into one before it.
+
+    Every round makes the first merge of the lowest rank in each word that has one left.  Places
+    are linked; row ``size`` stands for the place beyond either end and is in no pair.
+    """
+    n = len(starts)
+    raw = data[starts + np.arange(size)[:, None]]
+    symbol = np.full((size + 1, n), -1, dtype=np.int32)
+    symbol[:size] = vocabulary.base[raw]
+    if size < 2:
+        return symbol[:size]
+    rank = vocabulary.byte_ranks()[raw[:-1].astype(np.int32) << 8 | raw[1:]].astype(np.int64)
+    # Rank and place in one number, so that the least is the first place of the lowest rank.
+    key = np.full((size + 1, n), int(NONE) << 6, dtype=np.int64)
+    key[: size - 1] = rank << 6 | np.arange(size - 1)[:, None]
+    ids = vocabulary.pair_buckets()[3]
+    following = np.repeat(np.arange(1, size + 2, dtype=np.int8)[:, None], n, axis=1)
+    before = np.repeat(np.concatenate([[size], np.arange(size)]).astype(np.int8)[:, None], n, axis=1)
+    symbol, key, following, before = (a.reshape(-1) for a in (symbol, key, following, before))
+    lowest = key.reshape(size + 1, n)
+    while True:
+        least = lowest.min(axis=0)
+        word = np.flatnonzero(least < int(NONE) << 6)
+        if not len(word):
+            return symbol.reshape(size + 1, n)[:size]
+        least = least[word]
+        place = least & 63
+        made = ids[least >> 6]
+        at = place * n + word
+        right = following[at] * np.int64(n) + word
+        after = following[right]
+        symbol[at], symbol[right], key[right] = made, -1, int(NONE) << 6
+        following[at] = after
+        behind, ahead = after * np.int64(n) + word, before[at].astype(np.int64)
+        before[behind] = place
+        key[at] = vocabulary.ranks(made, symbol[behind]).astype(np.int64) << 6 | place
+        key[ahead * n + word] = vocabulary.ranks(symbol[ahead * n + word], made).astype(np.int64) << 6 | ahead
+
+
+def merged(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of words by their merges: short ones of equal length together (``most`` bytes at a time), longer ones by replay."""
+    counts, order = np.zeros(len(starts), dtype=np.int64), np.argsort(lengths, kind="stable")
+    edges = np.searchsorted(lengths[order], np.arange(1, SHORT + 2))
+    whose, parts = [], []
+    for size in range(1, SHORT + 1):
+        own = order[edges[size - 1] : edges[size]]
+        for at in range(0, len(own), most // size):
+            words = own[at : at + most // size]
+            symbol = _merge_equals(vocabulary, data, starts[words], size).T
+            stays = symbol >= 0
+            counts[words] = stays.sum(axis=1)
+            whose.append(words)
+            parts.append(symbol[stays])
+    long = order[edges[SHORT] :]
+    if len(long):
+        ids, offsets = merge_replay(vocabulary, data, starts[long], lengths[long])
+        counts[long] = np.diff(offsets)
+        whose.append(long)
+        parts.append(ids)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(int(offsets[-1]), dtype=np.int32)
+    if whose:
+        words = np.concatenate(whose)
+        out[ragged(offsets[words], counts[words])] = np.concatenate(parts)
+    return out, offsets
+
+
 def batched(starts: np.ndarray, ends: np.ndarray, most: int = REPLAY_BYTES):
     """Slices of words of at most ``most`` bytes together (a longer word stands alone)."""
     running = np.concatenate([[0], np.cumsum(ends - starts)])
@@ -346,21 +453,21 @@ def batched(starts: np.ndarray, ends: np.ndarray, most: int = REPLAY_BYTES):
         at = to
 
 
-def encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and offsets of words; rank files take a word that is itself a token whole."""
-    parts = [_encode_words(vocabulary, data[starts[cut].min() : ends[cut].max()], starts[cut] - starts[cut].min(), ends[cut] - starts[cut].min()) for cut in batched(starts, ends)]
+def encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode=merge_replay) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of words by ``encode`` (``merge_replay`` or ``merged``); rank files take a word that is itself a token whole."""
+    parts = [_encode_words(vocabulary, data[starts[cut].min() : ends[cut].max()], starts[cut] - starts[cut].min(), ends[cut] - starts[cut].min(), encode) for cut in batched(starts, ends)]
     if not parts:
         return np.zeros(0, np.int64), np.zeros(1, np.int64)
     return np.concatenate([p[0] for p in parts]), np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
 
 
-def _encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _encode_words(vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     if not vocabulary.whole:
-        return merge_replay(vocabulary, data, starts, lengths)
+        return encode(vocabulary, data, starts, lengths)
     token = vocabulary.token_of(span_hashes(data, starts, ends), data, starts, ends)
     rest = token < 0
-    ids, offsets = merge_replay(vocabulary, data, starts[rest], lengths[rest])
+    ids, offsets = encode(vocabulary, data, starts[rest], lengths[rest])
     counts = np.ones(len(starts), dtype=np.int64)
     counts[rest] = np.diff(offsets)
     out_offsets = np.concatenate([[0], np.cumsum(counts)])
@@ -394,7 +501,7 @@ class WordTable:
 
     def made(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What is kept of words, and its offsets."""
-        return encode_words(self.vocabulary, data, starts, ends)
+        return encode_words(self.vocabulary, data, starts, ends, merged)
 
     def _append(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Gives slots to words."""

@@ -171,6 +171,35 @@ def test_colliding_hashes_change_nothing(libraries, monkeypatch):
     assert table.odd
 
 
+@pytest.mark.parametrize("vocabulary", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_merges_of_short_words(vocabulary):
+    """Words of one length that are merged together get the ids that the replay by rank gives them."""
+    vocabulary = prefix_counts.vocabulary_file(P.path(vocabulary))
+    draw = random.Random(7)
+    tokens = [w for w in vocabulary.token_bytes if w]
+    words = [b"", b"a" * 31, b"a" * 32, b"a" * 33, b"ab" * 20, "日本語の".encode() * 5, bytes(range(256))]
+    words += [bytes(draw.choice(b"aabst ein\xc3\xa9") for _ in range(draw.randrange(45))) for _ in range(3000)]
+    words += [b"".join(draw.choices(tokens, k=draw.randrange(1, 5))) for _ in range(3000)] + draw.sample(tokens, 3000)
+    lengths = np.array([len(w) for w in words])
+    data, starts = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(lengths) - lengths
+    want, borders = bpe.merge_replay(vocabulary, data, starts, lengths)
+    for most in (64, 1 << 16):
+        ids, ends = bpe.merged(vocabulary, data, starts, lengths, most)
+        assert ids.tolist() == want.tolist() and ends.tolist() == borders.tolist()
+
+
+def test_short_words_of_packed_texts_are_not_replayed(libraries, monkeypatch):
+    """The replay by rank, whose steps are as many as there are ranks, is left to long words (round 3: op 4's time)."""
+    texts = [t for t in TEXTS if max(map(len, t.encode().split()), default=0) < 16 and len(t) < 60]
+    monkeypatch.setattr(bpe, "merge_replay", None)
+    table = bpe.WordTable(prefix_counts.vocabulary_file(P.path("byte_bpe_50k.json")))
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    (block,) = bpe.blocks(table, [(list(range(len(raw))), np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)])
+    ids, ends = bpe_codec.block_ids(table, block)
+    assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == [libraries[0](t) for t in texts]
+
+
 def test_budgets_are_answered_without_encoding(libraries, monkeypatch):
     vocabulary = bpe.Vocabulary.from_json(P.path("byte_bpe_50k.json"))
     texts = [t[:60] for t in TEXTS] + [f"!!{SPECIAL}", f"a  {SPECIAL}b  {SPECIAL}", f"'{SPECIAL}'re{SPECIAL}", "they're we've I'll 're", f"  {SPECIAL}  x", "　　x  é"]
